@@ -8,7 +8,7 @@ from math import ceil, floor, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.grid import BlockGrid
+from gridlake.grid import BlockGrid, int_div
 from gridlake.operators.blocks import block_counts
 from gridlake.operators.shape import at_position, fail_if
 
@@ -50,7 +50,7 @@ def suggest_layout(rows: int, cols: int, partitions: int) -> GridLayout:
 def grid_partition_id(layout: GridLayout, bi: str = "bi", bj: str = "bj") -> Column:
     """Partition of a block; the query fails for a block outside the layout."""
     row, col = F.col(bi), F.col(bj)
-    part = F.floor(row / layout.rows_per_part) + F.floor(col / layout.cols_per_part) * layout.row_parts
+    part = int_div(row, layout.rows_per_part) + int_div(col, layout.cols_per_part) * layout.row_parts
     outside = (row < 0) | (row >= layout.rows) | (col < 0) | (col >= layout.cols)
     return fail_if(outside, at_position("block outside the layout:", bi, bj), part.cast("int"))
 

@@ -79,10 +79,15 @@ def num_blocks(n: int, size: int) -> int:
     return ceil(n / size)
 
 
+def int_div(a: Column, b: Column | int) -> Column:
+    """Whole-number quotient of two non-negative integers."""
+    return F.call_function("div", a, F.lit(b))
+
+
 def block_index(index: Column | str, size: int) -> Column:
     """Number of the tile that holds ``index`` (indices are never negative)."""
     index = F.col(index) if isinstance(index, str) else index
-    return F.floor(index / F.lit(size)).cast("int")
+    return int_div(index, size).cast("int")
 
 
 def offset_in_block(index: Column | str, size: int) -> Column:

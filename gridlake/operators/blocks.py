@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import singledispatch
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.grid import (
+    BLOCK_SCHEMA,
     BlockGrid,
     CellGrid,
+    Grid,
     block_index,
     global_index,
+    int_div,
     num_blocks,
     offset_in_block,
 )
@@ -39,8 +43,6 @@ def blocks_from_rows(
     ncols: int | None = None,
 ) -> BlockGrid:
     """A block grid from local ``(bi, bj, nr, nc, vals)`` tuples (tests and examples)."""
-    from gridlake.grid import BLOCK_SCHEMA
-
     df = spark.createDataFrame(list(rows), BLOCK_SCHEMA)
     return BlockGrid(df, rows_per_block, cols_per_block, nrows, ncols)
 
@@ -55,8 +57,8 @@ def to_blocks(grid: CellGrid, rows_per_block: int, cols_per_block: int) -> Block
         raise ValueError(f"tile sizes must be positive: {rows_per_block} x {cols_per_block}")
     grid = unique_positions(with_dims(grid))
     bi, bj = block_index("i", rows_per_block), block_index("j", cols_per_block)
-    nr = F.least(F.lit(rows_per_block), F.lit(grid.nrows) - F.col("bi") * F.lit(rows_per_block))
-    nc = F.least(F.lit(cols_per_block), F.lit(grid.ncols) - F.col("bj") * F.lit(cols_per_block))
+    nr = _extent("bi", rows_per_block, grid.nrows)
+    nc = _extent("bj", cols_per_block, grid.ncols)
     outside = (
         (F.col("i") < 0)
         | (F.col("j") < 0)
@@ -64,16 +66,14 @@ def to_blocks(grid: CellGrid, rows_per_block: int, cols_per_block: int) -> Block
         | (F.col("j") >= F.lit(grid.ncols))
     )
     row, col = offset_in_block("i", rows_per_block), offset_in_block("j", cols_per_block)
-    k = fail_if(
-        outside, at_position("cell outside the claimed size:", "i", "j"), col * F.col("nr") + row
-    )
-    located = (
-        grid.df.withColumns({"bi": bi, "bj": bj})
-        .withColumns({"nr": nr.cast("int"), "nc": nc.cast("int")})
-        .select(*grid.keys, "bi", "bj", "nr", "nc", k.cast("int").alias("k"), "v")
+    k = fail_if(outside, at_position("cell outside the claimed size:", "i", "j"), col * nr + row)
+    located = grid.df.withColumns({"bi": bi, "bj": bj}).select(
+        *grid.keys, "bi", "bj", k.cast("int").alias("k"), "v"
     )
-    packed = located.groupBy(*grid.keys, "bi", "bj", "nr", "nc").agg(
-        F.array_sort(F.collect_list(F.struct("k", "v"))).alias("cells")
+    packed = (
+        located.groupBy(*grid.keys, "bi", "bj")
+        .agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("cells"))
+        .withColumns({"nr": nr, "nc": nc})
     )
     full = F.size("cells") == F.col("nr") * F.col("nc")
     vals = F.when(full, F.col("cells.v")).otherwise(_fill_gaps(F.col("nr") * F.col("nc")))
@@ -90,6 +90,11 @@ def to_blocks(grid: CellGrid, rows_per_block: int, cols_per_block: int) -> Block
     )
 
 
+def _extent(index: str, size: int, total: int) -> Column:
+    """Rows or columns of a tile; the last tile may be smaller."""
+    return F.least(F.lit(size), F.lit(total) - F.col(index) * F.lit(size)).cast("int")
+
+
 def _fill_gaps(length: Column) -> Column:
     """Values of the sorted array ``cells`` of ``(k, v)``, with a zero at each absent ``k``."""
     after = F.concat(
@@ -109,12 +114,14 @@ def _fill_gaps(length: Column) -> Column:
 def to_cells(grid: BlockGrid, dense: bool = False) -> CellGrid:
     """Every cell of every block, explicit zeros included; narrow, no shuffle.
 
-    With ``dense`` the cells of absent blocks follow as zeros.
+    With ``dense`` the cells of absent blocks are included as zeros.
     """
+    if dense:
+        grid = densify(grid)
     at = grid.df.select(*grid.position, "nr", F.posexplode("vals").alias("k", "v"))
     i = global_index("bi", F.pmod("k", "nr"), grid.rows_per_block)
-    j = global_index("bj", F.floor(F.col("k") / F.col("nr")), grid.cols_per_block)
-    cells = CellGrid(
+    j = global_index("bj", int_div(F.col("k"), F.col("nr")), grid.cols_per_block)
+    return CellGrid(
         at.select(*grid.keys, i.alias("i"), j.alias("j"), "v"),
         grid.nrows,
         grid.ncols,
@@ -122,7 +129,6 @@ def to_cells(grid: BlockGrid, dense: bool = False) -> CellGrid:
         unique=grid.unique,
         dense=grid.dense,
     )
-    return densify(cells) if dense else cells
 
 
 def index_rows(df: DataFrame, count: int, name: str, chunk: int = 4096) -> DataFrame:
@@ -133,19 +139,57 @@ def index_rows(df: DataFrame, count: int, name: str, chunk: int = 4096) -> DataF
     return chunks.withColumn(name, F.explode(F.sequence(first, last))).drop("_chunk")
 
 
-def densify(grid: CellGrid) -> CellGrid:
-    """Every cell of the claimed size, with 0.0 where none is present.
+@singledispatch
+def densify(grid):
+    """Every cell, or block, of the claimed size, with zeros where none is present."""
+    raise TypeError(f"not a grid: {type(grid).__name__}")
+
+
+@densify.register
+def _(grid: BlockGrid) -> BlockGrid:
+    """Absent blocks come from a join of all block positions with the blocks present.
+
+    Blocks that were just made by ``to_blocks`` are already partitioned for it.
+    """
+    if grid.dense:
+        return grid
+    grid = unique_positions(with_dims(grid))
+    rows, cols = block_counts(grid)
+    places = _every_place(grid, rows * cols, "at").select(
+        *grid.keys,
+        int_div(F.col("at"), max(cols, 1)).cast("int").alias("bi"),
+        F.pmod("at", F.lit(max(cols, 1))).cast("int").alias("bj"),
+    )
+    nr = F.coalesce("nr", _extent("bi", grid.rows_per_block, grid.nrows))
+    nc = F.coalesce("nc", _extent("bj", grid.cols_per_block, grid.ncols))
+    df = places.join(grid.df, grid.position, "left").select(
+        *grid.position,
+        nr.alias("nr"),
+        nc.alias("nc"),
+        F.coalesce("vals", F.array_repeat(F.lit(0.0), nr * nc)).alias("vals"),
+    )
+    return grid.with_df(df, dense=True)
+
+
+def _every_place(grid: Grid, count: int, name: str) -> DataFrame:
+    """``0 <= name < count``, for each batch of a grid that has batch keys."""
+    if grid.keys:
+        return index_rows(grid.df.select(*grid.keys).distinct(), count, name)
+    return grid.df.sparkSession.range(count).withColumnRenamed("id", name)
+
+
+@densify.register
+def _(grid: CellGrid) -> CellGrid:
+    """One shuffle of the cells present, never of the zeros.
 
-    The grid, read in row-major order, is cut into segments of ``SEGMENT`` cells. Each segment
-    gets one marker row; after one shuffle on the segment, every row also emits the zeros up to
-    the next row of its segment. So the shuffle carries the cells present plus one marker per
-    segment, never the zeros, and a task works through bounded segments in order.
+    The grid, read in row-major order, is cut into segments of ``SEGMENT`` cells, and each
+    segment gets one marker row. After a shuffle on the segment, every row also emits the zeros
+    up to the next row of its segment, so a task works through bounded segments in order.
     """
     if grid.dense:
         return grid
     grid = unique_positions(with_dims(grid))
     total = grid.nrows * grid.ncols
-    spark = grid.df.sparkSession
     if total == 0:
         return grid.with_df(grid.df.limit(0), dense=True)
     segments = ceil(total / SEGMENT)
@@ -162,15 +206,11 @@ def densify(grid: CellGrid) -> CellGrid:
     )
     cells = grid.df.select(*grid.keys, place.alias("at"), "v").select(
         *grid.keys,
-        F.floor(F.col("at") / SEGMENT).alias("segment"),
+        int_div(F.col("at"), SEGMENT).alias("segment"),
         F.pmod("at", F.lit(SEGMENT)).cast("int").alias("k"),
         "v",
     )
-    if grid.keys:
-        markers = index_rows(grid.df.select(*grid.keys).distinct(), segments, "segment")
-    else:
-        markers = spark.range(segments).withColumnRenamed("id", "segment")
-    markers = markers.select(*grid.keys, "segment", F.lit(-1).alias("k"), F.lit(0.0).alias("v"))
+    markers = _every_place(grid, segments, "segment").select(*grid.keys, "segment", F.lit(-1).alias("k"), F.lit(0.0).alias("v"))
 
     # The zeros appear after the shuffle, so its size says nothing about the work per task:
     # ask for tasks by the number of cells to be written.
@@ -193,7 +233,7 @@ def densify(grid: CellGrid) -> CellGrid:
     place = F.col("segment") * SEGMENT + F.col("at")
     df = filled.select(
         *grid.keys,
-        F.floor(place / F.lit(grid.ncols)).alias("i"),
+        int_div(place, grid.ncols).alias("i"),
         F.pmod(place, F.lit(grid.ncols)).cast("bigint").alias("j"),
         F.when(F.col("at") == F.col("k"), F.col("v")).otherwise(F.lit(0.0)).alias("v"),
     )

@@ -8,10 +8,10 @@ from dataclasses import replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridlake.grid import CellGrid
+from gridlake.grid import CellGrid, int_div
 from gridlake.operators.elementwise import transpose
 from gridlake.operators.shape import sum_duplicates, unique_positions, with_dims
-from gridlake.operators.stencil import Square, neighbourhoods
+from gridlake.operators.stencil import Square, neighbourhoods, window_values
 
 log = logging.getLogger(__name__)
 
@@ -49,7 +49,7 @@ def interpolate(grid: CellGrid, target: tuple[int, int]) -> CellGrid:
 
 
 def _ceil_div(a: Column, b: int) -> Column:
-    return F.ceil(a / F.lit(b)).cast("bigint")
+    return int_div(a + (b - 1), b)
 
 
 def _outputs_at(index: str, n: int, t: int) -> tuple[Column, Column]:
@@ -67,9 +67,9 @@ def _outputs_near(index: str, n: int, t: int) -> tuple[Column, Column]:
     source = F.col(index)
     if n == 1:
         return F.lit(0).cast("bigint"), F.lit(t - 1).cast("bigint")
-    first = F.floor((source - 1) * (t - 1) / F.lit(n - 1)) + 1
+    first = F.when(source == 0, 0).otherwise(int_div((source - 1) * (t - 1), n - 1) + 1)
     last = _ceil_div((source + 1) * (t - 1), n - 1) - 1
-    return F.greatest(first, F.lit(0)), F.least(last, F.lit(t - 1))
+    return first, F.least(last, F.lit(t - 1))
 
 
 def _distance(out: str, index: str, n: int, t: int) -> Column:
@@ -81,10 +81,12 @@ def _distance(out: str, index: str, n: int, t: int) -> Column:
 
 def _from_windows(grid: CellGrid, rows: int, cols: int) -> CellGrid:
     windows = neighbourhoods(grid, Square())
+    filled = window_values(with_dims(grid), Square())
     first_i, last_i = _outputs_at("i", grid.nrows, rows)
     first_j, last_j = _outputs_at("j", grid.ncols, cols)
     spread = (
-        windows.where((first_i <= last_i) & (first_j <= last_j))
+        windows.withColumns(filled)
+        .where((first_i <= last_i) & (first_j <= last_j))
         .withColumn("oi", F.explode(F.sequence(first_i, last_i)))
         .withColumn("oj", F.explode(F.sequence(first_j, last_j)))
         .withColumn("x", _distance("oi", "i", grid.nrows, rows))
