@@ -13,9 +13,21 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Names that operators use for columns of their own; batch keys need other names.
+RESERVED = frozenset(
+    "i j v bi bj nr nc vals a b k x y at end segment cells copies block repeated part step here "
+    "next_row next_col diag si sj oi oj rule detail found nr_min nr_max nc_min nc_max".split()
+)
+
 BLOCK_SCHEMA = "bi INT, bj INT, nr INT, nc INT, vals ARRAY<DOUBLE>"
 
 
+def _check_keys(keys: tuple[str, ...]) -> None:
+    taken = RESERVED.intersection(keys)
+    if taken:
+        raise ValueError(f"rename these batch keys: {', '.join(sorted(taken))}")
+
+
 @dataclass(frozen=True)
 class CellGrid:
     """One row per cell: ``i BIGINT, j BIGINT, v DOUBLE`` after optional batch keys.
@@ -32,6 +44,9 @@ class CellGrid:
     unique: bool = False
     dense: bool = False
 
+    def __post_init__(self) -> None:
+        _check_keys(self.keys)
+
     @property
     def position(self) -> list[str]:
         return [*self.keys, "i", "j"]
@@ -58,6 +73,7 @@ class BlockGrid:
     dense: bool = False
 
     def __post_init__(self) -> None:
+        _check_keys(self.keys)
         if self.rows_per_block <= 0 or self.cols_per_block <= 0:
             raise ValueError(
                 "tile sizes must be positive, got "

@@ -90,13 +90,13 @@ class _HeaderReader:
         self.size_format = ">Q" if self.version == 5 else ">I"
 
     def unpack(self, form: str) -> int:
-        return struct.unpack(form, self.file.read(struct.calcsize(form)))[0]
+        return struct.unpack(form, _read_exactly(self.file, struct.calcsize(form)))[0]
 
     def size(self) -> int:
         return self.unpack(self.size_format)
 
     def padded(self, length: int) -> bytes:
-        return self.file.read(length + -length % 4)[:length]
+        return _read_exactly(self.file, length + -length % 4)[:length]
 
     def name(self) -> str:
         return self.padded(self.size()).decode()
@@ -153,6 +153,13 @@ def read_header(file: BinaryIO, file_bytes: int) -> ArrayHeader:
     return ArrayHeader(variables, record_bytes)
 
 
+def _read_exactly(file: BinaryIO, count: int) -> bytes:
+    data = file.read(count)
+    if len(data) != count:
+        raise ValueError(f"the file ends {count - len(data)} bytes too early")
+    return data
+
+
 def read_values(file: BinaryIO, header: ArrayHeader, var: ArrayVariable, lo: int, hi: int) -> np.ndarray:
     """Elements ``lo`` to ``hi`` of a variable in index order."""
     item, per = var.item_bytes, var.per_record
@@ -160,9 +167,9 @@ def read_values(file: BinaryIO, header: ArrayHeader, var: ArrayVariable, lo: int
     first, last = (lo // per, (hi - 1) // per) if var.is_record else (0, 0)
     if first == last:
         file.seek(var.begin + first * header.record_bytes + (lo - first * per) * item)
-        return np.frombuffer(file.read((hi - lo) * item), kind)
+        return np.frombuffer(_read_exactly(file, (hi - lo) * item), kind)
     file.seek(var.begin + first * header.record_bytes)
-    data = file.read((last - first) * header.record_bytes + per * item)
+    data = _read_exactly(file, (last - first) * header.record_bytes + per * item)
     rows = np.ndarray(
         (last - first + 1, per), kind, buffer=data, strides=(header.record_bytes, item)
     )
@@ -225,6 +232,12 @@ def _choose(header: ArrayHeader, names: Sequence[str]) -> list[ArrayVariable]:
     return chosen
 
 
+def _index_names(chosen: Sequence[ArrayVariable]) -> list[str]:
+    """Names of the index columns: the dimensions, told apart from variables named like them."""
+    taken = {v.name for v in chosen}
+    return [f"{d}_index" if d in taken else d for d in chosen[0].dims]
+
+
 class NetcdfSource(DataSource):
     """``spark.read.format("netcdf3")``; options ``path``, ``variables`` and ``splitBytes``."""
 
@@ -240,7 +253,7 @@ class NetcdfSource(DataSource):
         with _open(path) as file:
             chosen = _choose(read_header(file, size), self._variables())
         fields = [T.StructField("file", T.StringType())]
-        fields += [T.StructField(d, T.LongType(), True, {"dimension": True}) for d in chosen[0].dims]
+        fields += [T.StructField(d, T.LongType(), True, {"dimension": True}) for d in _index_names(chosen)]
         fields += [T.StructField(v.name, SPARK_TYPES[v.type_code]) for v in chosen]
         return T.StructType(fields)
 
@@ -272,8 +285,8 @@ class NetcdfReader(DataSourceReader):
         with _open(path) as file:
             header = read_header(file, size)
             chosen = _choose(header, self.variables)
-            shape, dims = chosen[0].shape, chosen[0].dims
-            names = ["file", *dims, *(v.name for v in chosen)]
+            shape = chosen[0].shape
+            names = ["file", *_index_names(chosen), *(v.name for v in chosen)]
             if names != self.schema.fieldNames():
                 raise ValueError(f"{path} has columns {names}, not {self.schema.fieldNames()}")
             total, below = prod(shape), prod(shape[1:])
@@ -327,6 +340,9 @@ def read_netcdf(
 ) -> DataFrame:
     """Rows ``file``, one index per dimension, one column per variable.
 
+    An index column has the name of its dimension, with ``_index`` added for a coordinate
+    variable, such as ``lat`` along ``lat``, that is itself read.
+
     ``path`` is a file or a directory of ``.nc`` files with the same variables. Variables left
     out are not read. With ``spark.sql.python.filterPushdown.enabled``, comparisons on the
     first dimension limit the ranges that are read.

@@ -1,0 +1,182 @@
+import struct
+
+import numpy as np
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+import gridlake.sources.netcdf as netcdf
+from gridlake.operators.stats import checksum, count_zeros, total_checksum
+from gridlake.sources.netcdf import list_files, read_netcdf, select_variable, write_netcdf
+
+CODES = {"i1": 1, "S1": 2, "i2": 3, "i4": 4, "f4": 5, "f8": 6, "i8": 10, "u2": 8}
+
+
+def encode(version, dims, variables, attributes=True, numrecs=None):
+    """A classic file; a dimension of length ``None`` is the record dimension.
+
+    ``variables`` is a list of ``(name, dimension names, array)``.
+    """
+    size = ">Q" if version == 5 else ">I"
+    begin_format = ">I" if version == 1 else ">Q"
+    names = [d for d, _ in dims]
+    records = max((a.shape[0] for _, ds, a in variables if ds and dict(dims)[ds[0]] is None), default=0)
+
+    def text(s):
+        return struct.pack(size, len(s)) + s.encode() + bytes(-len(s) % 4)
+
+    def some_attributes():
+        if not attributes:
+            return struct.pack(">I", 0) + struct.pack(size, 0)
+        out = struct.pack(">I", 12) + struct.pack(size, 2)
+        out += text("title") + struct.pack(">I", 2) + struct.pack(size, 5) + b"hello\0\0\0"
+        return out + text("n") + struct.pack(">I", 3) + struct.pack(size, 1) + struct.pack(">hh", 7, 0)
+
+    def header(begins):
+        out = b"CDF" + bytes([version]) + struct.pack(size, records if numrecs is None else numrecs)
+        out += struct.pack(">I", 10) + struct.pack(size, len(dims))
+        for name, length in dims:
+            out += text(name) + struct.pack(size, length or 0)
+        out += some_attributes() + struct.pack(">I", 11) + struct.pack(size, len(variables))
+        for (name, ds, array), begin in zip(variables, begins):
+            out += text(name) + struct.pack(size, len(ds))
+            out += b"".join(struct.pack(size, names.index(d)) for d in ds) + some_attributes()
+            out += struct.pack(">I", CODES[array.dtype.str[1:]]) + struct.pack(size, 0)
+            out += struct.pack(begin_format, begin)
+        return out
+
+    fixed = [v for v in variables if not v[1] or dict(dims)[v[1][0]] is not None]
+    growing = [v for v in variables if v not in fixed]
+    big = lambda a: a.astype(a.dtype.newbyteorder(">")).tobytes()
+    pad = lambda b: b + bytes(-len(b) % 4)
+    at, begins, body = len(header([0] * len(variables))), {}, b""
+    for name, _, array in fixed:
+        begins[name] = at + len(body)
+        body += pad(big(array))
+    single = len(growing) == 1
+    for r in range(records):
+        for name, _, array in growing:
+            begins.setdefault(name, at + len(body))
+            body += big(array[r]) if single else pad(big(array[r]))
+    return header([begins.get(v[0], at) for v in variables]) + body
+
+
+def cells(df, dims, name):
+    rows = df.select(*dims, name).collect()
+    return {tuple(r)[:-1]: r[-1] for r in rows}
+
+
+def expected(array):
+    return {index: v for index, v in np.ndenumerate(array)}
+
+
+@pytest.mark.parametrize("version", [1, 2, 5])
+@pytest.mark.parametrize("split", [100, 1 << 20])
+def test_fixed_variables(spark, tmp_path, version, split):
+    rng = np.random.default_rng(3)
+    tas = rng.random((3, 4, 5)).astype("f8")
+    mask = rng.integers(-100, 100, (3, 4, 5)).astype("i1")
+    lat = np.linspace(-90, 90, 4).astype("f4")
+    data = encode(
+        version,
+        [("time", 3), ("lat", 4), ("lon", 5)],
+        [("lat", ["lat"], lat), ("tas", ["time", "lat", "lon"], tas), ("mask", ["time", "lat", "lon"], mask)],
+    )
+    path = str(tmp_path / "a.nc")
+    (tmp_path / "a.nc").write_bytes(data)
+    df = read_netcdf(spark, path, split_bytes=split)
+    assert df.dtypes == [
+        ("file", "string"), ("time", "bigint"), ("lat", "bigint"), ("lon", "bigint"),
+        ("tas", "double"), ("mask", "tinyint"),
+    ]
+    assert cells(df, ["time", "lat", "lon"], "tas") == expected(tas)
+    assert cells(df, ["time", "lat", "lon"], "mask") == expected(mask)
+    assert cells(read_netcdf(spark, path, ["lat"]), ["lat_index"], "lat") == expected(lat)
+
+
+@pytest.mark.parametrize("variables", [1, 2])
+@pytest.mark.parametrize("batch", [3, 8, 1 << 16])
+@pytest.mark.parametrize("streaming", [False, True])
+def test_record_variables(spark, tmp_path, monkeypatch, variables, batch, streaming):
+    monkeypatch.setattr(netcdf, "BATCH_CELLS", batch)
+    a = np.arange(35, dtype="i2").reshape(7, 5)
+    b = np.arange(35, dtype="f4").reshape(7, 5) / 2
+    chosen = [("a", ["time", "x"], a), ("b", ["time", "x"], b)][:variables]
+    fixed = ("x0", ["x"], np.arange(5, dtype="i4"))
+    data = encode(1, [("time", None), ("x", 5)], [fixed, *chosen], numrecs=0xFFFFFFFF if streaming else None)
+    (tmp_path / "r.nc").write_bytes(data)
+    df = read_netcdf(spark, str(tmp_path / "r.nc"), [v[0] for v in chosen], split_bytes=40)
+    assert df.rdd.getNumPartitions() > 3
+    for name, _, array in chosen:
+        assert cells(df, ["time", "x"], name) == expected(array)
+
+
+def test_seven_files(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    arrays = [rng.integers(0, 4, n).astype("i4") for n in (10, 200, 3000, 1, 77, 500, 42)]
+    for n, array in enumerate(arrays):
+        (tmp_path / f"rows_{n}.nc").write_bytes(encode(2, [("row", len(array))], [("values", ["row"], array)]))
+    (tmp_path / "metadata.json").write_text("{}")
+    df = read_netcdf(spark, str(tmp_path), ["values"], split_bytes=1000)
+    zeros = {r.file.rsplit("/")[-1]: r.zeros for r in count_zeros(df, "values").collect()}
+    assert zeros == {f"rows_{n}.nc": int((a == 0).sum()) for n, a in enumerate(arrays)}
+    assert checksum(df, "values").count() == 7
+    every = np.concatenate(arrays)
+    assert tuple(total_checksum(df, "values").first()) == (7, len(every), every.sum())
+    picked = select_variable(df, "values")
+    assert picked.columns == ["file", "row", "v"]
+    with pytest.raises(ValueError, match="no such variable"):
+        select_variable(df, "gone")
+    for first, last in ((0, 0), (5, 60), (2999, 9999)):
+        got = df.where(F.col("row").between(first, last)).agg(F.sum("values")).first()[0]
+        assert (got or 0) == sum(int(a[first : last + 1].sum()) for a in arrays)
+
+
+def test_only_wanted_ranges_are_read(spark, tmp_path):
+    """With a damaged tail, a query on the front part still works."""
+    array = np.arange(10_000, dtype="i4")
+    data = encode(2, [("row", 10_000)], [("values", ["row"], array)])
+    (tmp_path / "a.nc").write_bytes(data[: len(data) // 2])
+    df = read_netcdf(spark, str(tmp_path / "a.nc"))
+    assert df.where("row < 100").agg(F.sum("values")).first()[0] == 4950
+    with pytest.raises(PySparkException):
+        df.agg(F.sum("values")).collect()
+
+
+def test_text_and_wide_types(spark, tmp_path):
+    letters = np.frombuffer(b"grid", dtype="S1")
+    big = np.array([2**40, -5, 0, 1], dtype="i8")
+    small = np.array([65535, 0, 1, 2], dtype="u2")
+    data = encode(5, [("n", 4)], [("c", ["n"], letters), ("big", ["n"], big), ("small", ["n"], small)])
+    (tmp_path / "t.nc").write_bytes(data)
+    df = read_netcdf(spark, str(tmp_path / "t.nc"))
+    assert cells(df, ["n"], "c") == dict(zip([(0,), (1,), (2,), (3,)], "grid"))
+    assert cells(df, ["n"], "big") == expected(big)
+    assert cells(df, ["n"], "small") == expected(small)
+
+
+def test_bad_files(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        list_files(str(tmp_path / "gone"))
+    with pytest.raises(FileNotFoundError):
+        list_files(str(tmp_path))
+    (tmp_path / "x.nc").write_bytes(b"nothing like it")
+    with pytest.raises(Exception, match="not a NetCDF classic file"):
+        read_netcdf(spark, str(tmp_path))
+    a, b = np.zeros(3, "i4"), np.zeros(4, "i4")
+    (tmp_path / "x.nc").write_bytes(encode(1, [("p", 3), ("q", 4)], [("a", ["p"], a), ("b", ["q"], b)]))
+    with pytest.raises(Exception, match="same dimensions"):
+        read_netcdf(spark, str(tmp_path))
+    with pytest.raises(Exception, match="no such variable"):
+        read_netcdf(spark, str(tmp_path), ["c"])
+
+
+def test_write_and_read(spark, tmp_path):
+    df = spark.range(1000).select(
+        F.col("id").cast("int").alias("n"), (F.col("id") / 8).alias("x"), F.lit(1).cast("tinyint").alias("one")
+    )
+    assert write_netcdf(df.repartition(3), str(tmp_path / "out"), max_rows=100) == 1000
+    files = list_files(str(tmp_path / "out"))
+    assert len(files) >= 10 and all(path.endswith(".nc") for path, _ in files)
+    back = read_netcdf(spark, str(tmp_path / "out"))
+    assert back.select("n", "x", "one").exceptAll(df).isEmpty() and back.count() == 1000

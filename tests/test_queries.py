@@ -1,0 +1,26 @@
+"""Every registered query against its SQL on the smallest tables."""
+
+import pytest
+from check import compare, connect
+
+import __spark_entry__ as driver
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(SF_DIR)
+
+
+def test_each_query_has_sql():
+    assert set(driver.queries()) == set(driver.oracle_sql())
+
+
+@pytest.mark.parametrize("name", list(driver.queries()))
+def test_query(spark, con, name):
+    assert compare(spark, con, name, SF_DIR) is None
+
+
+def test_entry(spark):
+    assert driver.entry(spark).columns == ["year", "month", "count", "mean", "min", "max"]

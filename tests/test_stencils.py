@@ -1,0 +1,151 @@
+import numpy as np
+import pytest
+from grids import sparse_cells
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from gridlake.grid import CellGrid
+from gridlake.operators.blocks import cells_from_rows
+from gridlake.operators.local import to_local
+from gridlake.operators.regrid import interpolate, regrid_bilinear
+from gridlake.operators.stencil import (
+    Scalar,
+    Square,
+    Window,
+    identity_aligner,
+    map_stencil,
+)
+
+RNG = np.random.default_rng(11)
+
+
+def bilinear(array: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """The definition, position by position."""
+    n, m = array.shape
+    out = np.zeros((rows, cols))
+    for oi in range(rows):
+        for oj in range(cols):
+            r, c = oi * (n - 1) / (rows - 1), oj * (m - 1) / (cols - 1)
+            i, j = min(int(r + 1e-9), n - 1), min(int(c + 1e-9), m - 1)
+            x, y = r - i, c - j
+            i2, j2 = min(i + 1, n - 1), min(j + 1, m - 1)
+            out[oi, oj] = (
+                array[i, j] * (1 - x) * (1 - y)
+                + array[i, j2] * (1 - x) * y
+                + array[i2, j] * x * (1 - y)
+                + array[i2, j2] * x * y
+            )
+    return out
+
+
+@pytest.mark.parametrize("shape", [(3, 5), (5, 3), (4, 4), (1, 6), (7, 1), (2, 9)])
+@pytest.mark.parametrize("target", [(9, 11), (2, 2), (3, 8), (4, 4), (23, 2)])
+def test_regrid_matches_the_definition(spark, shape, target):
+    array = RNG.random(shape)
+    got = to_local(regrid_bilinear(cells_from_rows(spark, array), target))
+    assert np.allclose(got, bilinear(array, *target), atol=1e-12)
+
+
+def test_regrid_to_own_size_changes_nothing(spark):
+    array = RNG.random((6, 4))
+    assert np.allclose(to_local(regrid_bilinear(cells_from_rows(spark, array), (6, 4))), array)
+
+
+def test_regrid_of_absent_cells(spark):
+    array = np.where(RNG.random((6, 6)) < 0.2, 5.0, 0.0)
+    for target in ((13, 11), (4, 3)):
+        got = to_local(regrid_bilinear(sparse_cells(spark, array), target))
+        assert np.allclose(got, bilinear(array, *target))
+
+
+def test_regrid_each_batch(spark):
+    arrays = {t: RNG.random((3, 4)) for t in (0.5, 1.5)}
+    rows = [(t, i, j, float(a[i, j])) for t, a in arrays.items() for i in range(3) for j in range(4)]
+    df = spark.createDataFrame(rows, "time DOUBLE, i BIGINT, j BIGINT, v DOUBLE")
+    for target in ((5, 7), (2, 3)):
+        out = regrid_bilinear(CellGrid(df, 3, 4, keys=("time",)), target).df
+        for t, array in arrays.items():
+            one = CellGrid(out.where(F.col("time") == t).drop("time"), *target)
+            assert np.allclose(to_local(one), bilinear(array, *target))
+
+
+def test_nan_without_weight_is_left_out(spark):
+    array = np.ones((3, 3))
+    array[2, 2] = np.nan
+    for target in ((5, 5), (3, 2)):
+        got = to_local(regrid_bilinear(cells_from_rows(spark, array), target))
+        assert np.isnan(got[-1, -1])
+        assert not np.isnan(got[0]).any() and not np.isnan(got[:, 0]).any()
+    assert np.isnan(to_local(regrid_bilinear(cells_from_rows(spark, array), (5, 5)))).sum() == 4
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 8])
+def test_interpolate_is_the_regrid_of_the_transpose(spark, n):
+    array = RNG.random((n, n))
+    got = to_local(interpolate(cells_from_rows(spark, array), (n + 3, 2 * n)))
+    assert np.allclose(got, bilinear(array.T, n + 3, 2 * n))
+
+
+def windows_of(array, extend):
+    n, m = array.shape
+    at = lambda i, j, here: array[i, j] if i < n and j < m else extend(here)
+    return {
+        (i, j): (
+            array[i, j],
+            at(i + 1, j, array[i, j]),
+            at(i, j + 1, array[i, j]),
+            at(i + 1, j + 1, array[i, j]),
+        )
+        for i in range(n)
+        for j in range(m)
+    }
+
+
+@pytest.mark.parametrize("filled", [1.0, 0.3])
+def test_square_windows(spark, filled):
+    array = np.where(RNG.random((5, 4)) < filled, RNG.integers(1, 9, (5, 4)), 0).astype(float)
+    expected = windows_of(array, lambda v: v + 100)
+    stencil = Square(lambda here: here + 100)
+    mapper = lambda w: w.here + w.next_row * 1e3 + w.next_col * 1e6 + w.diag * 1e9
+    code = lambda w: w[0] + w[1] * 1e3 + w[2] * 1e6 + w[3] * 1e9
+    grid = sparse_cells(spark, array)
+    got = to_local(map_stencil(grid, stencil, (5, 4), identity_aligner, mapper))
+    assert got.tolist() == [[code(expected[i, j]) for j in range(4)] for i in range(5)]
+    # Every output looks at one and the same source.
+    got = to_local(map_stencil(grid, stencil, (3, 2), lambda i, j: (F.lit(4), F.lit(1)), mapper))
+    assert (got == code(expected[4, 1])).all()
+    # The output position is known to the mapper.
+    got = to_local(
+        map_stencil(grid, Scalar(), (4, 5), lambda i, j: (j, i), lambda w: w.here + w.i * 100 + w.j * 1000)
+    )
+    i, j = np.indices((4, 5))
+    assert np.array_equal(got, array.T + i * 100 + j * 1000)
+
+
+def test_stencil_of_batches(spark):
+    rows = [(k, i, j, float(k * 100 + i * 10 + j)) for k in (1, 2) for i in range(3) for j in range(3)]
+    df = spark.createDataFrame(rows, "batch INT, i BIGINT, j BIGINT, v DOUBLE").where("v != 0")
+    with pytest.raises(ValueError, match="rename"):
+        CellGrid(df, 3, 3, keys=("k",))
+    grid = CellGrid(df, 3, 3, keys=("batch",))
+    out = map_stencil(grid, Square(), (2, 2), lambda i, j: (i + 1, j + 1), lambda w: w.diag - w.here)
+    got = {(r.batch, r.i, r.j): r.v for r in out.df.collect()}
+    one = {(0, 0): 11, (0, 1): 0, (1, 0): 0, (1, 1): 0}
+    assert got == {(k, i, j): v for k in (1, 2) for (i, j), v in one.items()}
+
+
+def test_aligner_out_of_range_fails(spark):
+    grid = cells_from_rows(spark, np.ones((2, 2)))
+    out = map_stencil(grid, Scalar(), (2, 2), lambda i, j: (i + 1, j), lambda w: w.here)
+    with pytest.raises(PySparkException, match="no source position"):
+        out.df.collect()
+
+
+def test_window_index():
+    column = F.lit  # any value will do
+    window = Window(None, None, here="h", next_row="r", next_col="c", diag="d")
+    assert [window.at(*p) for p in ((0, 0), (0, 1), (1, 0), (1, 1))] == ["h", "r", "c", "d"]
+    with pytest.raises(IndexError):
+        window.at(2, 0)
+    with pytest.raises(IndexError):
+        Window(None, None, here=column).at(0, 1)
