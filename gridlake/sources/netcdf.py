@@ -20,17 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceReader,
-    EqualTo,
-    Filter,
-    GreaterThan,
-    GreaterThanOrEqual,
-    InputPartition,
-    LessThan,
-    LessThanOrEqual,
-)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Fixed values of the format: type codes and list tags.
 NUMPY_TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8"}
@@ -239,7 +229,7 @@ def _index_names(chosen: Sequence[ArrayVariable]) -> list[str]:
 
 
 class NetcdfSource(DataSource):
-    """``spark.read.format("netcdf3")``; options ``path``, ``variables`` and ``splitBytes``."""
+    """``spark.read.format("netcdf3")``; options ``variables``, ``leading``, ``splitBytes``."""
 
     @classmethod
     def name(cls) -> str:
@@ -258,20 +248,27 @@ class NetcdfSource(DataSource):
         return T.StructType(fields)
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        kind = PruningReader if self.options.get("pushdown") == "true" else NetcdfReader
-        return kind(
+        leading = self.options.get("leading")
+        return NetcdfReader(
             self.options["path"],
             self._variables(),
             int(self.options.get("splitBytes", SPLIT_BYTES)),
+            tuple(map(int, leading.split(":"))) if leading else None,
             schema,
         )
 
 
 class NetcdfReader(DataSourceReader):
-    def __init__(self, path: str, variables: list[str], split_bytes: int, schema: T.StructType) -> None:
+    def __init__(
+        self,
+        path: str,
+        variables: list[str],
+        split_bytes: int,
+        leading: tuple[int, int] | None,
+        schema: T.StructType,
+    ) -> None:
         self.path, self.variables, self.split_bytes = path, variables, split_bytes
-        self.schema = schema
-        self.rows: tuple[int, int | None] = (0, None)  # wanted range of the first dimension
+        self.leading, self.schema = leading, schema
 
     def partitions(self) -> list[InputPartition]:
         splits = []
@@ -289,11 +286,11 @@ class NetcdfReader(DataSourceReader):
             names = ["file", *_index_names(chosen), *(v.name for v in chosen)]
             if names != self.schema.fieldNames():
                 raise ValueError(f"{path} has columns {names}, not {self.schema.fieldNames()}")
-            total, below = prod(shape), prod(shape[1:])
-            first, last = self.rows
-            lo = max(total * part // parts, first * below)
-            hi = total * (part + 1) // parts
-            hi = hi if last is None else min(hi, last * below)
+            first, end = self.leading or (0, shape[0])
+            below = prod(shape[1:])
+            first, end = max(first, 0) * below, min(end, shape[0]) * below
+            wanted = max(end - first, 0)
+            lo, hi = (first + wanted * n // parts for n in (part, part + 1))
             for start, stop in batches(header, chosen, lo, hi):
                 index = np.unravel_index(np.arange(start, stop), shape)
                 columns = [pa.repeat(pa.scalar(path), stop - start)]
@@ -311,31 +308,11 @@ def _column(values: np.ndarray, var: ArrayVariable) -> pa.Array:
     return pa.array(values.astype(native))
 
 
-class PruningReader(NetcdfReader):
-    """Uses comparisons on the first dimension to skip what need not be read."""
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        leading = (self.schema.fieldNames()[1],)
-        low, high = self.rows
-        for f in filters:
-            if getattr(f, "attribute", None) == leading and isinstance(getattr(f, "value", None), int):
-                ends = [n for n in (high,) if n is not None]
-                if isinstance(f, (EqualTo, GreaterThanOrEqual)):
-                    low = max(low, f.value)
-                if isinstance(f, GreaterThan):
-                    low = max(low, f.value + 1)
-                if isinstance(f, (EqualTo, LessThanOrEqual)):
-                    high = min([*ends, f.value + 1])
-                if isinstance(f, LessThan):
-                    high = min([*ends, f.value])
-            yield f  # Spark still applies it
-        self.rows = (low, high)
-
-
 def read_netcdf(
     spark: SparkSession,
     path: str,
     variables: Sequence[str] = (),
+    leading: tuple[int, int] | None = None,
     split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """Rows ``file``, one index per dimension, one column per variable.
@@ -344,18 +321,20 @@ def read_netcdf(
     variable, such as ``lat`` along ``lat``, that is itself read.
 
     ``path`` is a file or a directory of ``.nc`` files with the same variables. Variables left
-    out are not read. With ``spark.sql.python.filterPushdown.enabled``, comparisons on the
-    first dimension limit the ranges that are read.
+    out are not read. ``leading`` limits the reading to a half-open range of the first
+    dimension, such as some time steps. It is an argument, not a pushed filter, because Spark
+    4.1 keeps filters that were pushed into a Python source for later queries on the same
+    DataFrame.
     """
     spark.dataSource.register(NetcdfSource)
-    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled") == "true"
-    return (
+    reader = (
         spark.read.format("netcdf3")
         .option("variables", ",".join(variables))
         .option("splitBytes", split_bytes)
-        .option("pushdown", str(pushdown).lower())
-        .load(path)
     )
+    if leading is not None:
+        reader = reader.option("leading", "{}:{}".format(*leading))
+    return reader.load(path)
 
 
 def select_variable(df: DataFrame, name: str) -> DataFrame:

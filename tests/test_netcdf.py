@@ -128,8 +128,12 @@ def test_seven_files(spark, tmp_path):
     with pytest.raises(ValueError, match="no such variable"):
         select_variable(df, "gone")
     for first, last in ((0, 0), (5, 60), (2999, 9999)):
+        wanted = sum(int(a[first : last + 1].sum()) for a in arrays)
         got = df.where(F.col("row").between(first, last)).agg(F.sum("values")).first()[0]
-        assert (got or 0) == sum(int(a[first : last + 1].sum()) for a in arrays)
+        assert (got or 0) == wanted
+        part = read_netcdf(spark, str(tmp_path), ["values"], leading=(first, last + 1), split_bytes=1000)
+        assert (part.agg(F.sum("values")).first()[0] or 0) == wanted
+        assert df.agg(F.sum("values")).first()[0] == every.sum()
 
 
 def test_only_wanted_ranges_are_read(spark, tmp_path):
@@ -137,10 +141,11 @@ def test_only_wanted_ranges_are_read(spark, tmp_path):
     array = np.arange(10_000, dtype="i4")
     data = encode(2, [("row", 10_000)], [("values", ["row"], array)])
     (tmp_path / "a.nc").write_bytes(data[: len(data) // 2])
-    df = read_netcdf(spark, str(tmp_path / "a.nc"))
-    assert df.where("row < 100").agg(F.sum("values")).first()[0] == 4950
-    with pytest.raises(PySparkException):
-        df.agg(F.sum("values")).collect()
+    path = str(tmp_path / "a.nc")
+    front = read_netcdf(spark, path, leading=(0, 100))
+    assert front.agg(F.sum("values")).first()[0] == 4950
+    with pytest.raises(PySparkException, match="too early"):
+        read_netcdf(spark, path).agg(F.sum("values")).collect()
 
 
 def test_text_and_wide_types(spark, tmp_path):
