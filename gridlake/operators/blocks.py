@@ -22,7 +22,7 @@ from gridlake.grid import (
 from gridlake.operators.shape import at_position, fail_if, unique_positions, with_dims
 
 SEGMENT = 4096  # cells that densify fills from one marker row
-CELLS_PER_TASK = 1 << 20
+CELLS_PER_TASK = 1 << 19
 MAX_TASKS = 20_000
 
 
@@ -118,7 +118,10 @@ def to_cells(grid: BlockGrid, dense: bool = False) -> CellGrid:
     """
     if dense:
         grid = densify(grid)
-    at = grid.df.select(*grid.position, "nr", F.posexplode("vals").alias("k", "v"))
+    # Not posexplode: for that, Spark adds a test of the array's size, which would compute the
+    # values of a derived block a second time.
+    at = grid.df.select(*grid.position, "nr", F.posexplode_outer("vals").alias("k", "v"))
+    at = at.where(F.col("k").isNotNull())
     i = global_index("bi", F.pmod("k", "nr"), grid.rows_per_block)
     j = global_index("bj", int_div(F.col("k"), F.col("nr")), grid.cols_per_block)
     return CellGrid(

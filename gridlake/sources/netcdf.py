@@ -282,7 +282,7 @@ class NetcdfReader(DataSourceReader):
         with _open(path) as file:
             header = read_header(file, size)
             chosen = _choose(header, self.variables)
-            shape = chosen[0].shape
+            shape = chosen[0].shape or (1,)
             names = ["file", *_index_names(chosen), *(v.name for v in chosen)]
             if names != self.schema.fieldNames():
                 raise ValueError(f"{path} has columns {names}, not {self.schema.fieldNames()}")
@@ -292,7 +292,7 @@ class NetcdfReader(DataSourceReader):
             wanted = max(end - first, 0)
             lo, hi = (first + wanted * n // parts for n in (part, part + 1))
             for start, stop in batches(header, chosen, lo, hi):
-                index = np.unravel_index(np.arange(start, stop), shape)
+                index = np.unravel_index(np.arange(start, stop), shape) if chosen[0].dims else ()
                 columns = [pa.repeat(pa.scalar(path), stop - start)]
                 columns += [pa.array(i, pa.int64()) for i in index]
                 for var in chosen:
@@ -359,7 +359,9 @@ def encode_file(dim: str, columns: dict[str, np.ndarray]) -> bytes:
     length = len(next(iter(columns.values())))
     described = []
     for name, values in columns.items():
-        code = codes[values.dtype.str[1:]]
+        code = codes.get(values.dtype.str[1:])
+        if code is None:
+            raise ValueError(f"no classic type for column {name} of {values.dtype}")
         data = values.astype(NUMPY_TYPES[code]).tobytes()
         described.append((name, code, data + bytes(-len(data) % 4)))
 
@@ -400,6 +402,9 @@ def write_netcdf(df: DataFrame, path: str, dim: str = "row", max_rows: int = 1 <
         def flush() -> None:
             nonlocal files, kept
             table = pa.Table.from_batches(kept)
+            empty = [n for n in names if table.column(n).null_count]
+            if empty:
+                raise ValueError(f"array files cannot hold NULL: {', '.join(empty)}")
             data = encode_file(dim, {n: table.column(n).to_numpy() for n in names})
             target = f"{inner}/{dim}s-{task.partitionId():06d}-{files:04d}.nc"
             waiting = f"{target}.{task.taskAttemptId()}.part"

@@ -185,3 +185,11 @@ def test_write_and_read(spark, tmp_path):
     assert len(files) >= 10 and all(path.endswith(".nc") for path, _ in files)
     back = read_netcdf(spark, str(tmp_path / "out"))
     assert back.select("n", "x", "one").exceptAll(df).isEmpty() and back.count() == 1000
+
+
+def test_what_array_files_cannot_hold(spark, tmp_path):
+    path = str(tmp_path / "out")
+    with pytest.raises(PySparkException, match="cannot hold NULL"):
+        write_netcdf(spark.sql("SELECT 1 AS a UNION ALL SELECT CAST(NULL AS INT)"), path)
+    with pytest.raises(PySparkException, match="no classic type"):
+        write_netcdf(spark.range(3), path)
