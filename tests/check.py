@@ -34,6 +34,7 @@ KINDS = {
     "smallint": "SMALLINT",
     "double": "DOUBLE",
     "string": "VARCHAR",
+    "boolean": "BOOLEAN",
 }
 
 
@@ -66,7 +67,7 @@ def main() -> int:
     from conftest import make_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
-    names = sys.argv[2:] or list(driver.queries())
+    names = sys.argv[2:] or list(driver.oracle_sql())
     sf_dir = f"/root/testdata/sf{sf}"
     spark, con = make_session(), connect(sf_dir)
     failed = 0
