@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.llm.common import read
 from gridlake.llm.decontamination import find_contamination, is_contaminated, n_hit
 from gridlake.llm.mixing import plan_mix
+from gridlake.llm.simhash import near_duplicates
+from gridlake.llm.token_files import encode_documents
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +34,20 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of each document in token files, read back from them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles and their components at 4 bits or fewer."""
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op3_token_files": op3_token_files,
     "op7_decontaminate": op7_decontaminate,
+    "op8_simhash": op8_simhash,
 }
