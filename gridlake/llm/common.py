@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 # White space that separates words, as a pattern for words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,6 +58,13 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def widened(df: DataFrame, drop: Iterable[str] = (), **new: str) -> StructType:
+    """The schema of ``df`` without ``drop``, and with ``new`` columns of the given types after it."""
+    drop = set(drop)
+    kept = [f for f in df.schema if f.name not in drop]
+    return StructType(kept + [StructField(name, DataType.fromDDL(kind)) for name, kind in new.items()])
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; every other character stays as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import pieces, raw_texts, stored, text_of, unused, with_columns
+from gridlake.llm.common import pieces, raw_texts, stored, text_of, unused, widened, with_columns
 
 # Bytes of test items behind one broadcast. More items are looked for in several passes.
 MAX_ITEM_BYTES = 16 << 20
@@ -158,10 +158,8 @@ def find_contamination(
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-size // max_item_bytes))
     names = tuple(names)
-    kinds = {names[0]: "bigint", names[1]: SPANS, names[2]: "array<string>"}
     out = docs.drop(*names)
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    schema = ", ".join(filter(None, [plain, *[f"`{k}` {v}" for k, v in kinds.items()]]))
+    schema = widened(out, **{names[0]: "bigint", names[1]: SPANS, names[2]: "array<string>"})
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
         index = spark.sparkContext.broadcast(

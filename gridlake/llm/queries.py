@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import read
+from gridlake.llm import language, toxicity
+from gridlake.llm.common import read, remainder
 from gridlake.llm.decontamination import find_contamination, is_contaminated, n_hit
 from gridlake.llm.mixing import plan_mix
 from gridlake.llm.simhash import near_duplicates
@@ -20,6 +21,31 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learned from two thirds of the labels."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    return toxicity.with_score(docs, model).select(
+        "doc_id",
+        (remainder("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned from two thirds of the documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs, remainder("doc_id", 3) != 1)
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (remainder("doc_id", 3) == 1).alias("held_out"),
+        "lang_pred",
+        "score",
+        "ambiguous",
+    )
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and items of each document inside windows of 13 words of a benchmark item."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,6 +74,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op3_token_files": op3_token_files,
+    "op5_toxicity": op5_toxicity,
+    "op6_language": op6_language,
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
 }
