@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import language, quality, toxicity
+from gridlake.llm import language, ppm, quality, toxicity
 from gridlake.llm.common import read, remainder
 from gridlake.llm.decontamination import find_contamination, is_contaminated, n_hit
 from gridlake.llm.mixing import plan_mix
@@ -21,6 +21,13 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of each document, learned from four fifths of them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = ppm.score(docs, remainder("doc_id", 5) != 1)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), *scored.columns[1:])
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document, learned from two thirds of the labels."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -86,6 +93,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op3_token_files": op3_token_files,
+    "op4_ppm": op4_ppm,
     "op5_toxicity": op5_toxicity,
     "op6_language": op6_language,
     "op7_decontaminate": op7_decontaminate,
