@@ -14,6 +14,7 @@ from gridlake.llm.decontamination import find_contamination, is_contaminated, n_
 from gridlake.llm.mixing import plan_mix
 from gridlake.llm.simhash import near_duplicates
 from gridlake.llm.token_files import encode_documents
+from gridlake.llm.weighted_sampling import compare_edited
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and of an edited one, and how alike they and the next one are."""
+    return compare_edited(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op3_token_files": op3_token_files,
@@ -99,4 +105,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
+    "op10_weighted_sampling": op10_weighted_sampling,
 }
