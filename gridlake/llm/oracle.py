@@ -39,6 +39,37 @@ SELECT doc_id, size, source_size, target,
 FROM running
 """
 
+_TOOL_CALLS = r"""
+WITH calls AS (
+    SELECT conv_id, 'c' || turn AS call_id, turn, ['search', 'write', 'translate'][turn % 3 + 1] AS tool,
+        text, length(text) AS size,
+        turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS chain
+    FROM conversations WHERE role = 'assistant'),
+ordered AS (
+    SELECT *, (row_number() OVER (PARTITION BY conv_id, turn % 2, chain ORDER BY turn) - 1)::INTEGER AS depth
+    FROM calls),
+results AS (
+    SELECT conv_id, 'c' || (turn - 1) AS call_id, text AS result FROM conversations WHERE role = 'user'),
+written AS (
+    SELECT o.*, r.result,
+        '{' || CASE WHEN text IS NULL THEN '' ELSE '"query":' || to_json(text)::VARCHAR END
+            || CASE WHEN text IS NULL THEN '' ELSE ',"size":' || size END || '}' AS arguments
+    FROM ordered o LEFT JOIN results r USING (conv_id, call_id))
+SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id ORDER BY depth, turn, call_id)::INTEGER AS position,
+    depth, tool, arguments,
+    concat_ws('; ',
+        CASE WHEN tool = 'translate' THEN '$.target: missing' END,
+        CASE WHEN tool <> 'write' AND size < 1 THEN '$.query: too short' END,
+        CASE WHEN tool <> 'write' AND size > 1000 THEN '$.query: too long' END,
+        CASE WHEN tool = 'search' AND size > 800 THEN '$.size: too large' END,
+        CASE WHEN tool = 'write' AND size < 200 THEN '$.size: too small' END) AS problems,
+    result, (result IS NOT NULL)::BIGINT AS n_results,
+    '{"arguments":' || arguments || ',"id":' || to_json(call_id)::VARCHAR
+        || ',"result":' || coalesce(to_json(result)::VARCHAR, 'null') || ',"tool":' || to_json(tool)::VARCHAR || '}'
+        AS call_json
+FROM written
+"""
+
 _DECONTAMINATE = r"""
 WITH fold AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -74,5 +105,6 @@ FROM fold LEFT JOIN places USING (doc_id) LEFT JOIN names USING (doc_id)
 
 ORACLE: dict[str, str] = {
     "op1_mix": _MIX,
+    "op2_tool_calls": _TOOL_CALLS,
     "op7_decontaminate": _DECONTAMINATE,
 }

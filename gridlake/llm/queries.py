@@ -14,6 +14,7 @@ from gridlake.llm.decontamination import find_contamination, is_contaminated, n_
 from gridlake.llm.mixing import plan_mix
 from gridlake.llm.simhash import near_duplicates
 from gridlake.llm.token_files import encode_documents
+from gridlake.llm.tool_calls import link_calls
 from gridlake.llm.weighted_sampling import compare_edited
 
 
@@ -68,6 +69,39 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The tools that assistants' turns stand for, in turn, and what their arguments must be.
+_TEXT = {"type": "string", "minLength": 1, "maxLength": 1000}
+TOOLS = {
+    "search": {"type": "object", "required": ["query"], "properties": {"query": _TEXT, "size": {"type": "integer", "maximum": 800}}},
+    "write": {"type": "object", "required": ["query", "size"], "properties": {"size": {"type": "integer", "minimum": 200}}},
+    "translate": {"type": "object", "required": ["query", "target"], "properties": {"query": _TEXT}},
+}
+
+
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results of all conversations, linked, ordered, validated and written as JSON.
+
+    The tables hold no calls, so turns stand for them: an assistant's turn is a call with its text as
+    argument, which comes after the call two turns before, and the user's next turn is its result.
+    """
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    name = lambda turn: F.concat(F.lit("c"), turn.cast("string"))
+    turn = F.col("turn")
+    calls = turns.where("role = 'assistant'").select(
+        "conv_id",
+        name(turn).alias("call_id"),
+        "turn",
+        F.element_at(F.array(*[F.lit(t) for t in TOOLS]), (turn % len(TOOLS)).cast("int") + 1).alias("tool"),
+        F.to_json(F.struct(F.char_length("text").alias("size"), F.col("text").alias("query"))).alias("arguments"),
+        F.array(name(turn - 2)).alias("after"),
+    )
+    results = turns.where("role = 'user'").select(
+        "conv_id", name(turn - 1).alias("call_id"), "turn", F.col("text").alias("result")
+    )
+    linked = link_calls(calls, results, TOOLS)
+    return linked.withColumn("problems", F.array_join("problems", "; "))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start, length and checksum of each document in token files, read back from them."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -98,6 +132,7 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_tool_calls": op2_tool_calls,
     "op3_token_files": op3_token_files,
     "op4_ppm": op4_ppm,
     "op5_toxicity": op5_toxicity,
