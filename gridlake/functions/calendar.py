@@ -5,8 +5,10 @@ functions here turn it into calendar fields with built-in arithmetic, so they st
 generated code, and can restrict a column to a range of years in a form that reaches the
 Parquet reader.
 
-Choices that are ours: coordinates are rounded to milliseconds, months are numbered 1 to 12,
-NaN has no year, and the default is days since 1970-01-01 in the standard calendar.
+Choices that are ours: coordinates are rounded to milliseconds, months are numbered 1 to 12, and
+the default is days since 1970-01-01 in the standard calendar. NaN has no year or month, and neither has
+a coordinate of more than ``RANGE_MS`` milliseconds (about 285,000 years) either way, such as infinity or
+the usual fill values of array files.
 """
 
 from __future__ import annotations
@@ -56,6 +58,7 @@ UNIT_SHORT = {
     "ms": "millisecond",
 }
 DAY_MS = UNIT_MS["day"]
+RANGE_MS = 9_000_000_000_000_000
 GREGORIAN_START = (1582, 10, 15)
 
 UNITS_TEXT = re.compile(
@@ -205,26 +208,36 @@ FIELDS: dict[str, Callable[[str], tuple[str, str]]] = {
 }
 
 
+def _none_sql(time: str, unit: TimeUnit) -> str:
+    """SQL text for whether a coordinate has no year: NaN counts as larger than any number."""
+    return f"ABS({time} * {unit.unit_ms}D) > {RANGE_MS}D"
+
+
 def year_sql(time: str, unit: TimeUnit) -> str:
     """SQL text for the calendar year of the SQL expression ``time``."""
     year, _ = FIELDS[unit.calendar](_day_sql(time, unit))
-    return f"IF(ISNAN({time}), NULL, CAST({year} AS INT))"
+    return f"IF({_none_sql(time, unit)}, NULL, CAST({year} AS INT))"
 
 
 def month_sql(time: str, unit: TimeUnit) -> str:
     """SQL text for the calendar month, 1 to 12, of the SQL expression ``time``."""
     _, month = FIELDS[unit.calendar](_day_sql(time, unit))
-    return f"IF(ISNAN({time}), NULL, CAST({month} AS INT))"
+    return f"IF({_none_sql(time, unit)}, NULL, CAST({month} AS INT))"
+
+
+def quoted(name: str) -> str:
+    """A column name as SQL text, whatever it consists of."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def year_of(time: str, unit: TimeUnit) -> Column:
-    """Calendar year of a time coordinate, given as a column name or SQL expression."""
-    return F.expr(year_sql(f"DOUBLE({time})", unit))
+    """Calendar year of a time coordinate, given as a column name."""
+    return F.expr(year_sql(f"DOUBLE({quoted(time)})", unit))
 
 
 def month_of(time: str, unit: TimeUnit) -> Column:
-    """Calendar month of a time coordinate, given as a column name or SQL expression."""
-    return F.expr(month_sql(f"DOUBLE({time})", unit))
+    """Calendar month of a time coordinate, given as a column name."""
+    return F.expr(month_sql(f"DOUBLE({quoted(time)})", unit))
 
 
 def year_between(time: str, unit: TimeUnit, first: int, last: int) -> Column:
@@ -235,10 +248,10 @@ def year_between(time: str, unit: TimeUnit, first: int, last: int) -> Column:
     """
     low = (unit.offset_ms(first) - 0.5) / unit.unit_ms
     high = (unit.offset_ms(last + 1) - 0.5) / unit.unit_ms
-    column = F.col(time)
+    column = F.col(quoted(time))
     slack = 1.0 / unit.unit_ms
     near = (column >= low - slack) & (column < high + slack)
-    return near & year_of(f"`{time}`", unit).between(first, last)
+    return near & year_of(time, unit).between(first, last)
 
 
 # --- metadata and SQL registration -------------------------------------------------------------

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 # Names that operators use for columns of their own; batch keys need other names.
 RESERVED = frozenset(
     "i j v bi bj nr nc vals a b k x y at end segment cells copies block repeated part step here "
-    "next_row next_col diag si sj oi oj rule detail found nr_min nr_max nc_min nc_max".split()
+    "next_row next_col diag si sj oi oj rule detail found fits nr_min nr_max nc_min nc_max present salt".split()
 )
 
 BLOCK_SCHEMA = "bi INT, bj INT, nr INT, nc INT, vals ARRAY<DOUBLE>"

@@ -47,6 +47,15 @@ def blocks_from_rows(
     return BlockGrid(df, rows_per_block, cols_per_block, nrows, ncols)
 
 
+def tasks_for(grid: Grid, cells: int) -> int:
+    """How many tasks to ask for when ``cells`` cells are made for each batch of a grid.
+
+    With batch keys this runs a job that counts the batches.
+    """
+    batches = grid.df.select(*grid.keys).distinct().count() if grid.keys else 1
+    return max(1, min(ceil(batches * cells / CELLS_PER_TASK), MAX_TASKS))
+
+
 def to_blocks(grid: CellGrid, rows_per_block: int, cols_per_block: int) -> BlockGrid:
     """Cut a cell grid into tiles; cells missing from a tile become zeros.
 
@@ -70,8 +79,11 @@ def to_blocks(grid: CellGrid, rows_per_block: int, cols_per_block: int) -> Block
     located = grid.df.withColumns({"bi": bi, "bj": bj}).select(
         *grid.keys, "bi", "bj", k.cast("int").alias("k"), "v"
     )
+    # Zeros are filled in after the shuffle: ask for tasks by the number of cells to be made.
+    tasks = tasks_for(grid, grid.nrows * grid.ncols)
     packed = (
-        located.groupBy(*grid.keys, "bi", "bj")
+        located.repartition(tasks, *grid.keys, "bi", "bj")
+        .groupBy(*grid.keys, "bi", "bj")
         .agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("cells"))
         .withColumns({"nr": nr, "nc": nc})
     )
@@ -218,11 +230,7 @@ def _(grid: CellGrid) -> CellGrid:
     # The zeros appear after the shuffle, so its size says nothing about the work per task:
     # ask for tasks by the number of cells to be written.
     by_segment = [*grid.keys, "segment"]
-    rows = cells.unionByName(markers)
-    if grid.keys:
-        rows = rows.repartition(*by_segment)
-    else:
-        rows = rows.repartition(min(ceil(total / CELLS_PER_TASK), MAX_TASKS), *by_segment)
+    rows = cells.unionByName(markers).repartition(tasks_for(grid, total), *by_segment)
     length = F.least(F.lit(SEGMENT), F.lit(total) - F.col("segment") * SEGMENT).cast("int")
     following = F.expr(
         f"lead(k) OVER (PARTITION BY {', '.join(f'`{c}`' for c in by_segment)} ORDER BY k)"

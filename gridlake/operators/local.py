@@ -32,6 +32,8 @@ def to_local(grid: Grid) -> np.ndarray:
         log.warning("this array needs %d MB of driver memory", nrows * ncols // 125000)
     found = cells.df.select("i", "j", "v").toArrow()
     i, j, v = (found.column(name).to_numpy() for name in ("i", "j", "v"))
+    if len(i) and (min(i.min(), j.min()) < 0 or i.max() >= nrows or j.max() >= ncols):
+        raise ValueError("a cell lies outside the claimed size")
     at = i * ncols + j
     if not cells.unique and len(np.unique(at)) != len(at):
         raise ValueError("a cell occurs more than once")

@@ -9,8 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridlake.grid import CellGrid, int_div
+from gridlake.operators.blocks import tasks_for
 from gridlake.operators.elementwise import transpose
-from gridlake.operators.shape import sum_duplicates, unique_positions, with_dims
+from gridlake.operators.shape import sum_duplicates, unique_positions, with_dims, within_size
 from gridlake.operators.stencil import Square, neighbourhoods, window_values
 
 log = logging.getLogger(__name__)
@@ -25,8 +26,11 @@ def regrid_bilinear(grid: CellGrid, target: tuple[int, int]) -> CellGrid:
     Nothing is joined or broadcast: each source cell, or each window, works out the outputs it
     contributes to. Batch keys make it one job for, say, all time steps.
 
-    A finer target collects windows first and shuffles about one row per source cell. A
-    coarser one drops the cells between outputs first and shuffles at most four rows per output.
+    There is an output where a cell that is present has a weight above 0, whatever the sizes.
+
+    A finer target collects windows first, shuffles about one row per source cell, and is dealt out by
+    the number of outputs before they are made. A coarser one drops the cells between outputs first and
+    shuffles at most four rows per output.
     """
     rows, cols = target
     if rows < 2 or cols < 2:
@@ -34,6 +38,7 @@ def regrid_bilinear(grid: CellGrid, target: tuple[int, int]) -> CellGrid:
     grid = with_dims(grid)
     if grid.nrows < 1 or grid.ncols < 1:
         raise ValueError("cannot resample an empty grid")
+    grid = within_size(grid)
     if grid.nrows > rows or grid.ncols > cols:
         log.warning("a target coarser than the grid leaves out cells between outputs")
     finer = rows * cols >= grid.nrows * grid.ncols
@@ -82,15 +87,24 @@ def _distance(out: str, index: str, n: int, t: int) -> Column:
 def _from_windows(grid: CellGrid, rows: int, cols: int) -> CellGrid:
     windows = neighbourhoods(grid, Square())
     filled = window_values(with_dims(grid), Square())
-    first_i, last_i = _outputs_at("i", grid.nrows, rows)
-    first_j, last_j = _outputs_at("j", grid.ncols, cols)
-    spread = (
-        windows.withColumns(filled)
-        .where((first_i <= last_i) & (first_j <= last_j))
-        .withColumn("oi", F.explode(F.sequence(first_i, last_i)))
-        .withColumn("oj", F.explode(F.sequence(first_j, last_j)))
-        .withColumn("x", _distance("oi", "i", grid.nrows, rows))
-        .withColumn("y", _distance("oj", "j", grid.ncols, cols))
+    axes = {"i": ("oi", grid.nrows, rows), "j": ("oj", grid.ncols, cols)}
+    ranges = {index: _outputs_at(index, n, t) for index, (_, n, t) in axes.items()}
+    present = F.struct(*[F.col(name).isNotNull().alias(name) for name in filled])
+    spread = windows.withColumn("present", present).withColumns(filled)
+    for first, last in ranges.values():
+        spread = spread.where(first <= last)
+    # The outputs appear after the shuffle, so its size says nothing about the work per task. An axis
+    # of one source cell, from which all its outputs come, is spread before.
+    tasks = tasks_for(grid, rows * cols)
+    early = [index for index, (_, n, _) in axes.items() if n == 1]
+    late = [index for index in axes if index not in early]
+    for index in early:
+        spread = spread.withColumn(axes[index][0], F.explode(F.sequence(*ranges[index])))
+    spread = spread.repartition(tasks, *grid.keys, "i", "j", *[axes[index][0] for index in early])
+    for index in late:
+        spread = spread.withColumn(axes[index][0], F.explode(F.sequence(*ranges[index])))
+    spread = spread.withColumn("x", _distance("oi", "i", grid.nrows, rows)).withColumn(
+        "y", _distance("oj", "j", grid.ncols, cols)
     )
 
     def part(name: str, wx: Column, wy: Column) -> Column:
@@ -98,6 +112,11 @@ def _from_windows(grid: CellGrid, rows: int, cols: int) -> CellGrid:
         return F.when(weight == 0, F.lit(0.0)).otherwise(F.col(name) * weight)
 
     x, y = F.col("x"), F.col("y")
+    corners = {"here": (1 - x) * (1 - y), "next_col": (1 - x) * y, "next_row": x * (1 - y), "diag": x * y}
+    some = F.lit(False)
+    for name, weight in corners.items():
+        some = some | ((weight > 0) & F.col("present")[name])
+    spread = spread.where(some)
     value = (
         part("here", 1 - x, 1 - y)
         + part("next_col", 1 - x, y)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridlake.grid import BlockGrid, CellGrid, Grid, num_blocks
 
-RULES = ("size", "duplicate", "shape")
+RULES = ("size", "duplicate", "shape", "values")
 
 
 @singledispatch
@@ -70,6 +70,32 @@ def at_position(text: str, *names: str) -> Column:
     return F.concat(F.lit(text), *where)
 
 
+@singledispatch
+def within_size(grid):
+    """The grid, of known size, with the query failing at a cell or block outside the claimed size.
+
+    The test is part of the index columns, so that no filter on them can drop such a row first.
+    """
+    raise TypeError(f"not a grid: {type(grid).__name__}")
+
+
+@within_size.register
+def _(grid: CellGrid) -> CellGrid:
+    i, j = F.col("i"), F.col("j")
+    outside = (i < 0) | (j < 0) | (i >= F.lit(grid.nrows)) | (j >= F.lit(grid.ncols))
+    checked = fail_if(outside, at_position("cell outside the claimed size:", "i", "j"), i)
+    return grid.with_df(grid.df.select(*grid.keys, checked.alias("i"), "j", "v"))
+
+
+@within_size.register
+def _(grid: BlockGrid) -> BlockGrid:
+    bottom = F.col("bi").cast("bigint") * grid.rows_per_block + F.col("nr")
+    right = F.col("bj").cast("bigint") * grid.cols_per_block + F.col("nc")
+    outside = (F.col("bi") < 0) | (F.col("bj") < 0) | (bottom > F.lit(grid.nrows)) | (right > F.lit(grid.ncols))
+    checked = fail_if(outside, at_position("block outside the claimed size:", "bi", "bj"), F.col("bi"))
+    return grid.with_df(grid.df.select(*grid.keys, checked.alias("bi"), "bj", "nr", "nc", "vals"))
+
+
 @singledispatch
 def unique_positions(grid):
     """The grid, with the query failing if any cell or block occurs twice.
@@ -138,16 +164,19 @@ def _extent_ok(index: str, low: str, high: str, full: int, blocks: int) -> Colum
     )
 
 
-def violations(grid: BlockGrid) -> DataFrame:
+def violations(grid: BlockGrid, values: bool = False) -> DataFrame:
     """Every broken rule as ``bi, bj, rule, detail``; empty for a valid grid.
 
     ``size``: the block reaches beyond the claimed size. ``duplicate``: the position occurs
     more than once. ``shape``: an interior block is not a full tile, or an edge block is
-    empty or larger than a tile. All three come from one aggregate over block positions.
+    empty or larger than a tile. ``values``, only tested if asked for because it reads the values: a
+    block has not as many values as its extent says. All come from one aggregate over block positions.
     """
     grid = with_dims(grid)
     rows, cols = grid.rows_per_block, grid.cols_per_block
+    fits = F.coalesce(F.size("vals") == F.col("nr") * F.col("nc"), F.lit(False)) if values else F.lit(True)
     summary = grid.df.groupBy(*grid.position).agg(
+        F.bool_and(fits).alias("fits"),
         F.count(F.lit(1)).alias("copies"),
         F.min("nr").alias("nr_min"),
         F.max("nr").alias("nr_max"),
@@ -163,11 +192,13 @@ def violations(grid: BlockGrid) -> DataFrame:
             _extent_ok("bi", "nr_min", "nr_max", rows, num_blocks(grid.nrows, rows))
             & _extent_ok("bj", "nc_min", "nc_max", cols, num_blocks(grid.ncols, cols))
         ),
+        "values": ~F.col("fits"),
     }
     detail = {
         "size": F.concat_ws(" ", F.lit("reaches"), bottom.cast("string"), right.cast("string")),
         "duplicate": F.concat_ws(" ", F.col("copies").cast("string"), F.lit("copies")),
         "shape": F.concat_ws(" ", F.lit("is"), F.col("nr_max").cast("string"), F.col("nc_max").cast("string")),
+        "values": F.lit("has too few or too many values"),
     }
     found = F.array_compact(
         F.array(
@@ -182,10 +213,10 @@ def violations(grid: BlockGrid) -> DataFrame:
     )
 
 
-def validate(grid: BlockGrid) -> None:
+def validate(grid: BlockGrid, values: bool = False) -> None:
     """Run ``violations`` and raise on the most basic rule that is broken."""
     rank = F.array_position(F.array(*[F.lit(rule) for rule in RULES]), F.col("rule"))
-    worst = violations(grid).orderBy(rank, *grid.position).first()
+    worst = violations(grid, values).orderBy(rank, *grid.position).first()
     if worst is not None:
         raise ValueError(
             f"block ({worst.bi}, {worst.bj}) breaks the {worst.rule} rule: {worst.detail}"

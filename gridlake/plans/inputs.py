@@ -75,8 +75,14 @@ def shipping_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder that the session names for checkpoints."""
+    """A new folder name in the shared folder that the session names for checkpoints.
+
+    Without one it raises, but for a local master, whose executors are threads of this process.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="run-")
     return f"{shared.rstrip('/')}/{name}-{uuid4().hex}"

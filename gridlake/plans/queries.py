@@ -383,7 +383,7 @@ def regrid_coarser(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def regrid_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = supplier_lines(spark, sf_dir, yearly=True)
-    return regrid_bilinear(grid, (2 * grid.nrows - 1, 2 * grid.ncols - 1)).df.where("v != 0")
+    return regrid_bilinear(grid, (2 * grid.nrows - 1, 2 * grid.ncols - 1)).df
 
 
 @query
@@ -391,7 +391,7 @@ def interpolate_square(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = supplier_lines(spark, sf_dir)
     size = max(grid.nrows, grid.ncols)
     square = replace(grid, nrows=size, ncols=size)
-    return interpolate(square, (2 * size - 1, 2 * size - 1)).df.where("v != 0")
+    return interpolate(square, (2 * size - 1, 2 * size - 1)).df
 
 
 # --- summaries, files and metadata ---------------------------------------------------------------

@@ -34,8 +34,11 @@ class Metadata:
 
 
 def metadata_frame(spark: SparkSession, path: str) -> DataFrame:
-    """A metadata file as a DataFrame with one row, or none if the file is empty."""
-    return spark.read.schema(METADATA_SCHEMA).option("multiLine", True).json(path)
+    """A metadata file as a DataFrame with one row, or none if the file is empty.
+
+    A damaged or truncated file fails the query that reads it.
+    """
+    return spark.read.schema(METADATA_SCHEMA).options(multiLine=True, mode="FAILFAST").json(path)
 
 
 def variables_frame(metadata: DataFrame) -> DataFrame:
@@ -64,10 +67,12 @@ def first_metadata(metadata: DataFrame) -> Metadata | None:
     row = metadata.first()
     if row is None:
         return None
+    if row.variables is None:
+        raise ValueError("the metadata has no list of variables")
     return Metadata(
         tuple(
             Variable(v.name, v.units, tuple(v.dims or ()), dict(v.attributes or {}))
-            for v in row.variables or ()
+            for v in row.variables
         )
     )
 
