@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import repeat
@@ -13,13 +14,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import pieces, raw_texts, scratch
+from gridlake.llm.common import flat, pieces, scratch
 
 # Words whose ids a task remembers; then it starts anew.
-MAX_WORDS = 300_000
+MAX_WORDS = 800_000
 # With at most so many files, their totals (16 bytes each) are broadcast.
 MAX_BROADCAST_PARTS = 100_000
 
+# Letters that every version of Unicode knows as lower-case letters without a composition: a-z, and
+# those of Latin-1.
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+NOTHING = re.compile("(?!)")
+
 # The layout: integers are run-length encoded by the format; each stripe has an index of rows and
 # Bloom filters on the ids of documents.
 LAYOUT = {
@@ -36,56 +42,114 @@ class WordEncoder:
     """Encodes texts with a tokenizer that drops white space.
 
     For such a tokenizer the ids of a text are those of its words, in order, so each word is encoded
-    once and looked up afterwards.
+    once and looked up afterwards. Where it also lower-cases, and ends a token between a letter and a
+    full stop or comma, "Word," is looked up as "word" and ",".
     """
 
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
+        self.special = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.folds = self._ids("Ab,") == self._ids("ab") + self._ids(",") and self._ids("Ab.") == self._ids(
+            "ab"
+        ) + self._ids(".")
+        # Words of lower-case letters alone need no normalizer and no pattern: the model and the end of
+        # word that it marks are enough.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        probe = ["a", "über", "s", "strasse", "élèves", "nn"]
+        alike = all(self._ids(w) == self._plain_ids([w]).tolist() for w in probe)
+        self.letters = LETTERS if suffix and self.folds and alike else NOTHING
         self._forget()
 
+    def _plain_ids(self, words: list[str]) -> np.ndarray:
+        return np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _forget(self) -> None:
-        # An empty word stands for the end of a document.
-        self.index: dict[bytes, int] = {b"": 0}
-        self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
-        self.ids = np.array([self.end_id], np.int32)
+        # The first three entries are what may follow a word: nothing, a comma, a full stop.
+        tails = [[], self._ids(","), self._ids(".")]
+        self.index: dict[bytes, int] = {}
+        self.lengths = np.array([len(t) for t in tails], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.ids = np.array([i for t in tails for i in t], np.int32)
+
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of lower-case letters, and how many each has."""
+        ids = self._plain_ids(words)
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any words, and how many each has. Special tokens keep words apart in one call."""
+        if not self.special or any(s in w for w in words for s in self.special):
+            ids = [self._ids(w) for w in words]
+            return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+        mark, number = next(iter(self.special.items()))
+        joined = self.tokenizer.encode_batch_fast([mark.join([*words, ""])], add_special_tokens=False)[0]
+        ids = np.array(joined.ids, np.int32)
+        marks = np.flatnonzero(ids == number)
+        return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
 
     def _learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        new = [e.ids for e in encoded]
-        lengths = np.fromiter(map(len, new), np.int64, len(new))
-        starts = len(self.ids) + np.cumsum(lengths) - lengths
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
-        self.starts = np.concatenate((self.starts, starts))
+        plain, other = [], []
+        for word in words:
+            text = word.decode()
+            (plain if self.letters.fullmatch(text) else other).append(text)
+        new = []
+        for encode, some in ((self._encode_letters, plain), (self._encode_words, other)):
+            new += [encode(some[k : k + 1000]) for k in range(0, len(some), 1000)]
+        first = len(self.lengths)
+        self.index.update(zip((w.encode() for w in plain + other), range(first, first + len(words))))
+        lengths = np.concatenate([x for _, x in new])
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
-        self.ids = np.concatenate((self.ids, np.array([i for ids in new for i in ids], np.int32)))
-
-    def encode(self, texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts with the end id after each, and how many each text has."""
-        words: list[bytes] = []
-        ends = []
-        for text in texts:
-            words += text.split()
-            words.append(b"")
-            ends.append(len(words))
-        if not ends:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.ids = np.concatenate((self.ids, *[x for x, _ in new]))
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in one array of bytes with the end id after each, and how many each text has."""
+        fold = self.folds and not any(s[:2].encode() in data.tobytes() for s in self.special)
+        # One more byte of white space after each text.
+        data = np.insert(data, at[1:], 32)
+        ends_of_texts = at[1:] + np.arange(1, len(at))
+        space = (data == 32) | ((data >= 9) & (data <= 13))
+        edges = np.flatnonzero(np.diff(np.concatenate(([1], space.view(np.int8)))))
+        starts, ends = edges[::2], edges[1::2]
+        tails = np.zeros(len(ends), np.int64)
+        if fold:
+            data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+            last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
+            core = (ends - starts > 1) & (before >= 97) & (before <= 122)
+            tails = np.where(core & (last == ord(",")), 1, np.where(core & (last == ord(".")), 2, 0))
+            data[ends[tails > 0] - 1] = 32
+        words = data.tobytes().split()
         if len(self.index) > MAX_WORDS:
             self._forget()
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0)
+        found = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
         if len(missing):
             new = [words[k] for k in missing.tolist()]
             self._learn(list(dict.fromkeys(new)))
-            at[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
-        lengths = self.lengths[at]
+            found[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+        entries = np.stack((found, tails), axis=1).ravel()
+        lengths = self.lengths[entries]
         upto = np.cumsum(lengths)
-        where = np.repeat(self.starts[at] - (upto - lengths), lengths) + np.arange(upto[-1])
-        totals = upto[np.array(ends) - 1]
-        return self.ids[where], np.diff(totals, prepend=0)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = self.ids[np.repeat(self.starts[entries] - (upto - lengths), lengths) + np.arange(total)]
+        words_upto = np.searchsorted(starts, ends_of_texts)
+        tokens_upto = np.concatenate(([0], upto))[2 * words_upto]
+        return np.insert(ids, tokens_upto, self.end_id), np.diff(tokens_upto, prepend=0) + 1
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -95,7 +159,7 @@ def _encode(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterat
     encoder = _encoders.get((path, end_id)) or _encoders.setdefault((path, end_id), WordEncoder(path, end_id))
     part, before = TaskContext.get().partitionId(), 0
     for batch in pieces(batches):
-        ids, counts = encoder.encode(raw_texts(batch["text"]))
+        ids, counts = encoder.encode(*flat(batch["text"]))
         upto = np.cumsum(counts)
         offsets = np.concatenate(([0], upto)).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
