@@ -214,3 +214,27 @@ def test_dataset_with_sidecar(spark, tmp_path):
         load_dataset(spark, bare)
     (tmp_path / "bare.meta").write_text("")
     assert load_dataset(spark, bare)[0] is None
+
+
+@pytest.mark.parametrize("calendar", ["standard", "proleptic_gregorian", "julian", "noleap", "all_leap", "360_day"])
+def test_fill_values_and_infinities_have_no_year(spark, calendar):
+    unit = TimeUnit.parse(calendar, "days since 1850-01-01")
+    values = [9.96921e36, -9.96921e36, 1e20, float("inf"), float("-inf"), 2e8, None]
+    df = spark.createDataFrame([(v,) for v in values], "t double")
+    assert {tuple(r) for r in df.select(year_of("t", unit), month_of("t", unit)).collect()} == {(None, None)}
+
+
+def test_names_are_not_read_as_sql(spark):
+    unit = TimeUnit.parse("noleap", "days since 2000-01-01")
+    df = spark.createDataFrame([(1000.0, 999.0, 400.0)], "t double, x double, `t-x` double")
+    assert df.select(year_of("t-x", unit)).first()[0] == 2001
+    assert df.where(year_between("t-x", unit, 2001, 2001)).count() == 1
+
+
+def test_damaged_metadata_raises(spark, tmp_path):
+    (tmp_path / "metadata.json").write_text('{"variables": [{"name": "t", "units"')
+    with pytest.raises(Exception):
+        read_metadata(spark, str(tmp_path))
+    (tmp_path / "metadata.json").write_text("{}")
+    with pytest.raises(ValueError):
+        read_metadata(spark, str(tmp_path))

@@ -1,13 +1,17 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from grids import sparse_cells
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from gridlake.grid import CellGrid
-from gridlake.operators.blocks import cells_from_rows
+from gridlake.grid import BLOCK_SCHEMA, BlockGrid, CellGrid
+from gridlake.operators.blocks import cells_from_rows, to_blocks
 from gridlake.operators.local import to_local
-from gridlake.operators.regrid import interpolate, regrid_bilinear
+from gridlake.operators.product import multiply
+from gridlake.operators.regrid import _from_cells, _from_windows, interpolate, regrid_bilinear
+from gridlake.operators.shape import violations
 from gridlake.operators.stencil import (
     Scalar,
     Square,
@@ -149,3 +153,65 @@ def test_window_index():
         window.at(2, 0)
     with pytest.raises(IndexError):
         Window(None, None, here=column).at(0, 1)
+
+
+def test_sparse_regrid_gives_the_same_rows_on_both_paths(spark):
+    cells = [(2, 2, 1.0), (0, 4, 0.0), (4, 1, float("nan"))]
+    grid = CellGrid(spark.createDataFrame(cells, "i bigint, j bigint, v double"), 5, 5, unique=True)
+    for target in ((5, 5), (9, 9), (5, 4), (3, 7), (17, 5)):
+        a, b = ({(r["i"], r["j"]): r["v"] for r in f(grid, *target).df.collect()} for f in (_from_windows, _from_cells))
+        assert a.keys() == b.keys()
+        assert all(a[k] == pytest.approx(b[k], nan_ok=True) for k in a)
+    row = CellGrid(spark.createDataFrame([(0, 1, 2.0)], "i bigint, j bigint, v double"), 1, 3, unique=True)
+    a, b = (f(row, 4, 5).df.collect() for f in (_from_windows, _from_cells))
+    assert len(a) == 12 and sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_outputs_are_made_by_several_tasks(spark):
+    cells = spark.range(50 * 50).selectExpr("id div 50 i", "id % 50 j", "double(id) v")
+    grid = CellGrid(cells, 50, 50, unique=True, dense=True)
+    out = regrid_bilinear(grid, (1500, 1500)).df
+    counts = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(counts) > 1 and sum(r["count"] for r in counts) == 1500 * 1500
+
+
+@pytest.mark.parametrize("at", [(-1, 0), (0, -1), (3, 0), (0, 3)])
+def test_cells_outside_the_claimed_size_raise(spark, at):
+    schema = "i bigint, j bigint, v double"
+    grid = CellGrid(spark.createDataFrame([(*at, 5.0), (1, 1, 1.0)], schema), 3, 3)
+    full = CellGrid(spark.createDataFrame([(i, j, 1.0) for i in range(3) for j in range(3)], schema), 3, 3)
+    turned = lambda i, j: (j, i)
+    for make in (
+        lambda: regrid_bilinear(grid, (9, 9)).df.collect(),
+        lambda: regrid_bilinear(grid, (2, 2)).df.collect(),
+        lambda: map_stencil(grid, Scalar(), (3, 3), turned, lambda w: w.at(0, 0)).df.collect(),
+        lambda: multiply(grid, full).df.collect(),
+        lambda: multiply(full, grid).df.collect(),
+        lambda: to_local(grid),
+    ):
+        with pytest.raises((PySparkException, ValueError), match="claimed size"):
+            make()
+
+
+def test_blocks_outside_the_claimed_size_raise(spark):
+    tile = (2, 2, [1.0, 2.0, 3.0, 4.0])
+    good = BlockGrid(spark.createDataFrame([(0, 0, *tile)], BLOCK_SCHEMA), 2, 2, 2, 2)
+    for at in ((1, 0), (0, 1), (-1, 0)):
+        bad = BlockGrid(spark.createDataFrame([(*at, *tile), (0, 0, *tile)], BLOCK_SCHEMA), 2, 2, 2, 2)
+        for pair in ((bad, good), (good, bad)):
+            with pytest.raises((PySparkException, ValueError), match="claimed size"):
+                multiply(*pair).df.collect()
+
+
+def test_partners_beyond_the_broadcast_limit(spark, monkeypatch):
+    monkeypatch.setattr("gridlake.operators.product.MAX_BROADCAST_KEYS", 0)
+    a = RNG.integers(-3, 4, (40, 6)).astype(float)
+    left = replace(to_blocks(cells_from_rows(spark, a), 2, 3), dense=False)
+    right = replace(to_blocks(cells_from_rows(spark, a.T.copy()), 3, 2), dense=False)
+    assert np.array_equal(to_local(multiply(left, right)), a @ a.T)
+
+
+def test_values_rule(spark):
+    grid = BlockGrid(spark.createDataFrame([(0, 0, 2, 2, [1.0, 2.0, 3.0])], BLOCK_SCHEMA), 2, 2, 2, 2)
+    assert violations(grid).count() == 0
+    assert [r["rule"] for r in violations(grid, values=True).collect()] == ["values"]
