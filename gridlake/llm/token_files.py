@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from gridlake.llm.common import flat, pieces, scratch
 
 # Words whose ids a task remembers; then it starts anew.
-MAX_WORDS = 800_000
+MAX_WORDS = 350_000
 # With at most so many files, their totals (16 bytes each) are broadcast.
 MAX_BROADCAST_PARTS = 100_000
 
 # Letters that every version of Unicode knows as lower-case letters without a composition: a-z, and
 # those of Latin-1.
 LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+# The same, and ASCII signs other than letters, digits, white space and the apostrophe.
+TAILED = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]+)")
 NOTHING = re.compile("(?!)")
 
 # The layout: integers are run-length encoded by the format; each stripe has an index of rows and
@@ -69,7 +71,9 @@ class WordEncoder:
         self.ends[[k for token, k in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         probe = ["a", "über", "s", "strasse", "élèves", "nn"]
         alike = all(self._ids(w) == self._plain_ids([w]).tolist() for w in probe)
-        self.letters = LETTERS if suffix and self.folds and alike else NOTHING
+        usable = suffix and self.folds and alike
+        usable = usable and self._ids("ab$$.") == self._ids("ab") + self._ids("$$.")
+        self.letters, self.tailed = (LETTERS, TAILED) if usable else (NOTHING, NOTHING)
         self._forget()
 
     def _plain_ids(self, words: list[str]) -> np.ndarray:
@@ -82,6 +86,7 @@ class WordEncoder:
         # The first three entries are what may follow a word: nothing, a comma, a full stop.
         tails = [[], self._ids(","), self._ids(".")]
         self.index: dict[bytes, int] = {}
+        self.signs: dict[str, None] = {}
         self.lengths = np.array([len(t) for t in tails], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.ids = np.array([i for t in tails for i in t], np.int32)
@@ -103,19 +108,45 @@ class WordEncoder:
         return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
 
     def _learn(self, words: list[bytes]) -> None:
-        plain, other = [], []
+        """Add words to the index. Letters with other signs after them are put together from both."""
+        plain, other, tailed = {}, [], []
         for word in words:
             text = word.decode()
-            (plain if self.letters.fullmatch(text) else other).append(text)
+            if self.letters.fullmatch(text):
+                plain[text] = None
+            elif (found := self.tailed.fullmatch(text)) is not None:
+                tailed.append(found)
+                if found[1].encode() not in self.index:
+                    plain[found[1]] = None
+                if found[2] not in self.signs:
+                    self.signs[found[2]] = None
+                    other.append(found[2])
+            else:
+                other.append(text)
+        other = [*dict.fromkeys(other)]
         new = []
-        for encode, some in ((self._encode_letters, plain), (self._encode_words, other)):
+        for encode, some in ((self._encode_letters, [*plain]), (self._encode_words, other)):
             new += [encode(some[k : k + 1000]) for k in range(0, len(some), 1000)]
+        if new:
+            self._add([*plain, *other], np.concatenate([x for x, _ in new]), np.concatenate([x for _, x in new]))
+        if tailed:
+            entries = np.array([[self.index[m[1].encode()], self.index[m[2].encode()]] for m in tailed]).ravel()
+            lengths = self.lengths[entries]
+            self._add([m[0] for m in tailed], self._gather(entries), lengths.reshape(-1, 2).sum(axis=1))
+
+    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         first = len(self.lengths)
-        self.index.update(zip((w.encode() for w in plain + other), range(first, first + len(words))))
-        lengths = np.concatenate([x for _, x in new])
+        self.index.update(zip((w.encode() for w in words), range(first, first + len(words))))
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
-        self.ids = np.concatenate((self.ids, *[x for x, _ in new]))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def _gather(self, entries: np.ndarray) -> np.ndarray:
+        """Ids of entries, one after another."""
+        lengths = self.lengths[entries]
+        upto = np.cumsum(lengths)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.ids[np.repeat(self.starts[entries] - (upto - lengths), lengths) + np.arange(total)]
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts in one array of bytes with the end id after each, and how many each text has."""
@@ -143,10 +174,7 @@ class WordEncoder:
             self._learn(list(dict.fromkeys(new)))
             found[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
         entries = np.stack((found, tails), axis=1).ravel()
-        lengths = self.lengths[entries]
-        upto = np.cumsum(lengths)
-        total = int(upto[-1]) if len(upto) else 0
-        ids = self.ids[np.repeat(self.starts[entries] - (upto - lengths), lengths) + np.arange(total)]
+        ids, upto = self._gather(entries), np.cumsum(self.lengths[entries])
         words_upto = np.searchsorted(starts, ends_of_texts)
         tokens_upto = np.concatenate(([0], upto))[2 * words_upto]
         return np.insert(ids, tokens_upto, self.end_id), np.diff(tokens_upto, prepend=0) + 1
@@ -158,7 +186,7 @@ _encoders: dict[tuple[str, int], WordEncoder] = {}
 def _encode(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder = _encoders.get((path, end_id)) or _encoders.setdefault((path, end_id), WordEncoder(path, end_id))
     part, before = TaskContext.get().partitionId(), 0
-    for batch in pieces(batches):
+    for batch in pieces(batches, 2 << 20):
         ids, counts = encoder.encode(*flat(batch["text"]))
         upto = np.cumsum(counts)
         offsets = np.concatenate(([0], upto)).astype(np.int32)
