@@ -1,0 +1,70 @@
+from collections import Counter, defaultdict
+
+from samples import ROWS, frame, words
+
+from gridlake.llm.mixing import mix, plan_mix
+
+
+def expected_targets(sizes: dict, share=1.0):
+    """Targets by sharing again what is above a cap, until nothing is."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    left, free, out = share * sum(sizes.values()), set(order), {}
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        above = {s for s in free if unit * weight[s] > 3 * sizes[s]}
+        for s in above or free:
+            out[s] = 3 * sizes[s] if above else unit * weight[s]
+        left -= sum(out[s] for s in above)
+        free -= above or free
+    return out
+
+
+def test_plan(spark):
+    rows = plan_mix(frame(spark)).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in ROWS)
+    sizes = defaultdict(int)
+    for r in ROWS:
+        sizes[r[3]] += len(words(r[1]))
+    want = expected_targets(sizes)
+    assert sorted({(r["source_size"], round(r["target"], 6)) for r in rows}) == sorted(
+        {(sizes[s], round(want[s], 6)) for s in sizes}
+    )
+    assert all(r["taken"] <= 3 * r["size"] and (r["taken"] % r["size"] if r["size"] else r["taken"]) == 0 for r in rows)
+    again = plan_mix(frame(spark, clashing=False).repartition(5)).collect()
+    assert sorted(rows, key=str) == sorted(again, key=str)
+
+
+def test_sums_come_near_targets_and_shares_nest(spark):
+    rows = [(k, "x " * (1 + k * 7 % 13), "en", f"s{k * k % 5}") for k in range(400)]
+    docs = frame(spark, rows, clashing=False).cache()
+    taken = {}
+    for share in (0.2, 0.5, 1.0):
+        plan = plan_mix(docs, share=share).collect()
+        by_source, target = defaultdict(int), {}
+        for r in plan:
+            source = r["doc_id"] ** 2 % 5
+            by_source[source] += r["taken"]
+            target[source] = r["target"]
+        assert all(abs(by_source[s] - target[s]) <= 13 for s in target)
+        taken[share] = {r["doc_id"]: r["taken"] for r in plan}
+    # Sources whose targets grow with the share take more and more of the same documents.
+    assert all(taken[0.2][d] <= taken[0.5][d] <= taken[1.0][d] for d in taken[1.0])
+
+
+def test_rows_of_the_mix(spark):
+    plan = Counter()
+    for r in plan_mix(frame(spark)).collect():
+        plan[r["doc_id"]] += r["taken"]
+    mixed = mix(frame(spark))
+    assert mixed.columns == frame(spark).columns
+    got = Counter()
+    for r in mixed.select("doc_id", "text").collect():
+        got[r["doc_id"]] += len(words(r["text"]))
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in plan.items() if v}
+
+
+def test_no_rows_and_no_words(spark):
+    assert plan_mix(frame(spark, [])).collect() == []
+    assert mix(frame(spark, [])).collect() == []
+    assert [r["taken"] for r in plan_mix(frame(spark, [(1, None, None, None)])).collect()] == [0]

@@ -1,0 +1,64 @@
+import hashlib
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+from samples import ROWS, frame, table
+
+from gridlake.llm.weighted_sampling import compare_edited, fingerprints, likeness
+
+
+def jaccard(a, b):
+    x, y = Counter(a.split()), Counter(b.split())
+    return sum((x & y).values()) / max(1, sum((x | y).values()))
+
+
+def test_table(spark):
+    docs = sorted(table("documents"), key=lambda d: -d["doc_id"])
+    df = spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in compare_edited(df.repartition(5), task_bytes=100_000).collect()}
+    assert len(got) == len(docs)
+    errors = []
+    for k, d in enumerate(docs):
+        text, after = d["text"], docs[(k + 1) % len(docs)]["text"]
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + after[:cut]
+        r = got[d["doc_id"]]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        errors += [r["near_edited"] - jaccard(text, edited), r["near_next"] - jaccard(text, after)]
+    assert abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.09
+
+
+def test_odd_rows(spark):
+    got = compare_edited(frame(spark)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in ROWS)
+    by_id = {r["doc_id"]: r for r in got}
+    # Equal texts, and texts without words, have equal fingerprints.
+    assert by_id[7]["fingerprint"] == by_id[8]["fingerprint"] != by_id[10]["fingerprint"]
+    assert by_id[2]["fingerprint"] == by_id[3]["fingerprint"] and by_id[2]["n_chars"] == 0
+    assert by_id[8]["near_next"] == 1.0
+    # After the smallest id comes the null one, and then the largest.
+    text = by_id[10]["edited_sha256"]
+    others = {hashlib.sha256(("on" + t[1][:1]).encode()).hexdigest() for t in ROWS if t[0] == 9}
+    assert text in others
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+
+
+def test_single_and_none(spark):
+    one = compare_edited(frame(spark, ROWS[:1])).collect()[0]
+    assert one["near_next"] == 1.0
+    assert compare_edited(frame(spark, [])).collect() == []
+
+
+def test_share_of_agreeing_samples_is_the_similarity(spark):
+    pairs = [("a a a b c", "a b b c d"), ("x " * 40 + "y", "x " * 20 + "y y"), ("p q r s t u", "p q r v w x")]
+    rows = [(k, side, t) for k, pair in enumerate(pairs) for side, t in enumerate(pair)]
+    prints = fingerprints(spark.createDataFrame(rows, "k int, side int, t string"), ["k", "side"], "t", samples=256)
+    a, b = (prints.where(F.col("side") == s).select("k", F.col("ids").alias(f"ids{s}")) for s in (0, 1))
+    for r in a.join(b, "k").select("k", likeness("ids0", "ids1", 256).alias("x")).collect():
+        assert abs(r["x"] - jaccard(*pairs[r["k"]])) < 0.1
+
+
+def test_no_python_in_the_plan(spark):
+    plan = compare_edited(frame(spark))._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
