@@ -17,11 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quantities(spark: SparkSession, sf_dir: str, flag: str | None = None) -> CellGrid:
-    """Quantity by supplier and part, of one return flag or of all; one cell per line item."""
+    """Quantity by supplier and part, of return flag A, of the ``rest`` or of all; one cell per line item."""
     items = table(spark, sf_dir, "lineitem")
     whole = with_dims(CellGrid(items.select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"))))
     if flag is not None:
-        items = items.where(F.col("l_returnflag") == flag)
+        items = items.where((F.col("l_returnflag") == "A") == F.lit(flag == "A"))
     cells = items.select(
         F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").alias("v")
     )

@@ -8,8 +8,8 @@ SALES = """sales AS (
   SELECT l_suppkey AS i, l_partkey AS j, SUM(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"""
 FLAG = """{name} AS (
   SELECT l_suppkey AS i, l_partkey AS j, SUM(l_quantity) AS v FROM lineitem
-  WHERE l_returnflag = '{flag}' GROUP BY 1, 2)"""
-FLAG_A, FLAG_N = FLAG.format(name="a", flag="A"), FLAG.format(name="b", flag="N")
+  WHERE l_returnflag {flag} GROUP BY 1, 2)"""
+FLAG_A, REST = FLAG.format(name="a", flag="= 'A'"), FLAG.format(name="b", flag="<> 'A'")
 PARTS = """parts AS (
   SELECT l_partkey AS i, CAST(l_linenumber AS BIGINT) - 1 AS j, SUM(l_quantity) AS v
   FROM lineitem GROUP BY 1, 2)"""
@@ -72,19 +72,19 @@ def tiled(cells: str) -> str:
 
 
 def paired(value: str, a: str = "a", b: str = "b", cte: str | None = None) -> str:
-    cte = cte or f"{FLAG_A}, {FLAG_N}"
+    cte = cte or f"{FLAG_A}, {REST}"
     value = value.format(x="COALESCE(x.v, 0)", y="COALESCE(y.v, 0)")
     return f"""WITH {cte}
 SELECT COALESCE(x.i, y.i) AS i, COALESCE(x.j, y.j) AS j, {value} AS v
 FROM {a} x FULL JOIN {b} y ON x.i = y.i AND x.j = y.j"""
 
 
-TWO_TILED = f"{FLAG_A}, {FLAG_N}, {SIZE}, {PLACE}, {tiled('a')}, {tiled('b')}"
+TWO_TILED = f"{FLAG_A}, {REST}, {SIZE}, {PLACE}, {tiled('a')}, {tiled('b')}"
 TILE_ROWS = f"LEAST({R}, (SELECT m FROM size) - bi * {R})"
 TILE_COLS = f"LEAST({C}, (SELECT n FROM size) - bj * {C})"
 STACKED = f"""stacked AS (
   SELECT DISTINCT i // {R} AS bi, j // {C} AS bj, 'A' AS flag FROM a
-  UNION ALL SELECT DISTINCT i // {R}, j // {C}, 'N' FROM b),
+  UNION ALL SELECT DISTINCT i // {R}, j // {C}, 'R' FROM b),
 summary AS (
   SELECT bi, bj, COUNT(*) AS copies, {TILE_ROWS} AS nr, {TILE_COLS} AS nc
   FROM stacked GROUP BY bi, bj)"""
@@ -191,7 +191,7 @@ FROM (SELECT year, i, j FROM years, place) LEFT JOIN yearly USING (year, i, j)""
     "subtract_cells": paired("{x} - {y}"),
     "combine_max": paired("GREATEST({x}, {y})"),
     "combine_checked": paired("{x} * 2 - {y}"),
-    "grids_diff": f"""WITH {FLAG_A}, {FLAG_N}
+    "grids_diff": f"""WITH {FLAG_A}, {REST}
 SELECT COALESCE(x.i, y.i) AS i, COALESCE(x.j, y.j) AS j, COALESCE(x.v, 0) AS a, COALESCE(y.v, 0) AS b
 FROM a x FULL JOIN b y ON x.i = y.i AND x.j = y.j
 WHERE COALESCE(x.v, 0) <> COALESCE(y.v, 0)""",
@@ -221,9 +221,9 @@ SELECT j AS i, i AS j, v FROM sales_full""",
 tiles AS (SELECT DISTINCT i // {R} AS bi, j // {C} AS bj FROM sales)
 SELECT {INT_BLOCK}, CAST({TILE_ROWS} AS INTEGER) AS nr, CAST({TILE_COLS} AS INTEGER) AS nc FROM tiles""",
     "block_dims": "SELECT MAX(l_suppkey) + 1 AS nrows, MAX(l_partkey) + 1 AS ncols FROM lineitem",
-    "repeated_blocks": f"""WITH {FLAG_A}, {FLAG_N}, {SIZE}, {STACKED}
+    "repeated_blocks": f"""WITH {FLAG_A}, {REST}, {SIZE}, {STACKED}
 SELECT {INT_BLOCK}, copies FROM summary WHERE copies > 1""",
-    "validate_violations": f"""WITH {FLAG_A}, {FLAG_N}, {SIZE}, {STACKED},
+    "validate_violations": f"""WITH {FLAG_A}, {REST}, {SIZE}, {STACKED},
 claimed AS (SELECT m - 1 AS m, n - 1 AS n, {R} - 1 AS h, {C} AS w FROM size),
 judged AS (
   SELECT s.*, bi * h + nr AS bottom, bj * w + nc AS edge, m, n,
@@ -278,6 +278,7 @@ SELECT CAST(l_linenumber AS SMALLINT) AS line, COUNT(*) AS cells,
 FROM lineitem GROUP BY 1""",
     "netcdf_zeros": "SELECT COUNT(*) AS zeros FROM lineitem WHERE l_discount = 0",
     "netcdf_checksum": "SELECT COUNT(*) AS count, CAST(SUM(l_quantity) AS BIGINT) AS sum FROM lineitem",
+    "netcdf_period_stats": monthly("1995 + d // 365", month_of_day("(d % 365)", 28)),
     "dataset_roundtrip": monthly(
         "1995 + d // 365",
         month_of_day("(d % 365)", 28),

@@ -56,7 +56,7 @@ from gridlake.sources.metadata import (
     metadata_frame,
     variable_info,
 )
-from gridlake.sources.netcdf import read_netcdf, select_variable, write_netcdf
+from gridlake.sources.netcdf import netcdf_metadata, read_netcdf, select_variable, write_netcdf
 
 Query = Callable[[SparkSession, str], DataFrame]
 TILE = (16, 64)  # rows and columns of a tile in these queries
@@ -109,7 +109,10 @@ def event_hours_360_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def year_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = TimeUnit.parse("noleap", EPOCH)
-    times = shipping_times(spark, sf_dir).where(year_between("t", unit, 1996, 1997))
+    # Stored, so that the range reaches the Parquet reader.
+    path = scratch_path(spark, "times")
+    shipping_times(spark, sf_dir).write.parquet(path)
+    times = spark.read.parquet(path).where(year_between("t", unit, 1996, 1997))
     return times.groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("items"), F.min("t").alias("first"), F.max("t").alias("last")
     )
@@ -176,29 +179,29 @@ def size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def add_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add(sales(spark, sf_dir, "A"), sales(spark, sf_dir, "N")).df
+    return add(sales(spark, sf_dir, "A"), sales(spark, sf_dir, "rest")).df
 
 
 @query
 def subtract_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subtract(sales(spark, sf_dir, "A"), sales(spark, sf_dir, "N")).df
+    return subtract(sales(spark, sf_dir, "A"), sales(spark, sf_dir, "rest")).df
 
 
 @query
 def combine_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return combine(sales(spark, sf_dir, "A"), sales(spark, sf_dir, "N"), F.greatest).df
+    return combine(sales(spark, sf_dir, "A"), sales(spark, sf_dir, "rest"), F.greatest).df
 
 
 @query
 def combine_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Not known to be free of repeats: grouped and checked instead of joined."""
     a = replace(sales(spark, sf_dir, "A"), unique=False)
-    return combine(a, sales(spark, sf_dir, "N"), lambda x, y: x * 2 - y).df
+    return combine(a, sales(spark, sf_dir, "rest"), lambda x, y: x * 2 - y).df
 
 
 @query
 def grids_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff(sales(spark, sf_dir, "A"), sales(spark, sf_dir, "N"))
+    return diff(sales(spark, sf_dir, "A"), sales(spark, sf_dir, "rest"))
 
 
 @query
@@ -254,18 +257,18 @@ def transpose_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def add_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_cells(add(_tiles(spark, sf_dir, "A"), _tiles(spark, sf_dir, "N"))).df
+    return to_cells(add(_tiles(spark, sf_dir, "A"), _tiles(spark, sf_dir, "rest"))).df
 
 
 @query
 def subtract_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _tiles(spark, sf_dir, "A"), _tiles(spark, sf_dir, "N")
+    a, b = _tiles(spark, sf_dir, "A"), _tiles(spark, sf_dir, "rest")
     return to_cells(subtract(replace(a, unique=False), b)).df
 
 
 @query
 def combine_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_cells(combine(_tiles(spark, sf_dir, "A"), _tiles(spark, sf_dir, "N"), F.greatest)).df
+    return to_cells(combine(_tiles(spark, sf_dir, "A"), _tiles(spark, sf_dir, "rest"), F.greatest)).df
 
 
 @query
@@ -283,7 +286,7 @@ def multiply_blocks_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _two_flags(spark: SparkSession, sf_dir: str) -> BlockGrid:
     """Tiles of two return flags stacked: nearly every tile occurs twice."""
-    a, b = _tiles(spark, sf_dir, "A"), _tiles(spark, sf_dir, "N")
+    a, b = _tiles(spark, sf_dir, "A"), _tiles(spark, sf_dir, "rest")
     return replace(a, df=a.df.unionByName(b.df), unique=False)
 
 
@@ -452,6 +455,17 @@ def netcdf_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total_checksum(files, "values").select("count", "sum")
 
 
+@query
+def netcdf_period_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly statistics of array files whose time axis brings its units and its calendar."""
+    path = scratch_path(spark, "axis")
+    times = shipping_times(spark, sf_dir).select(F.col("t").alias("time"), "l_quantity")
+    axis = {"time": {"units": EPOCH, "calendar": "noleap"}, "l_quantity": {"_FillValue": -1.0}}
+    write_netcdf(times, path, dim="time", attributes=axis)
+    cells = read_netcdf(spark, path, ["l_quantity"], decode=True, coordinates=True)
+    return period_stats(cells, resolve_calendar(netcdf_metadata(spark, path), "time"), "time", "l_quantity")
+
+
 @query
 def dataset_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily totals saved with their calendar, loaded again and summed by month."""

@@ -9,10 +9,11 @@ neither large files nor many files pass through one process.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 from math import ceil, prod
 from typing import BinaryIO
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gridlake.sources.metadata import Metadata, Variable
+
 # Fixed values of the format: type codes and list tags.
 NUMPY_TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8"}
 SPARK_TYPES = {
@@ -42,6 +45,7 @@ STREAMING = 0xFFFFFFFF
 BATCH_CELLS = 1 << 16
 BATCH_BYTES = 64 << 20
 SPLIT_BYTES = 128 << 20
+SKIP_BYTES = 4096  # between the parts of two records: a seek is cheaper than reading more
 
 
 @dataclass(frozen=True)
@@ -52,6 +56,7 @@ class ArrayVariable:
     shape: tuple[int, ...]
     begin: int
     is_record: bool
+    attributes: dict[str, str | np.ndarray] = field(default_factory=dict)
 
     @property
     def item_bytes(self) -> int:
@@ -97,11 +102,15 @@ class _HeaderReader:
             raise ValueError("damaged NetCDF header")
         return range(count)
 
-    def skip_attributes(self) -> None:
+    def attributes(self) -> dict[str, str | np.ndarray]:
+        found = {}
         for _ in self.list_of(ATTRIBUTES):
-            self.name()
-            item = np.dtype(NUMPY_TYPES[self.unpack(">I")]).itemsize
-            self.padded(self.size() * item)
+            name, code = self.name(), self.unpack(">I")
+            kind = np.dtype(NUMPY_TYPES[code])
+            data = self.padded(self.size() * kind.itemsize)
+            text = data.rstrip(bytes(1)).decode("utf-8", "replace")
+            found[name] = text if code == 2 else np.frombuffer(data, kind)
+        return found
 
 
 def read_header(file: BinaryIO, file_bytes: int) -> ArrayHeader:
@@ -109,16 +118,16 @@ def read_header(file: BinaryIO, file_bytes: int) -> ArrayHeader:
     reader = _HeaderReader(file)
     records = reader.size()
     dims = [(reader.name(), reader.size()) for _ in reader.list_of(DIMENSIONS)]
-    reader.skip_attributes()
+    reader.attributes()
     found = []
     for _ in reader.list_of(VARIABLES):
         name = reader.name()
         ids = [reader.size() for _ in range(reader.size())]
-        reader.skip_attributes()
+        attributes = reader.attributes()
         type_code = reader.unpack(">I")
         reader.size()  # a redundant length, which may overflow
         begin = reader.unpack(">I" if reader.version == 1 else ">Q")
-        found.append((name, type_code, ids, begin))
+        found.append((name, type_code, ids, begin, attributes))
 
     def is_record(ids: list[int]) -> bool:
         return bool(ids) and dims[ids[0]][1] == 0
@@ -127,19 +136,19 @@ def read_header(file: BinaryIO, file_bytes: int) -> ArrayHeader:
         item = np.dtype(NUMPY_TYPES[type_code]).itemsize
         return item * prod(dims[d][1] for d in ids[1:])
 
-    parts = [record_part(t, ids) for _, t, ids, _ in found if is_record(ids)]
+    parts = [record_part(t, ids) for _, t, ids, *_ in found if is_record(ids)]
     # Records are padded to four bytes per variable, except when there is only one variable.
     record_bytes = parts[0] if len(parts) == 1 else sum(p + -p % 4 for p in parts)
     if records == STREAMING and reader.version != 5 and parts:
-        first = min(begin for _, _, ids, begin in found if is_record(ids))
+        first = min(begin for _, _, ids, begin, _ in found if is_record(ids))
         records = (file_bytes - first) // record_bytes
     variables = {}
-    for name, type_code, ids, begin in found:
+    for name, type_code, ids, begin, attributes in found:
         shape = tuple(dims[d][1] for d in ids)
         if is_record(ids):
             shape = (records, *shape[1:])
         names = tuple(dims[d][0] for d in ids)
-        variables[name] = ArrayVariable(name, type_code, names, shape, begin, is_record(ids))
+        variables[name] = ArrayVariable(name, type_code, names, shape, begin, is_record(ids), attributes)
     return ArrayHeader(variables, record_bytes)
 
 
@@ -158,6 +167,13 @@ def read_values(file: BinaryIO, header: ArrayHeader, var: ArrayVariable, lo: int
     if first == last:
         file.seek(var.begin + first * header.record_bytes + (lo - first * per) * item)
         return np.frombuffer(_read_exactly(file, (hi - lo) * item), kind)
+    if header.record_bytes - per * item >= SKIP_BYTES:
+        parts = []
+        for record in range(first, last + 1):
+            start, end = max(lo, record * per), min(hi, (record + 1) * per)
+            file.seek(var.begin + record * header.record_bytes + (start - record * per) * item)
+            parts.append(_read_exactly(file, (end - start) * item))
+        return np.frombuffer(b"".join(parts), kind)
     file.seek(var.begin + first * header.record_bytes)
     data = _read_exactly(file, (last - first) * header.record_bytes + per * item)
     rows = np.ndarray(
@@ -188,6 +204,12 @@ def _locate(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path.removeprefix("file:")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: without one it lies in the default filesystem of Spark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def list_files(path: str) -> list[tuple[str, int]]:
     """Path and size of a file, or of every ``.nc`` file below a directory."""
     filesystem, inner = _locate(path)
@@ -222,14 +244,22 @@ def _choose(header: ArrayHeader, names: Sequence[str]) -> list[ArrayVariable]:
     return chosen
 
 
-def _index_names(chosen: Sequence[ArrayVariable]) -> list[str]:
-    """Names of the index columns: the dimensions, told apart from variables named like them."""
+def _coordinates(header: ArrayHeader, chosen: Sequence[ArrayVariable]) -> list[ArrayVariable]:
+    """The coordinate variables of the dimensions, such as ``lat`` along ``lat``, that are not chosen."""
     taken = {v.name for v in chosen}
+    known = (header.variables.get(d) for d in chosen[0].dims if d not in taken)
+    return [v for v in known if v is not None and v.dims == (v.name,)]
+
+
+def _index_names(chosen: Sequence[ArrayVariable], others: Sequence[ArrayVariable] = ()) -> list[str]:
+    """Names of the index columns: the dimensions, told apart from variables named like them."""
+    taken = {v.name for v in [*chosen, *others]}
     return [f"{d}_index" if d in taken else d for d in chosen[0].dims]
 
 
 class NetcdfSource(DataSource):
-    """``spark.read.format("netcdf3")``; options ``variables``, ``leading``, ``splitBytes``."""
+    """``spark.read.format("netcdf3")``; options ``variables``, ``leading``, ``splitBytes``, ``decode`` and
+    ``coordinates``."""
 
     @classmethod
     def name(cls) -> str:
@@ -238,13 +268,18 @@ class NetcdfSource(DataSource):
     def _variables(self) -> list[str]:
         return [n.strip() for n in self.options.get("variables", "").split(",") if n.strip()]
 
+    def _is(self, option: str) -> bool:
+        return self.options.get(option, "false").lower() == "true"
+
     def schema(self) -> T.StructType:
         path, size = list_files(self.options["path"])[0]
         with _open(path) as file:
-            chosen = _choose(read_header(file, size), self._variables())
+            header = read_header(file, size)
+        chosen = _choose(header, self._variables())
+        others = _coordinates(header, chosen) if self._is("coordinates") else []
         fields = [T.StructField("file", T.StringType())]
-        fields += [T.StructField(d, T.LongType(), True, {"dimension": True}) for d in _index_names(chosen)]
-        fields += [T.StructField(v.name, SPARK_TYPES[v.type_code]) for v in chosen]
+        fields += [T.StructField(d, T.LongType(), True, {"dimension": True}) for d in _index_names(chosen, others)]
+        fields += [T.StructField(v.name, _spark_type(v, self._is("decode"))) for v in [*others, *chosen]]
         return T.StructType(fields)
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
@@ -255,6 +290,8 @@ class NetcdfSource(DataSource):
             int(self.options.get("splitBytes", SPLIT_BYTES)),
             tuple(map(int, leading.split(":"))) if leading else None,
             schema,
+            self._is("decode"),
+            self._is("coordinates"),
         )
 
 
@@ -266,9 +303,12 @@ class NetcdfReader(DataSourceReader):
         split_bytes: int,
         leading: tuple[int, int] | None,
         schema: T.StructType,
+        decode: bool,
+        coordinates: bool,
     ) -> None:
         self.path, self.variables, self.split_bytes = path, variables, split_bytes
         self.leading, self.schema = leading, schema
+        self.decode, self.coordinates = decode, coordinates
 
     def partitions(self) -> list[InputPartition]:
         splits = []
@@ -283,7 +323,8 @@ class NetcdfReader(DataSourceReader):
             header = read_header(file, size)
             chosen = _choose(header, self.variables)
             shape = chosen[0].shape or (1,)
-            names = ["file", *_index_names(chosen), *(v.name for v in chosen)]
+            others = _coordinates(header, chosen) if self.coordinates else []
+            names = ["file", *_index_names(chosen, others), *(v.name for v in [*others, *chosen])]
             if names != self.schema.fieldNames():
                 raise ValueError(f"{path} has columns {names}, not {self.schema.fieldNames()}")
             first, end = self.leading or (0, shape[0])
@@ -295,17 +336,59 @@ class NetcdfReader(DataSourceReader):
                 index = np.unravel_index(np.arange(start, stop), shape) if chosen[0].dims else ()
                 columns = [pa.repeat(pa.scalar(path), stop - start)]
                 columns += [pa.array(i, pa.int64()) for i in index]
+                for var in others:
+                    at = index[chosen[0].dims.index(var.name)]
+                    low, high = int(at.min()), int(at.max()) + 1
+                    columns.append(_column(read_values(file, header, var, low, high)[at - low], var, self.decode))
                 for var in chosen:
-                    columns.append(_column(read_values(file, header, var, start, stop), var))
+                    columns.append(_column(read_values(file, header, var, start, stop), var, self.decode))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _column(values: np.ndarray, var: ArrayVariable) -> pa.Array:
+def _number(var: ArrayVariable, name: str) -> float | None:
+    value = var.attributes.get(name)
+    return None if value is None or isinstance(value, str) or not len(value) else float(value[0])
+
+
+def _is_packed(var: ArrayVariable) -> bool:
+    return _number(var, "scale_factor") is not None or _number(var, "add_offset") is not None
+
+
+def _spark_type(var: ArrayVariable, decode: bool) -> T.DataType:
+    return T.DoubleType() if decode and _is_packed(var) else SPARK_TYPES[var.type_code]
+
+
+def _column(values: np.ndarray, var: ArrayVariable, decode: bool = False) -> pa.Array:
     if var.type_code == 2:
         return pa.array(np.char.decode(values, "latin-1").tolist(), pa.string())
+    missing = None
+    if decode:
+        fills = [var.attributes[n] for n in ("_FillValue", "missing_value") if not isinstance(var.attributes.get(n, ""), str)]
+        if fills:
+            missing = np.isin(values, np.concatenate(fills).astype(values.dtype.newbyteorder("=")))
+    if decode and _is_packed(var):
+        scale, shift = _number(var, "scale_factor"), _number(var, "add_offset")
+        values = values.astype(np.float64) * (1.0 if scale is None else scale) + (shift or 0.0)
     widened = {7: np.int16, 8: np.int32, 9: np.int64}
-    native = widened.get(var.type_code, values.dtype.newbyteorder("="))
-    return pa.array(values.astype(native))
+    native = np.float64 if decode and _is_packed(var) else widened.get(var.type_code, values.dtype.newbyteorder("="))
+    return pa.array(values.astype(native), mask=missing)
+
+
+def netcdf_metadata(spark: SparkSession, path: str) -> Metadata:
+    """Units, dimensions and attributes of the variables of array files, from the first file's header."""
+    path, size = list_files(qualified(spark, path))[0]
+    with _open(path) as file:
+        header = read_header(file, size)
+
+    def text(value: str | np.ndarray) -> str:
+        return value if isinstance(value, str) else ", ".join(str(x) for x in value.tolist())
+
+    return Metadata(
+        tuple(
+            Variable(v.name, v.attributes.get("units"), v.dims, {k: text(x) for k, x in v.attributes.items()})
+            for v in header.variables.values()
+        )
+    )
 
 
 def read_netcdf(
@@ -314,14 +397,20 @@ def read_netcdf(
     variables: Sequence[str] = (),
     leading: tuple[int, int] | None = None,
     split_bytes: int = SPLIT_BYTES,
+    decode: bool = False,
+    coordinates: bool = False,
 ) -> DataFrame:
     """Rows ``file``, one index per dimension, one column per variable.
 
     An index column has the name of its dimension, with ``_index`` added for a coordinate
     variable, such as ``lat`` along ``lat``, that is itself read.
 
-    ``path`` is a file or a directory of ``.nc`` files with the same variables. Variables left
-    out are not read. ``leading`` limits the reading to a half-open range of the first
+    With ``coordinates`` the values of coordinate variables are columns too. With ``decode`` values equal to
+    the attributes ``_FillValue`` or ``missing_value`` are NULL, and packed values are unpacked by
+    ``scale_factor`` and ``add_offset`` to doubles.
+
+    ``path`` is a file or a directory of ``.nc`` files with the same variables; without a scheme it lies in
+    Spark's default filesystem. Variables left out are not read, but for short gaps between records. ``leading`` limits the reading to a half-open range of the first
     dimension, such as some time steps. It is an argument, not a pushed filter, because Spark
     4.1 keeps filters that were pushed into a Python source for later queries on the same
     DataFrame.
@@ -331,10 +420,12 @@ def read_netcdf(
         spark.read.format("netcdf3")
         .option("variables", ",".join(variables))
         .option("splitBytes", split_bytes)
+        .option("decode", decode)
+        .option("coordinates", coordinates)
     )
     if leading is not None:
         reader = reader.option("leading", "{}:{}".format(*leading))
-    return reader.load(path)
+    return reader.load(qualified(spark, path))
 
 
 def select_variable(df: DataFrame, name: str) -> DataFrame:
@@ -353,7 +444,19 @@ def _padded_name(name: str) -> bytes:
     return struct.pack(">I", len(raw)) + raw + bytes(-len(raw) % 4)
 
 
-def encode_file(dim: str, columns: dict[str, np.ndarray]) -> bytes:
+Attributes = Mapping[str, Mapping[str, str | float]]
+
+
+def _encoded_attributes(attributes: Mapping[str, str | float]) -> bytes:
+    out = struct.pack(">II", ATTRIBUTES if attributes else 0, len(attributes))
+    for name, value in attributes.items():
+        raw = value.encode() if isinstance(value, str) else struct.pack(">d", value)
+        code, count = (2, len(raw)) if isinstance(value, str) else (6, 1)
+        out += _padded_name(name) + struct.pack(">II", code, count) + raw + bytes(-len(raw) % 4)
+    return out
+
+
+def encode_file(dim: str, columns: dict[str, np.ndarray], attributes: Attributes | None = None) -> bytes:
     """A 64-bit-offset classic file with one-dimensional variables of equal length."""
     codes = {np.dtype(t).newbyteorder("=").str[1:]: c for c, t in NUMPY_TYPES.items() if c in (1, 3, 4, 5, 6)}
     length = len(next(iter(columns.values())))
@@ -370,7 +473,7 @@ def encode_file(dim: str, columns: dict[str, np.ndarray]) -> bytes:
         out += struct.pack(">II", DIMENSIONS, 1) + _padded_name(dim) + struct.pack(">I", length)
         out += struct.pack(">II", 0, 0) + struct.pack(">II", VARIABLES, len(described))
         for (name, code, data), begin in zip(described, begins):
-            out += _padded_name(name) + struct.pack(">II", 1, 0) + struct.pack(">II", 0, 0)
+            out += _padded_name(name) + struct.pack(">II", 1, 0) + _encoded_attributes((attributes or {}).get(name, {}))
             out += struct.pack(">IIQ", code, min(len(data), STREAMING), begin)
         return out
 
@@ -381,40 +484,58 @@ def encode_file(dim: str, columns: dict[str, np.ndarray]) -> bytes:
     return header(begins) + b"".join(data for _, _, data in described)
 
 
-def write_netcdf(df: DataFrame, path: str, dim: str = "row", max_rows: int = 1 << 22) -> int:
+def write_netcdf(
+    df: DataFrame,
+    path: str,
+    dim: str = "row",
+    max_rows: int = 1 << 22,
+    mode: str = "error",
+    attributes: Attributes | None = None,
+) -> int:
     """Write numeric columns as one-dimensional variables; returns the number of rows.
 
-    Every task writes its own files of at most ``max_rows`` rows. Names depend on the partition
-    only and files appear by renaming, so a repeated task replaces what it wrote before.
+    ``attributes`` are those of variables, such as units. Every task writes files of at most ``max_rows``
+    rows into a folder of this job's own. When all tasks are done, only the files that the tasks that
+    counted report are moved to ``path``; a repeated task or a failed job leaves nothing there. ``mode`` is
+    ``error`` (if there are array files already), ``append``, or ``overwrite`` (they are deleted just before
+    the new ones appear).
     """
-    names = df.columns
+    if mode not in ("error", "append", "overwrite"):
+        raise ValueError(f"unknown mode: {mode!r}")
+    names, job = df.columns, uuid4().hex
+    path = qualified(df.sparkSession, path)
     filesystem, inner = _locate(path)
     filesystem.create_dir(inner, recursive=True)
+    old = [f.path for f in filesystem.get_file_info(fs.FileSelector(inner)) if f.base_name.endswith(".nc")]
+    if old and mode == "error":
+        raise FileExistsError(f"there are array files in {path}")
+    staging = f"{inner}/_writing-{job}"
+    filesystem.create_dir(staging)
 
     def write(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        filesystem, inner = _locate(path)
+        filesystem, _ = _locate(path)
         kept: list[pa.RecordBatch] = []
-        files = rows = 0
+        files: list[str] = []
+        sizes: list[int] = []
 
         def flush() -> None:
-            nonlocal files, kept
+            nonlocal kept
             table = pa.Table.from_batches(kept)
             empty = [n for n in names if table.column(n).null_count]
             if empty:
                 raise ValueError(f"array files cannot hold NULL: {', '.join(empty)}")
-            data = encode_file(dim, {n: table.column(n).to_numpy() for n in names})
-            target = f"{inner}/{dim}s-{task.partitionId():06d}-{files:04d}.nc"
-            waiting = f"{target}.{task.taskAttemptId()}.part"
-            with filesystem.open_output_stream(waiting) as out:
+            data = encode_file(dim, {n: table.column(n).to_numpy() for n in names}, attributes)
+            name = f"{dim}s-{task.partitionId():06d}-{len(files):04d}.{task.taskAttemptId()}"
+            with filesystem.open_output_stream(f"{staging}/{name}") as out:
                 out.write(data)
-            filesystem.move(waiting, target)
-            files, kept = files + 1, []
+            files.append(name)
+            sizes.append(table.num_rows)
+            kept = []
 
         for batch in arrow:
-            rows += batch.num_rows
             while batch.num_rows:
                 room = max_rows - sum(b.num_rows for b in kept)
                 kept.append(batch.slice(0, room))
@@ -423,6 +544,18 @@ def write_netcdf(df: DataFrame, path: str, dim: str = "row", max_rows: int = 1 <
                     flush()
         if kept:
             flush()
-        yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
-
-    return df.mapInArrow(write, "rows BIGINT").agg(F.sum("rows")).first()[0] or 0
+        yield pa.RecordBatch.from_pydict({"name": pa.array(files, pa.string()), "rows": pa.array(sizes, pa.int64())})
+
+    try:
+        # A row for each file.
+        written = df.mapInArrow(write, "name STRING, rows BIGINT").collect()
+        if mode == "overwrite":
+            for name in old:
+                filesystem.delete_file(name)
+        for row in written:
+            target = row["name"].rpartition(".")[0]
+            unique = f"{target}-{job[:8]}" if mode == "append" else target
+            filesystem.move(f"{staging}/{row['name']}", f"{inner}/{unique}.nc")
+    finally:
+        filesystem.delete_dir(staging)
+    return sum(row["rows"] for row in written)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import gridlake.sources.netcdf as netcdf
 from gridlake.operators.stats import checksum, count_zeros, total_checksum
-from gridlake.sources.netcdf import list_files, read_netcdf, select_variable, write_netcdf
+from gridlake.sources.netcdf import netcdf_metadata, list_files, read_netcdf, select_variable, write_netcdf
 
 CODES = {"i1": 1, "S1": 2, "i2": 3, "i4": 4, "f4": 5, "f8": 6, "i8": 10, "u2": 8}
 
@@ -193,3 +193,36 @@ def test_what_array_files_cannot_hold(spark, tmp_path):
         write_netcdf(spark.sql("SELECT 1 AS a UNION ALL SELECT CAST(NULL AS INT)"), path)
     with pytest.raises(PySparkException, match="no classic type"):
         write_netcdf(spark.range(3), path)
+
+
+def test_modes_of_writing(spark, tmp_path):
+    path = str(tmp_path / "modes")
+    assert write_netcdf(spark.range(8).selectExpr("CAST(id AS INT) id").repartition(4), path) == 8
+    with pytest.raises(FileExistsError):
+        write_netcdf(spark.range(2).selectExpr("CAST(id AS INT) id"), path)
+    assert write_netcdf(spark.range(2).selectExpr("CAST(id AS INT) id").coalesce(1), path, mode="overwrite") == 2
+    assert read_netcdf(spark, path).count() == 2
+    assert write_netcdf(spark.range(3).selectExpr("CAST(id AS INT) id").coalesce(1), path, mode="append") == 3
+    assert read_netcdf(spark, path).count() == 5
+    with pytest.raises(Exception):
+        write_netcdf(spark.sql("SELECT CAST(NULL AS DOUBLE) x"), path, mode="overwrite")
+    assert read_netcdf(spark, path).count() == 5
+    assert all(p.suffix in (".nc", ".crc") for p in (tmp_path / "modes").iterdir())
+
+
+def test_attributes_fill_values_and_coordinates(spark, tmp_path):
+    path = str(tmp_path / "packed")
+    df = spark.createDataFrame([(0.0, 5), (31.0, -99), (59.0, 7)], "time double, x int").coalesce(1)
+    attributes = {
+        "time": {"units": "days since 2001-01-01", "calendar": "noleap"},
+        "x": {"_FillValue": -99.0, "scale_factor": 0.5, "add_offset": 10.0},
+    }
+    write_netcdf(df, path, dim="time", attributes=attributes)
+    meta = netcdf_metadata(spark, path)
+    assert meta.find_variable("time").units == "days since 2001-01-01"
+    assert meta.find_variable("x").attributes["scale_factor"] == "0.5"
+    cells = read_netcdf(spark, path, ["x"], decode=True, coordinates=True)
+    assert cells.columns == ["file", "time_index", "time", "x"]
+    assert [tuple(r)[1:] for r in cells.orderBy("time").collect()] == [(0, 0.0, 12.5), (1, 31.0, None), (2, 59.0, 13.5)]
+    plain = read_netcdf(spark, path, ["x"]).orderBy("time").collect()
+    assert [r["x"] for r in plain] == [5, -99, 7]
