@@ -3,11 +3,13 @@
 ``read_netcdf`` turns files into long-form rows: the file, one index column per dimension and
 one column per variable. Planning lists the files and cuts them by size; it opens one of them
 for the schema. Each task then opens its own file, reads the header and seeks to its range, so
-neither large files nor many files pass through one process.
+neither large files nor many files pass through one process. The first file's units also hold for
+the time coordinates of the others, which are converted to them.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gridlake.functions.calendar import DAY_MS, TimeUnit
 from gridlake.sources.metadata import Metadata, Variable
 
 # Fixed values of the format: type codes and list tags.
@@ -41,6 +44,7 @@ SPARK_TYPES = {
 }
 DIMENSIONS, VARIABLES, ATTRIBUTES = 0x0A, 0x0B, 0x0C
 STREAMING = 0xFFFFFFFF
+SINCE = re.compile(r"\s*\w+\s+since\s", re.IGNORECASE)
 
 BATCH_CELLS = 1 << 16
 BATCH_BYTES = 64 << 20
@@ -257,6 +261,43 @@ def _index_names(chosen: Sequence[ArrayVariable], others: Sequence[ArrayVariable
     return [f"{d}_index" if d in taken else d for d in chosen[0].dims]
 
 
+Axis = tuple[str, str | None]  # units and calendar of a time coordinate
+
+
+def _axis(header: ArrayHeader, var: ArrayVariable) -> Axis | None:
+    """What a time coordinate counts, or ``None`` for other variables. Bounds count what their coordinate does."""
+    if "units" not in var.attributes:
+        named = (v for v in header.variables.values() if var.name in (v.attributes.get("bounds"), v.attributes.get("climatology")))
+        var = next(named, var)
+    units, calendar = (var.attributes.get(n) for n in ("units", "calendar"))
+    if not isinstance(units, str) or not SINCE.match(units):
+        return None
+    return units, calendar if isinstance(calendar, str) else None
+
+
+def _conversion(path: str, name: str, own: Axis | None, first: Axis | None) -> tuple[TimeUnit, TimeUnit] | None:
+    """From which unit to which the times of a file are converted; ``None`` if they stay.
+
+    Raises where that is not possible: another calendar, none, or a unit that has no fixed length.
+    """
+    if own == first:
+        return None
+    try:
+        if None in (own, first) or None in (*own, *first):
+            raise ValueError("it takes units and a calendar in both files")
+        units = [TimeUnit.parse(calendar, text) for text, calendar in (own, first)]
+        if units[0].calendar != units[1].calendar:
+            raise ValueError("the calendars differ")
+    except ValueError as error:
+        raise ValueError(f"{path}: cannot convert {name} from {own} to {first} of the first file: {error}") from error
+    return None if units[0] == units[1] else (units[0], units[1])
+
+
+def _converted(values: np.ndarray, own: TimeUnit, first: TimeUnit) -> np.ndarray:
+    shift = (own.base_day - first.base_day) * DAY_MS + own.base_ms - first.base_ms
+    return (values * own.unit_ms + shift) / first.unit_ms
+
+
 class NetcdfSource(DataSource):
     """``spark.read.format("netcdf3")``; options ``variables``, ``leading``, ``splitBytes``, ``decode`` and
     ``coordinates``."""
@@ -271,19 +312,22 @@ class NetcdfSource(DataSource):
     def _is(self, option: str) -> bool:
         return self.options.get(option, "false").lower() == "true"
 
-    def schema(self) -> T.StructType:
+    def _first_header(self) -> ArrayHeader:
         path, size = list_files(self.options["path"])[0]
         with _open(path) as file:
-            header = read_header(file, size)
+            return read_header(file, size)
+
+    def schema(self) -> T.StructType:
+        header = self._first_header()
         chosen = _choose(header, self._variables())
         others = _coordinates(header, chosen) if self._is("coordinates") else []
         fields = [T.StructField("file", T.StringType())]
         fields += [T.StructField(d, T.LongType(), True, {"dimension": True}) for d in _index_names(chosen, others)]
-        fields += [T.StructField(v.name, _spark_type(v, self._is("decode"))) for v in [*others, *chosen]]
+        fields += [T.StructField(v.name, _spark_type(v, self._is("decode"), _axis(header, v))) for v in [*others, *chosen]]
         return T.StructType(fields)
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        leading = self.options.get("leading")
+        leading, header = self.options.get("leading"), self._first_header()
         return NetcdfReader(
             self.options["path"],
             self._variables(),
@@ -292,6 +336,7 @@ class NetcdfSource(DataSource):
             schema,
             self._is("decode"),
             self._is("coordinates"),
+            {v.name: _axis(header, v) for v in header.variables.values()},
         )
 
 
@@ -305,10 +350,11 @@ class NetcdfReader(DataSourceReader):
         schema: T.StructType,
         decode: bool,
         coordinates: bool,
+        axes: dict[str, Axis | None],
     ) -> None:
         self.path, self.variables, self.split_bytes = path, variables, split_bytes
         self.leading, self.schema = leading, schema
-        self.decode, self.coordinates = decode, coordinates
+        self.decode, self.coordinates, self.axes = decode, coordinates, axes
 
     def partitions(self) -> list[InputPartition]:
         splits = []
@@ -327,6 +373,12 @@ class NetcdfReader(DataSourceReader):
             names = ["file", *_index_names(chosen, others), *(v.name for v in [*others, *chosen])]
             if names != self.schema.fieldNames():
                 raise ValueError(f"{path} has columns {names}, not {self.schema.fieldNames()}")
+            axes = {v.name: _axis(header, v) for v in [*others, *chosen]}
+            changes = {n: _conversion(path, n, axis, self.axes.get(n)) for n, axis in axes.items()}
+
+            def column(values: np.ndarray, var: ArrayVariable) -> pa.Array:
+                return _column(values, var, self.decode, axes[var.name], changes[var.name])
+
             first, end = self.leading or (0, shape[0])
             below = prod(shape[1:])
             first, end = max(first, 0) * below, min(end, shape[0]) * below
@@ -339,9 +391,9 @@ class NetcdfReader(DataSourceReader):
                 for var in others:
                     at = index[chosen[0].dims.index(var.name)]
                     low, high = int(at.min()), int(at.max()) + 1
-                    columns.append(_column(read_values(file, header, var, low, high)[at - low], var, self.decode))
+                    columns.append(column(read_values(file, header, var, low, high)[at - low], var))
                 for var in chosen:
-                    columns.append(_column(read_values(file, header, var, start, stop), var, self.decode))
+                    columns.append(column(read_values(file, header, var, start, stop), var))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -354,28 +406,41 @@ def _is_packed(var: ArrayVariable) -> bool:
     return _number(var, "scale_factor") is not None or _number(var, "add_offset") is not None
 
 
-def _spark_type(var: ArrayVariable, decode: bool) -> T.DataType:
-    return T.DoubleType() if decode and _is_packed(var) else SPARK_TYPES[var.type_code]
+def _spark_type(var: ArrayVariable, decode: bool, axis: Axis | None) -> T.DataType:
+    return T.DoubleType() if axis or (decode and _is_packed(var)) else SPARK_TYPES[var.type_code]
 
 
-def _column(values: np.ndarray, var: ArrayVariable, decode: bool = False) -> pa.Array:
+def _column(
+    values: np.ndarray, var: ArrayVariable, decode: bool, axis: Axis | None, change: tuple[TimeUnit, TimeUnit] | None
+) -> pa.Array:
     if var.type_code == 2:
         return pa.array(np.char.decode(values, "latin-1").tolist(), pa.string())
     missing = None
-    if decode:
+    if decode or change:
         fills = [var.attributes[n] for n in ("_FillValue", "missing_value") if not isinstance(var.attributes.get(n, ""), str)]
         if fills:
             missing = np.isin(values, np.concatenate(fills).astype(values.dtype.newbyteorder("=")))
     if decode and _is_packed(var):
         scale, shift = _number(var, "scale_factor"), _number(var, "add_offset")
         values = values.astype(np.float64) * (1.0 if scale is None else scale) + (shift or 0.0)
+    elif change and _is_packed(var):
+        raise ValueError(f"packed times of {var.name} in other units than the first file's need decode=True")
+    if change:
+        times = values.astype(np.float64)
+        values = _converted(times, *change)
+        if missing is not None:
+            values = np.where(missing, times, values)
     widened = {7: np.int16, 8: np.int32, 9: np.int64}
-    native = np.float64 if decode and _is_packed(var) else widened.get(var.type_code, values.dtype.newbyteorder("="))
-    return pa.array(values.astype(native), mask=missing)
+    as_double = axis or (decode and _is_packed(var))
+    native = np.float64 if as_double else widened.get(var.type_code, values.dtype.newbyteorder("="))
+    return pa.array(values.astype(native), mask=missing if decode else None)
 
 
 def netcdf_metadata(spark: SparkSession, path: str) -> Metadata:
-    """Units, dimensions and attributes of the variables of array files, from the first file's header."""
+    """Units, dimensions and attributes of the variables of array files, from the first file's header.
+
+    They hold for all rows of ``read_netcdf``, which converts the times of the other files to them.
+    """
     path, size = list_files(qualified(spark, path))[0]
     with _open(path) as file:
         header = read_header(file, size)
@@ -409,6 +474,10 @@ def read_netcdf(
     the attributes ``_FillValue`` or ``missing_value`` are NULL, and packed values are unpacked by
     ``scale_factor`` and ``add_offset`` to doubles.
 
+    A time coordinate, one whose units are such as ``days since 1850-01-01``, is a DOUBLE in the units and the
+    calendar of the first file: files may have base moments and units of their own. Another calendar, or other
+    units without a calendar to convert them by, raise.
+
     ``path`` is a file or a directory of ``.nc`` files with the same variables; without a scheme it lies in
     Spark's default filesystem. Variables left out are not read, but for short gaps between records. ``leading`` limits the reading to a half-open range of the first
     dimension, such as some time steps. It is an argument, not a pushed filter, because Spark

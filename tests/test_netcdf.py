@@ -6,7 +6,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import gridlake.sources.netcdf as netcdf
-from gridlake.operators.stats import checksum, count_zeros, total_checksum
+from gridlake.functions.calendar import resolve_calendar
+from gridlake.operators.stats import checksum, count_zeros, period_stats, total_checksum
 from gridlake.sources.netcdf import netcdf_metadata, list_files, read_netcdf, select_variable, write_netcdf
 
 CODES = {"i1": 1, "S1": 2, "i2": 3, "i4": 4, "f4": 5, "f8": 6, "i8": 10, "u2": 8}
@@ -226,3 +227,37 @@ def test_attributes_fill_values_and_coordinates(spark, tmp_path):
     assert [tuple(r)[1:] for r in cells.orderBy("time").collect()] == [(0, 0.0, 12.5), (1, 31.0, None), (2, 59.0, 13.5)]
     plain = read_netcdf(spark, path, ["x"]).orderBy("time").collect()
     assert [r["x"] for r in plain] == [5, -99, 7]
+
+
+def write_axis(folder, name, times, units, calendar="noleap", **more):
+    axis = {"time": {"units": units, "calendar": calendar, **more} if calendar else {"units": units}}
+    x = np.arange(len(times), dtype="f8") + 1
+    (folder / name).write_bytes(netcdf.encode_file("time", {"time": np.array(times), "x": x}, axis))
+
+
+def test_files_with_base_dates_of_their_own(spark, tmp_path):
+    write_axis(tmp_path, "a.nc", [0.0, 31.0], "days since 2001-01-01")
+    write_axis(tmp_path, "b.nc", [0.0, 31.0], "days since 2002-01-01", "365_day")
+    write_axis(tmp_path, "c.nc", np.array([-999, 0, 24 * 59 + 6], "i4"), "hours since 2003-01-01 12:00", _FillValue=-999.0)
+    path = str(tmp_path)
+    cells = read_netcdf(spark, path, ["x"], decode=True, coordinates=True)
+    times = [r["time"] for r in cells.orderBy("file", "time_index").collect()]
+    assert times == [0.0, 31.0, 365.0, 396.0, None, 730.5, 789.75]
+    unit = resolve_calendar(netcdf_metadata(spark, path), "time")
+    found = period_stats(cells.where("time IS NOT NULL"), unit, "time", "x").collect()
+    assert {(r["year"], r["month"]): r["count"] for r in found} == {
+        (y, m): 1 for y, m in [(2001, 1), (2001, 2), (2002, 1), (2002, 2), (2003, 1), (2003, 3)]
+    }
+    raw = [r["time"] for r in read_netcdf(spark, path, ["time"]).orderBy("file", "time_index").collect()]
+    assert raw == [0.0, 31.0, 365.0, 396.0, -999.0, 730.5, 789.75]
+
+
+@pytest.mark.parametrize(
+    "units, calendar", [("days since 2001-01-01", "360_day"), ("days since 2002-01-01", None), ("months since 2001-01-01", "noleap"), ("m", "noleap")]
+)
+def test_times_that_cannot_be_converted_raise(spark, tmp_path, units, calendar):
+    write_axis(tmp_path, "a.nc", [0.0, 31.0], "days since 2001-01-01")
+    write_axis(tmp_path, "b.nc", [0.0, 31.0], units, calendar)
+    with pytest.raises(PySparkException, match="cannot convert time"):
+        read_netcdf(spark, str(tmp_path), ["x"], coordinates=True).collect()
+    assert read_netcdf(spark, str(tmp_path), ["x"]).count() == 4  # without times there is nothing to convert
