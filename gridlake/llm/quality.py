@@ -8,14 +8,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import flat, pieces, widened, with_columns
+from gridlake.llm.common import flat, pieces, raw_texts, stored, widened, with_columns
 
-# Bounds of the training sample: documents of each label, and chunks of each document, spread evenly.
+# Bounds of the training sample: documents of each label, and bytes of their whole texts.
 MAX_DOCUMENTS = 1_000
-MAX_CHUNKS = 6
+MAX_BYTES = 32 << 20
 
 # Filters look at so many bytes. Chunks of four blocks begin at every second block, so that each
 # chunk shares half its bytes with the next.
@@ -24,7 +24,42 @@ FILTERS = 16
 EMBEDDING = 8
 BLOCK = 128
 CHUNK_BLOCKS, STEP_BLOCKS = 4, 2
-CHUNK = BLOCK * CHUNK_BLOCKS
+# Blocks whose answers are held at once.
+PIECE = 256
+
+
+@dataclass
+class Layout:
+    """Texts one after another, each from the start of a block, and the blocks of all their chunks.
+
+    Each text is followed by at least one window of zero bytes, up to the end of its last block.
+    """
+
+    padded: np.ndarray
+    first: np.ndarray
+    lengths: np.ndarray
+    counts: np.ndarray
+    chunks: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        """Of the chunks of each text."""
+        return np.cumsum(self.counts) - self.counts
+
+
+def laid_out(data: np.ndarray, at: np.ndarray) -> Layout:
+    lengths = np.diff(at)
+    blocks = -(-(lengths + WIDTH) // BLOCK)
+    first = np.cumsum(blocks) - blocks
+    padded = np.zeros(int(blocks.sum()) * BLOCK + WIDTH - 1, np.uint8)
+    padded[np.arange(len(data)) + np.repeat(first * BLOCK - at[:-1], lengths)] = data
+    counts = np.maximum(-(-(blocks - CHUNK_BLOCKS) // STEP_BLOCKS), 0) + 1
+    owner = np.repeat(np.arange(len(lengths)), counts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    start, end = first[owner] + nth * STEP_BLOCKS, first[owner] + blocks[owner] - 1
+    # A chunk that would reach over the end has its last block again.
+    chunks = np.minimum(start[:, None] + np.arange(CHUNK_BLOCKS), end[:, None])
+    return Layout(padded, first, lengths, counts, chunks)
 
 
 @dataclass
@@ -51,54 +86,39 @@ class Model:
 
     def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The chance of label 1 for each text of a batch. Every byte is looked at."""
-        lengths = np.diff(at)
-        # Each text is followed by at least one window of zero bytes, up to the end of a block.
-        blocks = -(-(lengths + WIDTH) // BLOCK)
-        first = np.cumsum(blocks) - blocks
-        padded = np.zeros(int(blocks.sum()) * BLOCK + WIDTH - 1, np.uint8)
-        padded[np.arange(len(data)) + np.repeat(first * BLOCK - at[:-1], lengths)] = data
-        largest = np.vstack(
-            [
-                self._block_answers(padded, k, first, lengths)
-                for k in range(0, int(blocks.sum()), 2048)
-            ]
-        )
-        chunks = np.maximum(-(-(blocks - CHUNK_BLOCKS) // STEP_BLOCKS), 0) + 1
-        owner = np.repeat(np.arange(len(lengths)), chunks)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-        start, end = first[owner] + nth * STEP_BLOCKS, first[owner] + blocks[owner] - 1
-        pooled = largest[start]
+        texts = laid_out(data, at)
+        largest = np.vstack([some.max(axis=1) for some in self.block_answers(texts)])
+        pooled = largest[texts.chunks[:, 0]]
         for k in range(1, CHUNK_BLOCKS):
-            np.maximum(pooled, largest[np.minimum(start + k, end)], out=pooled)
+            np.maximum(pooled, largest[texts.chunks[:, k]], out=pooled)
         pooled = np.maximum(pooled + self.shift, 0)
-        sums = np.add.reduceat(pooled, np.cumsum(chunks) - chunks, axis=0)
-        return 1 / (1 + np.exp(-self.log_odds(sums / chunks[:, None]).astype(float)))
-
-    def _block_answers(self, padded: np.ndarray, start: int, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Largest answers in up to 2048 blocks; windows that begin after the end of a text don't count."""
-        n = min(2048, len(padded) // BLOCK - start)
-        answers = self.answers(padded[start * BLOCK : (start + n) * BLOCK + WIDTH - 1]).reshape(n, BLOCK, -1)
-        numbers = np.arange(start, start + n)
-        text = np.searchsorted(first, numbers, "right") - 1
-        # An empty text has one window.
-        left = np.maximum(lengths[text], 1) - (numbers - first[text]) * BLOCK
-        for k in np.flatnonzero(left < BLOCK):
-            answers[k, max(left[k], 0) :] = -np.inf
-        return answers.max(axis=1)
+        sums = np.add.reduceat(pooled, texts.starts, axis=0)
+        return 1 / (1 + np.exp(-self.log_odds(sums / texts.counts[:, None]).astype(float)))
+
+    def block_answers(self, texts: Layout) -> Iterator[np.ndarray]:
+        """Answers in all blocks, up to ``PIECE`` at a time; windows that begin after the end of a text don't count."""
+        for start in range(0, len(texts.padded) // BLOCK, PIECE):
+            n = min(PIECE, len(texts.padded) // BLOCK - start)
+            data = texts.padded[start * BLOCK : (start + n) * BLOCK + WIDTH - 1]
+            answers = self.answers(data).reshape(n, BLOCK, -1)
+            numbers = np.arange(start, start + n)
+            text = np.searchsorted(texts.first, numbers, "right") - 1
+            # An empty text has one window.
+            left = np.maximum(texts.lengths[text], 1) - (numbers - texts.first[text]) * BLOCK
+            for k in np.flatnonzero(left < BLOCK):
+                answers[k, max(left[k], 0) :] = -np.inf
+            yield answers
 
 
 def fit(
-    chunks: np.ndarray,
-    lengths: np.ndarray,
-    owner: np.ndarray,
+    parts: list[np.ndarray],
     labels: np.ndarray,
     weights: np.ndarray,
     epochs: int = 14,
     rate: float = 0.01,
 ) -> Model:
-    """Train on ``chunks`` (rows of bytes, with ``WIDTH - 1`` more at the end) that belong to documents
-    ``owner`` with ``labels`` and ``weights``; ``lengths`` counts a chunk's windows. Adam; the gradient of a
-    largest answer goes to the bytes of its window."""
+    """Train on all chunks of whole texts, given by their bytes, with ``labels`` and ``weights``, pooled as
+    ``Model.scores`` does. Adam; the gradient of a largest answer goes to the bytes of its window."""
     rng = np.random.default_rng(5)
     p = {
         "embed": rng.normal(0, 0.5, (256, EMBEDDING)),
@@ -109,30 +129,32 @@ def fit(
     }
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
-    rows_of = np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1)
-    step = 0
+    step, f = 0, np.arange(FILTERS)
     for epoch in range(epochs):
-        order = rng.permutation(len(rows_of))
+        order = rng.permutation(len(parts))
         for some in np.array_split(order, max(1, len(order) // 32)):
-            rows = np.concatenate([rows_of[k] for k in some])
-            counts = np.array([len(rows_of[k]) for k in some])
+            texts = laid_out(np.concatenate([parts[k] for k in some]), np.cumsum([0, *(len(parts[k]) for k in some)]))
+            counts = texts.counts
             place = np.repeat(np.arange(len(some)), counts)
             table = np.einsum("be,kef->kbf", p["embed"], p["filters"]).astype(np.float32)
             model = Model(table, p["shift"], p["weights"], float(p["bias"][0]))
-            answers = model.answers(chunks[rows])
-            answers[np.arange(CHUNK)[None, :] >= lengths[rows, None]] = -np.inf
-            where = answers.argmax(axis=1)
-            cut = np.take_along_axis(answers, where[:, None, :], axis=1)[:, 0] + p["shift"]
-            pooled = np.zeros((len(some), FILTERS))
-            np.add.at(pooled, place, np.maximum(cut, 0))
-            pooled /= counts[:, None]
+            largest, where = [], []
+            for answers in model.block_answers(texts):
+                where.append(answers.argmax(axis=1))
+                largest.append(np.take_along_axis(answers, where[-1][:, None, :], axis=1)[:, 0])
+            largest, where = np.vstack(largest), np.vstack(where)
+            best = largest[texts.chunks].argmax(axis=1)
+            block = np.take_along_axis(texts.chunks, best, axis=1)
+            cut = largest[block, f] + p["shift"]
+            window = block * BLOCK + where[block, f]
+            pooled = np.add.reduceat(np.maximum(cut, 0), texts.starts, axis=0) / counts[:, None]
             y, z = labels[some], model.log_odds(pooled)
             slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weights[some] / weights[some].sum()
             back = (slope / counts)[place][:, None] * p["weights"] * (cut > 0)
             d_table = np.zeros((WIDTH, 256, FILTERS))
-            f = np.broadcast_to(np.arange(FILTERS), where.shape)
             for k in range(WIDTH):
-                np.add.at(d_table[k], (chunks[rows[:, None], where + k], f), back)
+                cell = texts.padded[window + k].astype(np.int64) * FILTERS + f
+                d_table[k] = np.bincount(cell.ravel(), back.ravel(), 256 * FILTERS).reshape(256, FILTERS)
             g = {
                 "embed": np.einsum("kbf,kef->be", d_table, p["filters"]),
                 "filters": np.einsum("be,kbf->kef", p["embed"], d_table),
@@ -150,32 +172,19 @@ def fit(
     return Model(table, p["shift"].astype(np.float32), p["weights"].astype(np.float32), float(p["bias"][0]))
 
 
-def _sample_chunks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        data, at = flat(batch["text"])
-        rows = []
-        for start, end in zip(at.tolist(), at.tolist()[1:]):
-            count = max(0, -(-(-(-(end - start) // BLOCK) - CHUNK_BLOCKS) // STEP_BLOCKS)) + 1
-            chosen = np.unique(np.linspace(0, count - 1, min(count, most)).round().astype(int))
-            firsts = start + chosen * STEP_BLOCKS * BLOCK
-            rows.append([data[a : min(end, a + CHUNK + WIDTH - 1)].tobytes() for a in firsts.tolist()])
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["label"], pa.array(rows, pa.list_(pa.binary()))], names=["doc_id", "label", "chunks"]
-        )
-
-
 def train(
     docs: DataFrame,
     labels: DataFrame,
     may_learn: Column,
     max_documents: int = MAX_DOCUMENTS,
-    max_chunks: int = MAX_CHUNKS,
+    max_bytes: int = MAX_BYTES,
 ) -> Model | None:
     """Learn ``labels.quality`` (``doc_id, quality``) from texts of ``docs`` (``doc_id, text``).
 
     ``may_learn`` is a condition on ``doc_id`` for the rows that may be used. At most ``max_documents``
-    of each label are used, chosen by a hash of the id, each with at most ``max_chunks`` chunks, spread
-    evenly over the whole text; they are sent to the driver. Labels weigh as often as they occur.
+    of each label are used, in the order of a hash of the id, and of those the first whose texts have
+    ``max_bytes`` together, but one at least; their whole texts are sent to the driver. Labels weigh as often
+    as they occur.
 
     Null labels and ids are left out, and an id with several labels has the largest. With one label only
     the network still learns, and then always predicts it; without any it returns ``None``.
@@ -191,24 +200,20 @@ def train(
         ids = some if ids is None else ids.union(some)
     # At most max_documents ids of each label.
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(
-        lambda batches: _sample_chunks(batches, max_chunks), f"doc_id {kind}, label int, chunks array<binary>"
-    ).toArrow()
+    texts = stored(texts.select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")), "quality-sample")
+    before = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sizes = texts.select("doc_id", "label", F.octet_length("text").cast("bigint").alias("size"))
+    sizes = sizes.withColumn("total", F.sum("size").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    taken = sizes.where((F.col("total") <= max_bytes) | (F.col("total") == F.col("size"))).select("doc_id")
+    found = texts.join(F.broadcast(taken), "doc_id").toArrow()
     if found.num_rows == 0:
         return None
-    found = found.sort_by("doc_id")
+    found = found.sort_by("doc_id").combine_chunks()
     labels_of = np.array(found["label"].to_pylist(), float)
-    lists = found["chunks"].to_pylist()
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    parts = [part for x in lists for part in x]
-    chunks = np.zeros((len(parts), CHUNK + WIDTH - 1), np.uint8)
-    for row, part in zip(chunks, parts):
-        row[: len(part)] = np.frombuffer(part, np.uint8)
-    lengths = np.array([min(CHUNK, max(1, len(x))) for x in parts])
+    parts = [np.frombuffer(raw, np.uint8) for chunk in found["text"].chunks for raw in raw_texts(chunk)]
     share = {k: counts[k] / max(1, int((labels_of == k).sum())) for k in counts}
     weights = np.array([share[int(k)] for k in labels_of])
-    return fit(chunks, lengths, owner, labels_of, weights / weights.mean())
+    return fit(parts, labels_of, weights / weights.mean())
 
 
 def _score(batches: Iterable[pa.RecordBatch], shared: Broadcast, name: str) -> Iterator[pa.RecordBatch]:

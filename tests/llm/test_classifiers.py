@@ -119,3 +119,30 @@ def test_nothing_to_learn(spark):
     empty = frame(spark, [])
     assert language.predict(empty, language.train(docs, some)).collect() == []
     assert quality.with_score(empty, None).collect() == []
+
+
+def test_quality_learns_from_whole_texts(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(300):
+        text = bytearray(rng.integers(97, 123, 8192, np.uint8).tobytes())
+        at = int(rng.integers(560, 640))
+        text[at : at + 700] = (b"0123456789" if k % 2 else b"9753186420") * 70
+        rows.append((k, text.decode(), k % 2))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    labels = docs.select("doc_id", "quality")
+    model = quality.train(docs, labels, F.col("doc_id") < 200)
+    found = quality.with_score(docs.where("doc_id >= 200"), model).collect()
+    assert np.mean([(r["score"] > 0.5) == r["quality"] for r in found]) > 0.9
+
+
+def test_quality_bounds_the_sample_by_bytes_of_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda parts, labels, weights: seen.append((parts, labels)))
+    docs = spark.createDataFrame([(k, chr(97 + k) * 5000) for k in range(20)], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) AS quality")
+    for most in (17_000, 100):
+        quality.train(docs, labels, F.lit(True), max_bytes=most)
+    for (parts, kinds), each in zip(seen, (3, 1)):
+        assert sorted(kinds) == [0] * each + [1] * each
+        assert all(len(x) == 5000 and len(set(x.tolist())) == 1 for x in parts)
