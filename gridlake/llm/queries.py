@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridlake.llm import language, ppm, quality, toxicity
 from gridlake.llm.common import read, remainder
+from gridlake.llm.conversation_repair import damage, repair
 from gridlake.llm.decontamination import find_contamination, is_contaminated, n_hit
 from gridlake.llm.mixing import plan_mix
 from gridlake.llm.simhash import near_duplicates
@@ -130,6 +131,11 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and the cheapest repair of each conversation, after planted damage."""
+    return repair(damage(read(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_tool_calls": op2_tool_calls,
@@ -141,4 +147,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_weighted_sampling": op10_weighted_sampling,
+    "op11_repair": op11_repair,
 }
