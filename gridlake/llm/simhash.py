@@ -65,61 +65,102 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     return stored(found, "simhash")
 
 
-def _flips(fp: Column, radius: int, bits: Iterable[int]) -> Column:
-    """An array of ``fp`` with up to ``radius`` (0 or 1) of ``bits`` flipped."""
-    masks = [0, *[_signed(1 << b) for b in bits]] if radius else [0]
+def _flips(fp: Column, bits: Iterable[int]) -> Column:
+    """An array of ``fp`` as it is and with each one of ``bits`` flipped."""
+    masks = [0, *[_signed(1 << b) for b in bits]]
     return F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: fp.bitwiseXOR(m))
 
 
 def _ball(fps: DataFrame, radius: int) -> DataFrame:
-    """``fp, variant``: every number within ``radius`` bits of ``fp``, once."""
-    out = fps.select("fp", F.col("fp").alias("variant"), F.lit(-1).alias("last"))
+    """``fp, variant`` of ``fps`` (``fp, mask``): every number within ``radius`` bits of ``fp``, once.
+
+    Only bits of ``mask`` are flipped.
+    """
+    out = fps.select("fp", "mask", F.col("fp").alias("variant"), F.lit(-1).alias("last"))
     for _ in range(radius):
         # Bits are flipped in ascending order; number 64 stands for none.
-        out = out.select("fp", "variant", F.explode(F.sequence(F.least(F.col("last") + 1, F.lit(64)), F.lit(64))).alias("last"))
+        bits = F.expr(
+            "filter(sequence(least(last + 1, 64), 64), b -> b = 64 OR (mask & shiftleft(1L, b)) <> 0)"
+        )
+        out = out.select("fp", "mask", "variant", F.explode(bits).alias("last"))
         flip = F.when(F.col("last") < 64, F.expr("shiftleft(1L, last)")).otherwise(F.lit(0).cast("bigint"))
-        out = out.select("fp", F.col("variant").bitwiseXOR(flip).alias("variant"), "last")
+        out = out.select("fp", "mask", F.col("variant").bitwiseXOR(flip).alias("variant"), "last")
     return out.select("fp", "variant")
 
 
-def _may_link(fps: DataFrame) -> DataFrame:
-    """The fingerprints that have another one near them in 42 or more of their bits.
+def _tied(variants: DataFrame, distance: int) -> DataFrame:
+    """``u, v`` with ``u < v``: pairs that connect all that meet in a variant of ``fp, variant``.
+
+    A home is a fingerprint within ``distance // 2`` bits of the variant. Whatever meets a home is
+    within ``distance`` of it, and two fingerprints within ``distance`` meet where one is a home. So
+    each is tied to the smallest home only: a group grows by rows, not by pairs.
+    """
+    home = F.bit_count(F.col("fp").bitwiseXOR(F.col("variant"))) <= distance // 2
+    smallest = F.min(F.when(home, F.col("fp"))).over(Window.partitionBy("variant"))
+    pairs = variants.select("fp", smallest.alias("home")).where("home <> fp")
+    pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("home"))) <= distance)
+    return pairs.select(F.least("fp", "home").alias("u"), F.greatest("fp", "home").alias("v")).distinct()
+
+
+def _meetings(fps: DataFrame) -> DataFrame:
+    """``group, fp, smallest, mask`` of the fingerprints that meet others in most of their bits.
 
     Up to 4 bits that differ leave a pair of thirds with 2 at most. So each fingerprint emits, for
-    each pair of thirds, its variants within half of that, 1 bit: about 130 rows. What meets there
-    may link; all others cannot, and do not take part in the full search.
+    each pair of thirds, its variants within half of that, 1 bit: about 130 rows, and what links
+    meets. ``mask`` has the bits on which the members of a group differ. The third left out is
+    overwritten by its number; where that equals a variant of another pair of thirds, a group only
+    gets members more.
     """
     keys = []
     for k, (low, high) in enumerate(_THIRDS):
         kept = [b for b in range(BITS) if not low <= b < high]
         mask = _signed(sum(1 << b for b in kept))
-        flips = _flips(F.col("fp").bitwiseAND(F.lit(mask)), 1, kept)
-        keys.append(F.transform(flips, lambda v, k=k: F.struct(F.lit(k).alias("third"), v.alias("value"))))
-    spread = fps.select("fp", F.explode(F.concat(*keys)).alias("key"))
-    group = Window.partitionBy("key.third", "key.value")
-    met = spread.select("fp", (F.min("fp").over(group) < F.max("fp").over(group)).alias("met"))
-    return met.where("met").select("fp").distinct()
+        marked = F.col("fp").bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(_signed((k + 1) << low)))
+        keys.append(_flips(marked, kept))
+    spread = fps.select("fp", F.explode(F.concat(*keys)).alias("group"))
+    group = Window.partitionBy("group")
+    met = spread.select(
+        "group",
+        "fp",
+        F.min("fp").over(group).alias("smallest"),
+        F.bit_or("fp").over(group).alias("any"),
+        F.bit_and("fp").over(group).alias("every"),
+    )
+    mask = F.col("any").bitwiseAND(F.bitwise_not("every"))
+    return met.select("group", "fp", "smallest", mask.alias("mask")).where("mask <> 0")
 
 
 def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     """``u, v`` with ``u < v``: enough pairs of linked fingerprints to connect all that link.
 
-    ``fps`` has distinct ``fp``. Every fingerprint emits all variants within half the distance. Two
-    that meet in a variant are within the distance of each other, and two within the distance meet.
-    So within a variant each is tied to the smallest only: a group grows by rows, not by pairs. For
-    distances up to 4, fingerprints that cannot meet another are left out before.
+    ``fps`` has distinct ``fp``. Every fingerprint emits all variants within half the distance (for
+    an odd one, within the half rounded up), and what meets in a variant is verified.
+
+    For distances up to 4 that is done in two steps. First over pairs of thirds, where fewer
+    variants do: within each group all are compared with its smallest. A group whose members are
+    all connected by then, or that has only two, is settled. Then the members of all other groups
+    emit their whole balls, over the bits on which their groups differ: two that link meet in such a
+    group, and so in a variant of those bits.
     """
-    if distance <= 4:
-        fps = stored(_may_link(fps), "simhash-near")
-    half = -(-distance // 2)
-    variants = _ball(fps, half)
-    tied = variants.select("fp", F.min("fp").over(Window.partitionBy("variant")).alias("u"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("u"))) <= distance
-    if distance % 2:  # the balls of two fingerprints one bit too far apart meet as well
-        group = Window.partitionBy("variant")
-        members = variants.select("fp", F.explode(F.collect_set("fp").over(group)).alias("u"))
-        tied = members.where(F.col("u") <= F.col("fp"))
-    return tied.where((F.col("u") < F.col("fp")) & near).select("u", F.col("fp").alias("v")).distinct()
+    if distance > 4:
+        everything = F.lit(-1).cast("bigint")
+        return _tied(_ball(fps.select("fp", everything.alias("mask")), -(-distance // 2)), distance)
+    met = stored(_meetings(fps), "simhash-met")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("smallest"))) <= distance
+    star = met.where((F.col("smallest") < F.col("fp")) & near)
+    star = stored(star.select(F.col("smallest").alias("u"), F.col("fp").alias("v")).distinct(), "simhash-star")
+    roots = components(star).withColumnRenamed("node", "fp")
+    root = F.coalesce("root", "fp")
+    open_groups = (
+        met.join(roots, "fp", "left")
+        .groupBy("group")
+        .agg(F.min(root).alias("low"), F.max(root).alias("high"), F.count("*").alias("members"))
+        .where("low < high AND members > 2")
+        .select("group")
+    )
+    open_fps = met.join(open_groups, "group", "left_semi").groupBy("fp").agg(F.bit_or("mask").alias("mask"))
+    open_fps = stored(open_fps, "simhash-open")
+    return star.union(_tied(_ball(open_fps, -(-distance // 2)), distance))
 
 
 def components(edges: DataFrame) -> DataFrame:

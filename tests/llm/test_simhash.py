@@ -4,7 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 from samples import ROWS, frame, table, words
 
-from gridlake.llm.simhash import _may_link, components, drop_near_duplicates, fingerprint, links, near_duplicates
+from gridlake.llm.simhash import _meetings, components, drop_near_duplicates, fingerprint, links, near_duplicates
 
 
 def brute_fingerprint(text):
@@ -70,7 +70,7 @@ def numbers():
 def test_links_connect_what_is_near(spark):
     fps = numbers()
     df = spark.createDataFrame([(f,) for f in fps], "fp bigint")
-    for distance in (3, 4):
+    for distance in (1, 2, 3, 4):
         got = {r["node"]: r["root"] for r in components(links(df, distance)).collect()}
         root = {f: f for f in fps}
         for _ in fps:
@@ -82,7 +82,37 @@ def test_links_connect_what_is_near(spark):
                 break
         assert {f: got.get(f, f) for f in fps} == root
     near = {a for a in fps for b in fps if a != b and ((a ^ b) % (1 << 64)).bit_count() <= 4}
-    assert near <= {r["fp"] for r in _may_link(df).collect()}
+    assert near <= {r["fp"] for r in _meetings(df).collect()}
+
+
+def test_planted_pairs_in_all_ranges(spark):
+    """Pairs 0 to 4 bits apart, the bits dealt over the three ranges in every way, and far ones."""
+    spots = ((0, 20, 9, 3), (21, 41, 30, 35), (42, 63, 50, 60))
+    fps, linked, apart = [], [], []
+    for k, (a, b, c) in enumerate((a, b, c) for a in range(6) for b in range(6) for c in range(6) if a + b + c <= 5):
+        bits = [*spots[0][:a], *spots[1][:b], *spots[2][:c]]
+        if len(bits) != a + b + c:
+            continue
+        one = xxhash.xxh64_intdigest(f"pair {k}")
+        two = one ^ sum(1 << x for x in bits)
+        one, two = (x - (1 << 64) if x >> 63 else x for x in (one, two))
+        fps += {one, two}
+        (linked if len(bits) <= 4 else apart).append((one, two))
+    df = spark.createDataFrame([(f,) for f in fps], "fp bigint")
+    got = {r["node"]: r["root"] for r in components(links(df)).collect()}
+    assert all(got.get(a, a) == got.get(b, b) for a, b in linked)
+    assert all(got.get(a, a) != got.get(b, b) for a, b in apart)
+
+
+def test_a_large_near_group(spark):
+    """Many fingerprints around one centre, some tied only through others."""
+    centre = xxhash.xxh64_intdigest("centre")
+    fps = {centre ^ (1 << a) ^ (1 << b) ^ (1 << c) for a in range(0, 64, 5) for b in range(0, 64, 7) for c in range(0, 64, 11)}
+    fps |= {centre ^ 0xFFFF0000 ^ (1 << a) for a in range(8)} | {centre ^ 0xFF000000 ^ (1 << a) for a in range(8)}
+    fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    got = {r["node"]: r["root"] for r in components(links(spark.createDataFrame([(f,) for f in fps], "fp bigint"))).collect()}
+    want = {i: first for i, _, first in brute_components([(f, f % (1 << 64)) for f in fps])}
+    assert {f: got.get(f, f) for f in fps} == want
 
 
 def test_components_of_a_chain_and_a_star(spark):
