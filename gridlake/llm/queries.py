@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import language, ppm, quality, toxicity
+from gridlake.llm import jaccard_join, language, ppm, quality, toxicity
 from gridlake.llm.common import read, remainder
 from gridlake.llm.conversation_repair import damage, repair
 from gridlake.llm.decontamination import find_contamination, is_contaminated, n_hit
@@ -136,6 +136,11 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(read(spark, sf_dir, "conversations")))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_tool_calls": op2_tool_calls,
@@ -148,4 +153,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_weighted_sampling": op10_weighted_sampling,
     "op11_repair": op11_repair,
+    "op13_jaccard": op13_jaccard,
 }
