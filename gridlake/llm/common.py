@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 from uuid import uuid4
@@ -119,6 +120,19 @@ def pieces(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[p
             start = end
 
 
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def slices(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The text in parts of ``size`` bytes and more, each up to the next white space."""
+    start = 0
+    while start < len(text):
+        space = _SPACE.search(text, start + size)
+        end = space.start() if space else len(text)
+        yield text[start:end]
+        start = end
+
+
 def with_columns(batch: pa.RecordBatch, drop: Iterable[str], **new: pa.Array) -> pa.RecordBatch:
     """The batch without the columns ``drop`` and with the ``new`` ones after the others."""
     drop = set(drop)

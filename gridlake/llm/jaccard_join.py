@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import flat, pieces, stored
+from gridlake.llm.common import flat, pieces, slices, stored
 from gridlake.llm.simhash import components
 
 # The part of all shingles, by hash, that the first look takes.
@@ -22,7 +21,6 @@ TREE = 1 << 20
 PIVOT = 64
 # Bytes of a text whose words are in memory at once, and words whose hashes are remembered.
 _SLICE, _CACHE = 1 << 20, 1 << 17
-_SPACE = re.compile(rb"[ \t-\r]")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,23 +37,13 @@ class _Words(dict):
         return value
 
 
-def _slices(text: bytes) -> Iterator[bytes]:
-    """The text in parts that end at white space, of about ``_SLICE`` bytes."""
-    start = 0
-    while start < len(text):
-        space = _SPACE.search(text, start + _SLICE)
-        end = space.start() if space else len(text)
-        yield text[start:end]
-        start = end
-
-
 def shingles(text: bytes, words: int, known: _Words) -> np.ndarray:
     """Ascending distinct 64-bit hashes of the shingles of ``words`` words of a text.
 
     A-Z are lower-cased; words are separated by ASCII white space. Fewer words are one shingle, no words
     none. The words themselves are in memory for a slice of the text only.
     """
-    parts = (part.lower().split() for part in _slices(text))
+    parts = (part.lower().split() for part in slices(text, _SLICE))
     hashes = [np.fromiter(map(known.__getitem__, part), np.uint64, len(part)) for part in parts]
     w = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     if len(w) == 0:

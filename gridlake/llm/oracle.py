@@ -103,8 +103,36 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM fold LEFT JOIN places USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
+_SEARCH = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS all_terms FROM texts WHERE len(terms) > 0),
+counts AS (
+    SELECT row, doc_id, n, term, count(*)::BIGINT AS tf
+    FROM (SELECT row, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM texts) GROUP BY ALL),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+    FROM counts, totals GROUP BY term, docs),
+wanted AS (
+    SELECT item, item_id, term, count(*)::BIGINT AS times
+    FROM (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark) GROUP BY ALL),
+scores AS (
+    SELECT item, item_id, row, doc_id, sum(times * w * ((1000000000 * tf)
+        // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // all_terms))))::BIGINT AS score
+    FROM wanted JOIN weights USING (term) JOIN counts USING (term), totals GROUP BY ALL)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INTEGER AS rank
+    FROM scores WHERE score > 0)
+WHERE rank <= 10
+"""
+
 ORACLE: dict[str, str] = {
     "op1_mix": _MIX,
     "op2_tool_calls": _TOOL_CALLS,
     "op7_decontaminate": _DECONTAMINATE,
+    "op12_search": _SEARCH,
 }

@@ -13,6 +13,7 @@ from gridlake.llm.common import read, remainder
 from gridlake.llm.conversation_repair import damage, repair
 from gridlake.llm.decontamination import find_contamination, is_contaminated, n_hit
 from gridlake.llm.mixing import plan_mix
+from gridlake.llm.ranked_search import search
 from gridlake.llm.simhash import near_duplicates
 from gridlake.llm.token_files import encode_documents
 from gridlake.llm.tool_calls import link_calls
@@ -136,6 +137,11 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(read(spark, sf_dir, "conversations")))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank highest for each benchmark item."""
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more."""
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -153,5 +159,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_weighted_sampling": op10_weighted_sampling,
     "op11_repair": op11_repair,
+    "op12_search": op12_search,
     "op13_jaccard": op13_jaccard,
 }
