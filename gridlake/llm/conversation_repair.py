@@ -16,7 +16,7 @@ DELETE, INSERT, REROLE, TRUNCATED = 3, 2, 2, 1
 BLANK = " \t\n\x0b\x0c\r"
 
 # Turns that are searched at once. Longer conversations are searched piece by piece.
-PIECE = 48
+PIECE = 16
 
 # What a conversation has had last: nothing, the system's turn, the user's, or the assistant's.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -64,56 +64,57 @@ def least_costs(turns: list[Turn]) -> list[int]:
     return costs
 
 
-def search(turns: list[Turn], start: int, accepted: frozenset[int]) -> tuple[int, str, int] | None:
-    """Cost, edits and last state of the cheapest edits that lead from ``start`` to an accepted state.
+class Search:
+    """Cheapest edits of some turns, from a state to an accepted one.
 
     Depth-first in ASCII order of the edits' initials, under a bound on the cost that grows until a
-    path is found: the first one found is the cheapest, and the ASCII-least of the cheapest. States
-    that failed with as much left to spend are not entered again. ``None`` if there is no such path.
+    path is found: the first one found is the cheapest, and the ASCII-least of the cheapest. The table
+    of failed states holds what is left to spend from each at the least: where it failed, that is the
+    least that any of its edits needs. States are not entered with less, and the table serves all bounds
+    and all states to start from.
     """
-    n = len(turns)
-    rest = least_costs(turns)
-    bound = rest[0]
-    path: list[str] = []
-
-    def edits(i: int, state: int) -> Iterator[tuple[str, int, int, int]]:
-        if i < n:
-            yield "D", DELETE, i + 1, state
-        role = NEXT[state]
-        yield "I", INSERT, i, _AFTER[role]
-        if i < n and not turns[i].forced:
-            extra = TRUNCATED if turns[i].fault else 0
-            kept = _KEEP[state].get(turns[i].initial)
-            if kept is not None:
-                yield "K", extra, i + 1, kept
-            yield "R", REROLE + extra, i + 1, _AFTER[role]
-
-    def enter(i: int, state: int, spent: int) -> int | None:
-        nonlocal beyond
-        if i == n and state in accepted:
-            return state
-        if failed.get((i, state), -1) >= bound - spent:
-            return None
-        for letter, cost, to, after in edits(i, state):
-            least = spent + cost + rest[to]
-            if least > bound:
-                beyond = min(beyond, least)
-                continue
-            path.append(letter)
-            if (found := enter(to, after, spent + cost)) is not None:
-                return found
-            path.pop()
-        failed[i, state] = bound - spent
+
+    def __init__(self, turns: list[Turn], accepted: frozenset[int]) -> None:
+        self.turns = turns
+        self.accepted = accepted
+        rest = least_costs(turns)
+        self.failed = [rest[:-1] + [0 if state in accepted else INSERT] for state in range(4)]
+        self.path: list[str] = []
+
+    def find(self, start: int) -> tuple[int, str, int] | None:
+        """Cost, edits and last state, or ``None`` if no accepted state can be reached."""
+        needs = self.failed[start]
+        # Deleting all and inserting two turns reaches whatever can be reached.
+        while (bound := needs[0]) <= DELETE * len(self.turns) + 2 * INSERT:
+            self.path.clear()
+            if (found := self._enter(0, start, bound)) is not None:
+                return bound, "".join(self.path), found
         return None
 
-    # Deleting all and inserting two turns reaches whatever can be reached.
-    while bound <= DELETE * n + 2 * INSERT:
-        failed: dict[tuple[int, int], int] = {}
-        beyond = bound + DELETE * n + 2 * INSERT + 1
-        if (found := enter(0, start, 0)) is not None:
-            return bound, "".join(path), found
-        bound = beyond
-    return None
+    def _enter(self, i: int, state: int, left: int) -> int | None:
+        """The accepted state that the first path within ``left`` leads to; its edits are in ``path``."""
+        more = i < len(self.turns)
+        if not more and state in self.accepted:
+            return state
+        role = _AFTER[NEXT[state]]
+        edits = [("I", INSERT, i, role)]
+        if more:
+            turn = self.turns[i]
+            edits.insert(0, ("D", DELETE, i + 1, state))
+            if not turn.forced:
+                extra = TRUNCATED if turn.fault else 0
+                kept = _KEEP[state].get(turn.initial)
+                if kept is not None:
+                    edits.append(("K", extra, i + 1, kept))
+                edits.append(("R", REROLE + extra, i + 1, role))
+        for letter, cost, to, after in edits:
+            if cost + self.failed[after][to] <= left:
+                self.path.append(letter)
+                if (found := self._enter(to, after, left - cost)) is not None:
+                    return found
+                self.path.pop()
+        self.failed[state][i] = min(cost + self.failed[after][to] for _, cost, to, after in edits)
+        return None
 
 
 def edited(turns: Iterable[Turn], audit: str, state: int) -> Iterator[tuple[str, str, str]]:
@@ -145,10 +146,6 @@ class _Path:
         return out
 
 
-def _better(a: tuple, b: tuple | None) -> bool:
-    return b is None or a < b
-
-
 def _through(paths: dict[int, _Path], turns: list[Turn]) -> dict[int, _Path]:
     """The best path to each state after one more piece.
 
@@ -157,24 +154,25 @@ def _through(paths: dict[int, _Path], turns: list[Turn]) -> dict[int, _Path]:
     """
     system = any(t.initial == "s" and not t.forced for t in turns)
     best: dict[int, tuple] = {}
-    for start, path in paths.items():
-        ends = {START: [START, *([SYSTEM] if system else []), USER, ASSISTANT], SYSTEM: [SYSTEM, USER, ASSISTANT]}
-        for end in ends.get(start, [USER, ASSISTANT]):
-            found = search(turns, start, frozenset({end}))
-            if found is None:
+    for end in range(4):
+        search = Search(turns, frozenset({end}))
+        for start, path in paths.items():
+            if end == START != start or end == SYSTEM and not (start == SYSTEM or start == START and system):
                 continue
+            found = search.find(start)
             key = (path.cost + found[0], path.audit + found[1])
-            if _better(key, best.get(end) and best[end][0]):
+            if end not in best or key < best[end][0]:
                 best[end] = (key, start, found)
     return {end: paths[s].extended(turns, f[0], f[1], s) for end, (_, s, f) in best.items()}
 
 
 def _last(paths: dict[int, _Path], turns: list[Turn]) -> _Path:
+    search = Search(turns, frozenset({START, ASSISTANT}))
     best = None
     for start, path in paths.items():
-        found = search(turns, start, frozenset({START, ASSISTANT}))
+        found = search.find(start)
         key = (path.cost + found[0], path.audit + found[1])
-        if _better(key, best and best[0]):
+        if best is None or key < best[0]:
             best = (key, start, found)
     _, start, found = best
     return paths[start].extended(turns, found[0], found[1], start)

@@ -68,7 +68,7 @@ def by_costs_to_go(rows, kinds):
     return costs[0, ""], audit, left
 
 
-def by_enumeration(rows, kinds, most):
+def by_enumeration(rows, kinds):
     best = None
     for inserts in range(len(rows) + 3):
         for word in product("DIKR", repeat=len(rows) + inserts):
@@ -125,7 +125,7 @@ def test_search_against_exact_costs():
     rng = random.Random(1)
     for _ in range(400):
         rows = conversation(rng, rng.randint(0, 14))
-        found = cr.search(turns_of(rows), cr.START, frozenset({cr.START, cr.ASSISTANT}))
+        found = cr.Search(turns_of(rows), frozenset({cr.START, cr.ASSISTANT})).find(cr.START)
         cost, audit, left = by_costs_to_go(rows, faults(rows))
         assert found[:2] == (cost, audit)
         assert [(r, t) for _, r, t in cr.edited(turns_of(rows), audit, cr.START)] == left
@@ -136,7 +136,7 @@ def test_search_against_all_edits():
     rng = random.Random(2)
     for _ in range(25):
         rows = conversation(rng, rng.randint(0, 3))
-        assert cr.search(turns_of(rows), cr.START, frozenset({cr.START, cr.ASSISTANT}))[:2] == by_enumeration(rows, faults(rows), 3)
+        assert cr.Search(turns_of(rows), frozenset({cr.START, cr.ASSISTANT})).find(cr.START)[:2] == by_enumeration(rows, faults(rows))
 
 
 @pytest.mark.parametrize("piece", [1, 2, 5])
