@@ -159,11 +159,16 @@ class BallTree:
             if len(part) <= leaf:
                 leaves[node] = rows
                 return node
-            # Along the line between a vector far from the centre and one far from that.
-            one = part.row(int(far.argmax()), width)
-            two = part.row(int((norms - 2 * part.dot(one)).argmax()), width)
-            order = np.argsort(part.dot(one - two), kind="stable")
-            half = len(order) // 2
+            # By which is nearer: a vector far from the centre, or one far from that. Halves, if that
+            # leaves few on one side.
+            first = int(far.argmax())
+            one = part.row(first, width)
+            second = int((norms - 2 * part.dot(one)).argmax())
+            along = norms[first] - norms[second] - 2 * part.dot(one - part.row(second, width))
+            order = np.argsort(along, kind="stable")
+            half = int(np.searchsorted(along[order], 0.0))
+            if min(half, len(order) - half) * 16 < len(order):
+                half = len(order) // 2
             children[node] = tuple(build(part.take(side), rows[side]) for side in (order[:half], order[half:]))
             return node
 

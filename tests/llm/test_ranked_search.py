@@ -95,10 +95,10 @@ def test_ties_rank_by_id(spark):
 def test_tree_leaves_out_what_is_far():
     """Groups of like documents: most leaves cannot reach the best score."""
     rng = np.random.default_rng(4)
-    topics = [rng.choice(2000, 12, replace=False) for _ in range(40)]
-    parts = [np.sort(np.unique([*topics[d % 40][:-1], rng.integers(2000)])) for d in range(4000)]
-    at = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-    terms = np.concatenate(parts)
-    tree = rs.BallTree.of(rs.Vectors(at, terms, np.ones(len(terms))), 2000)
-    bounds = tree.bounds(np.sort(topics[7][:11]), np.ones(11))
-    assert (bounds[list(tree.leaves)] >= 11).mean() < 0.25
+    topics = [np.sort(rng.choice(2000, 12, replace=False)) for _ in range(40)]
+    parts = [topics[d % 40] for d in range(4000)]
+    at = np.arange(0, 12 * 4000 + 1, 12)
+    values = 1 + 0.1 * rng.random(at[-1])
+    tree = rs.BallTree.of(rs.Vectors(at, np.concatenate(parts), values), 2000)
+    bounds = tree.bounds(topics[7], np.ones(12))
+    assert (bounds[list(tree.leaves)] >= 12).mean() < 0.25
