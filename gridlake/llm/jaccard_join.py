@@ -10,42 +10,80 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import flat, pieces, slices, stored
+from gridlake.llm.common import pieces, raw_texts, stored
 from gridlake.llm.simhash import components
 
 # The part of all shingles, by hash, that the first look takes.
 LOOK = 0.3
+_LOOK = int(-(2**63) + LOOK * 2**64)
 # Shingles of one tree; more of them in one group of candidates are dealt over several.
 TREE = 1 << 20
 # One in so many sets of one tree of a large group is in each of its trees, so that what links meets.
 PIVOT = 64
-# Bytes of a text whose words are in memory at once, and words whose hashes are remembered.
-_SLICE, _CACHE = 1 << 20, 1 << 17
+# Rows of numbers that are sent to all executors; of more, both sides of the join are shuffled.
+FEW = 1 << 21
+# Bytes of a text that are looked at at once, and sets that a task remembers having seen.
+_BLOCK, _SEEN = 1 << 18, 1 << 18
+
+# --- sets of shingles ----------------------------------------------------------------------------
+
+
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+# Words are hashed as polynomials: a number for each byte, times powers of an odd base.
+_BASE = 0xD1342543DE82EF95
+_BYTES = np.random.default_rng(13).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-# --- sets of shingles ----------------------------------------------------------------------------
+def _powers(base: int) -> np.ndarray:
+    return np.concatenate(([np.uint64(1)], np.cumprod(np.full(_BLOCK, base, np.uint64))))
 
 
-class _Words(dict):
-    """Hashes of words; forgets all when there are too many."""
+def _mixed(value: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    value = (value ^ lengths.astype(np.uint64)) * _FACTOR
+    return value ^ (value >> np.uint64(29))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
+def word_hashes(text: bytes, powers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each word of a text; A-Z are lower-cased.
 
-def shingles(text: bytes, words: int, known: _Words) -> np.ndarray:
+    The text is taken in blocks, and a word that goes on into the next one is carried over, so memory
+    does not grow with the text but for the hashes.
+    """
+    up, down = powers
+    out = []
+    carried, length = 0, 0
+    for at in range(0, len(text), _BLOCK):
+        block = np.frombuffer(text[at : at + _BLOCK].translate(_LOWER), np.uint8)
+        gap = np.ones(len(block) + 2, bool)
+        gap[1:-1] = _SPACE[block]
+        edges = np.flatnonzero(gap[1:] != gap[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTES[block] * up[: len(block)])))
+        values = (sums[ends] - sums[starts]) * down[starts]
+        lengths = ends - starts
+        if length and len(starts) and starts[0] == 0:
+            values[0] = (carried + int(values[0]) * pow(_BASE, length, 1 << 64)) % (1 << 64)
+            lengths[0] += length
+        elif length:
+            out.append(_mixed(np.array([carried], np.uint64), np.array([length])))
+        length = 0
+        if len(ends) and ends[-1] == len(block):
+            carried, length = int(values[-1]), int(lengths[-1])
+            values, lengths = values[:-1], lengths[:-1]
+        out.append(_mixed(values, lengths))
+    if length:
+        out.append(_mixed(np.array([carried], np.uint64), np.array([length])))
+    return np.concatenate([np.zeros(0, np.uint64), *out])
+
+
+def shingles(text: bytes, words: int, powers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Ascending distinct 64-bit hashes of the shingles of ``words`` words of a text.
 
-    A-Z are lower-cased; words are separated by ASCII white space. Fewer words are one shingle, no words
-    none. The words themselves are in memory for a slice of the text only.
+    Words are separated by ASCII white space. Fewer words are one shingle, no words none.
     """
-    parts = (part.lower().split() for part in slices(text, _SLICE))
-    hashes = [np.fromiter(map(known.__getitem__, part), np.uint64, len(part)) for part in parts]
-    w = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    w = word_hashes(text, powers)
     if len(w) == 0:
         return np.zeros(0, np.int64)
     k = min(words, len(w))
@@ -53,36 +91,55 @@ def shingles(text: bytes, words: int, known: _Words) -> np.ndarray:
     for j in range(k):
         value = (value ^ w[j : len(w) - k + 1 + j]) * _FACTOR
         value ^= value >> np.uint64(29)
-    return np.unique(value.view(np.int64))
+    value = np.sort(value.view(np.int64))
+    return value[np.concatenate(([True], value[1:] != value[:-1]))]
 
 
-def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    known = _Words()
+def _sets(batches: Iterable[pa.RecordBatch], words: int, look: bool) -> Iterator[pa.RecordBatch]:
+    """Sets of the texts of some documents; the tokens of those that this task has not seen before."""
+    powers = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+    seen: set[bytes] = set()
     for batch in pieces(batches):
-        data, at = flat(batch["text"])
-        raw = data.tobytes()
-        found = [shingles(raw[a:b], words, known) for a, b in zip(at.tolist(), at[1:].tolist())]
-        names = [xxhash.xxh3_128_digest(x.tobytes()) for x in found]
+        names, sizes, found = [], [], []
+        for text in raw_texts(batch["text"]):
+            tokens = shingles(text, words, powers)
+            names.append(xxhash.xxh3_128_digest(tokens.tobytes()))
+            sizes.append(len(tokens))
+            if names[-1] in seen:
+                tokens = tokens[:0]
+            elif len(seen) < _SEEN:
+                seen.add(names[-1])
+            found.append(tokens[: np.searchsorted(tokens, _LOOK)] if look else tokens)
         ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
         tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
         keys = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
-        columns = [batch["doc_id"], pa.array(np.diff(ends).astype(np.int64)), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), tokens]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "tokens"])
+        new = [pa.array(sizes, pa.int64()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), tokens]
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([batch[n] for n in kept] + new, names=[*kept, "n", "h1", "h2", "tokens"])
+
+
+_SET = "n bigint, h1 bigint, h2 bigint, tokens array<bigint>"
 
 
 def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``doc_id, n, h1, h2, tokens, row`` of each row of ``docs``, written down.
+    """``doc_id, text_hash, n, h1, h2, tokens, row`` of each row of ``docs``, written down.
 
-    ``tokens`` are the hashes of its distinct shingles, ``n`` their number, ``h1, h2`` a hash of the whole
-    set, and ``row`` a number.
+    ``n`` is the number of its distinct shingles, ``h1, h2`` a hash of the set, and ``row`` a number.
+    ``tokens`` are the least hashes of its shingles, the part ``LOOK`` of all that there can be; they are
+    empty where an earlier row of the same task has the same set.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(
-        lambda batches: _sets(batches, words), f"doc_id {kind}, n bigint, h1 bigint, h2 bigint, tokens array<bigint>"
-    )
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    found = rows.mapInArrow(lambda batches: _sets(batches, words, True), f"doc_id {kind}, text_hash bigint, {_SET}")
     return stored(found.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` of a number or two, written down; to be broadcast if they are few enough."""
+    rows = stored(rows, "jaccard-rows")
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 # --- the join within one tree --------------------------------------------------------------------
 
 
@@ -261,19 +318,29 @@ def _needed(n: Column, percent: int) -> Column:
     return F.call_function("div", n * percent + 99, F.lit(100))
 
 
-def _linkable(sets: DataFrame, percent: int) -> DataFrame:
-    """The sets that may link, by a part of the shingles.
+def _linkable(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``row`` of the classes that may link, by a part of the shingles.
 
     A set that links has at most ``n - needed`` shingles that no other set has. So whatever has more of
     those among the shingles with the least hashes is left out.
     """
-    look = F.lit(int(-(2**63) + LOOK * 2**64))
-    some = sets.select("row", F.explode(F.filter("tokens", lambda t: t < look)).alias("token"))
+    repeats = few(sets.select("row").join(classes.select("row"), "row", "left_anti"))
+    firsts = sets.join(repeats, "row", "left_anti")
+    some = firsts.select("row", F.explode("tokens").alias("token"))
     often = stored(some.groupBy("token").count().where("count > 1").select("token"), "jaccard-look")
     shared = some.join(often, "token", "left_semi").groupBy("row").agg(F.count("*").alias("shared"))
-    seen = F.size(F.filter("tokens", lambda t: t < look))
-    kept = sets.join(shared, "row", "left").where(seen - F.coalesce("shared", F.lit(0)) <= F.col("n") - _needed(F.col("n"), percent))
-    return kept.drop("shared")
+    counted = firsts.where("n > 0").select("row", "n", F.size("tokens").alias("seen")).join(shared, "row", "left")
+    alone = F.col("seen") - F.coalesce("shared", F.lit(0))
+    return counted.where(alone <= F.col("n") - _needed(F.col("n"), percent)).select("row")
+
+
+def _whole(docs: DataFrame, sets: DataFrame, rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """``row, n, tokens``, written down: all shingles of the classes ``rows``, from the texts again."""
+    wanted = few(sets.join(few(rows), "row", "left_semi").select("text_hash").distinct())
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash", "left_semi").select("text")
+    found = texts.mapInArrow(lambda batches: _sets(batches, words, False), _SET).where(F.size("tokens") > 0)
+    numbered = found.join(few(classes.join(rows, "row", "left_semi").select("h1", "h2", "row")), ["h1", "h2"])
+    return stored(numbered.select("row", "n", "tokens").dropDuplicates(["row"]), "jaccard-whole")
 
 
 def _ordered(sets: DataFrame, percent: int) -> DataFrame:
@@ -375,9 +442,9 @@ def _classes(sets: DataFrame) -> DataFrame:
     return stored(whole, "jaccard-classes")
 
 
-def _found(sets: DataFrame, classes: DataFrame, percent: int, all_pairs: bool) -> DataFrame | None:
-    whole = sets.join(classes.select("row"), "row", "left_semi").select("row", "n", "tokens")
-    return _links(_ordered(_linkable(whole, percent), percent), percent, all_pairs)
+def _found(docs: DataFrame, sets: DataFrame, classes: DataFrame, words: int, percent: int, all_pairs: bool) -> DataFrame | None:
+    rows = stored(_linkable(sets, classes, percent), "jaccard-linkable")
+    return _links(_ordered(_whole(docs, sets, rows, classes, words), percent), percent, all_pairs)
 
 
 def similar_sets(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -389,7 +456,7 @@ def similar_sets(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[Da
     """
     sets = shingle_sets(docs, words)
     classes = _classes(sets)
-    pairs = _found(sets, classes, percent, True)
+    pairs = _found(docs, sets, classes, words, percent, True)
     if pairs is None:
         pairs = sets.sparkSession.createDataFrame([], "u bigint, v bigint, common bigint")
     members = sets.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", F.col("row").alias("class")), ["h1", "h2"], "left")
@@ -409,7 +476,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     sets = shingle_sets(docs, words)
     classes = _classes(sets)
-    links = _found(sets, classes, percent, False)
+    links = _found(docs, sets, classes, words, percent, False)
     if links is not None:
         roots = components(links.select("u", "v")).withColumnRenamed("node", "row")
         named = classes.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))

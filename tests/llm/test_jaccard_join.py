@@ -63,16 +63,22 @@ def by_key(rows):
     return sorted((tuple(r) for r in rows), key=str)
 
 
-def test_slices_give_the_same_shingles(monkeypatch):
-    known = jj._Words()
-    for text in (LONG, "a b c", "x" * 5000, " a  b\tc\nd e f "):
-        whole = jj.shingles(text.encode(), 5, known)
-        assert len(whole) == len(brute_sets(text))
-        monkeypatch.setattr(jj, "_SLICE", 7)
-        assert (jj.shingles(text.encode(), 5, known) == whole).all()
-        monkeypatch.undo()
-    monkeypatch.setattr(jj, "_CACHE", 3)
-    assert (jj.shingles(LONG.encode(), 5, jj._Words()) == jj.shingles(LONG.encode(), 5, known)).all()
+def powers():
+    return jj._powers(jj._BASE), jj._powers(pow(jj._BASE, -1, 1 << 64))
+
+
+def test_blocks_give_the_same_shingles(monkeypatch):
+    texts = [LONG, "a b c", "x" * 5000, " a  b\tc\nd e f ", "", "Über über ÜBER a A", "no space at the end ", "q" * 64 + " " + "r" * 7]
+    whole = [jj.word_hashes(t.encode(), powers()) for t in texts]
+    for text, hashes in zip(texts, whole):
+        w = words(text)
+        assert len(hashes) == len(w) and len(set(hashes.tolist())) == len(set(w))
+        assert len(jj.shingles(text.encode(), 5, powers())) == len(brute_sets(text))
+    of = dict(zip([x for t in texts for x in words(t)], np.concatenate(whole).tolist()))
+    assert [of[x] for t in texts for x in words(t)] == np.concatenate(whole).tolist()
+    for block in (1, 7, 64):
+        monkeypatch.setattr(jj, "_BLOCK", block)
+        assert all((jj.word_hashes(t.encode(), powers()) == h).all() for t, h in zip(texts[1:], whole[1:]))
 
 
 @pytest.mark.parametrize("percent", [50, 80, 95])
@@ -121,9 +127,11 @@ def test_whole_table(spark):
     assert by_key(jj.near_duplicates(docs(spark, rows)).collect()) == by_key(brute(rows)[0])
 
 
-@pytest.mark.parametrize("tree", [1 << 20, 300])
-def test_groups_larger_than_a_tree(spark, monkeypatch, tree):
+@pytest.mark.parametrize("tree, few", [(1 << 20, 1 << 20), (300, 0)])
+def test_groups_larger_than_a_tree(spark, monkeypatch, tree, few):
     monkeypatch.setattr(jj, "TREE", tree)
+    monkeypatch.setattr(jj, "FEW", few)
+    monkeypatch.setattr(jj, "_SEEN", few)
     monkeypatch.setattr(jj, "PIVOT", 2)
     rows = edited_texts()
     want, links = brute(rows)
