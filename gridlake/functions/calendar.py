@@ -240,17 +240,25 @@ def month_of(time: str, unit: TimeUnit) -> Column:
     return F.expr(month_sql(f"DOUBLE({quoted(time)})", unit))
 
 
+def year_bounds(unit: TimeUnit, first: int, last: int) -> tuple[float, float]:
+    """A half-open range of the coordinate with all moments from year ``first`` to year ``last``.
+
+    It is wider than that by a millisecond at each end.
+    """
+    slack = 1.0 / unit.unit_ms
+    low, high = ((unit.offset_ms(year) - 0.5) / unit.unit_ms for year in (first, last + 1))
+    return low - slack, high + slack
+
+
 def year_between(time: str, unit: TimeUnit, first: int, last: int) -> Column:
     """True from the start of year ``first`` to the end of year ``last``.
 
     This is a range on the coordinate itself, which Spark pushes into the Parquet scan and
     uses to skip row groups. A coordinate is in the range exactly if its millisecond is.
     """
-    low = (unit.offset_ms(first) - 0.5) / unit.unit_ms
-    high = (unit.offset_ms(last + 1) - 0.5) / unit.unit_ms
+    low, high = year_bounds(unit, first, last)
     column = F.col(quoted(time))
-    slack = 1.0 / unit.unit_ms
-    near = (column >= low - slack) & (column < high + slack)
+    near = (column >= low) & (column < high)
     return near & year_of(time, unit).between(first, last)
 
 

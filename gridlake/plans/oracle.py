@@ -207,8 +207,10 @@ SELECT {INT_BLOCK}, CAST(nr AS INTEGER) AS nr, CAST(nc AS INTEGER) AS nc,
 FROM placed GROUP BY bi, bj, nr, nc""",
     "to_blocks_to_cells": f"""WITH {SALES}, {SIZE}, {PLACE}, {tiled('sales')}
 SELECT i, j, v FROM sales_full""",
-    "to_cells_dense": f"""WITH {FLAG_A}, {SIZE}, {PLACE}
-SELECT i, j, COALESCE(v, 0) AS v FROM place LEFT JOIN a USING (i, j)""",
+    "to_cells_dense": f"""WITH {SALES}, {SIZE},
+moved AS (SELECT i + i // {R} * {R} AS i, j, v FROM sales),
+{place("(SELECT MAX(i) + 1 FROM moved)", "(SELECT n FROM size)")}
+SELECT i, j, COALESCE(v, 0) AS v FROM place LEFT JOIN moved USING (i, j)""",
     "map_blocks": f"""WITH {SALES}, {SIZE}, {PLACE}, {tiled('sales')}
 SELECT i, j, v * 10 + i - j AS v FROM sales_full""",
     "transpose_blocks": f"""WITH {SALES}, {SIZE}, {PLACE}, {tiled('sales')}
@@ -292,5 +294,46 @@ WITH flags AS (SELECT l_returnflag, COUNT(*) AS items FROM lineitem GROUP BY 1)
 SELECT l_returnflag AS variable, 'calendar' AS attribute, 'noleap' AS value FROM flags
 UNION ALL SELECT l_returnflag, 'items', CAST(items AS VARCHAR) FROM flags""",
 }
-ORACLE["multiply_blocks"] = ORACLE["multiply_cells"]
-ORACLE["multiply_blocks_transposed"] = ORACLE["multiply_transposed"]
+
+
+def product(right: str, rows: int, inner: int, cols: int) -> str:
+    """Every cell of the tiles that a product of sales makes, tiles being ``rows x inner`` and ``inner x cols``."""
+    return f"""WITH {SALES}, {PARTS}, {SIZE}, other AS ({right}),
+made AS (
+  SELECT DISTINCT bi, bj FROM (SELECT DISTINCT i // {rows} AS bi, j // {inner} AS k FROM sales)
+  JOIN (SELECT DISTINCT i // {inner} AS k, j // {cols} AS bj FROM other) USING (k)),
+sums AS (SELECT s.i, p.j, SUM(s.v * p.v) AS v FROM sales s JOIN other p ON s.j = p.i GROUP BY 1, 2),
+{place("(SELECT m FROM size)", "(SELECT MAX(j) + 1 FROM other)")}
+SELECT i, j, COALESCE(v, 0) AS v FROM place JOIN made ON bi = i // {rows} AND bj = j // {cols}
+LEFT JOIN sums USING (i, j)"""
+
+
+ORACLE["multiply_blocks"] = product("SELECT i, j, v FROM parts", 64, 256, 8)
+ORACLE["multiply_blocks_transposed"] = product("SELECT j AS i, i AS j, v FROM sales", 64, 256, 64)
+ORACLE["add_stored_cells"] = ORACLE["add_cells"]
+ORACLE["add_stored_blocks"] = ORACLE["add_blocks"]
+ORACLE["stencil_blocks"] = ORACLE["stencil_square_sum"]
+
+
+def windows(cells: str, cte: str, rows: int, cols: int, combine: str) -> str:
+    """``combine`` over windows that begin at each position: along one axis, and then along the other."""
+    down = f"OVER (PARTITION BY j ORDER BY i ROWS BETWEEN CURRENT ROW AND {rows - 1} FOLLOWING)"
+    along = f"OVER (PARTITION BY i ORDER BY j ROWS BETWEEN CURRENT ROW AND {cols - 1} FOLLOWING)"
+    return f"""WITH {cte},
+full_grid AS (SELECT i, j, COALESCE(v, 0) AS v FROM place LEFT JOIN {cells} USING (i, j)),
+down AS (SELECT i, j, {combine}(v) {down} AS v, COUNT(*) {down} AS n FROM full_grid),
+both_ways AS (SELECT i, j, {combine}(v) {along} AS v, SUM(n) {along} AS n FROM down)
+SELECT i, j"""
+
+
+LINE_PLACE = place("(SELECT MAX(i) + 1 FROM parts)", "(SELECT MAX(j) + 1 FROM parts)")
+ORACLE["stencil_blocks_sparse"] = windows("sales", f"{SALES}, {SIZE}, {PLACE}", 2, 2, "MAX") + ", v FROM both_ways"
+ORACLE["window_mean"] = windows("parts", f"{PARTS}, {LINE_PLACE}", 40, 3, "SUM") + ", v / n AS v FROM both_ways"
+ORACLE["window_max"] = windows("parts", f"{PARTS}, {LINE_PLACE}", 25, 2, "MAX") + ", v FROM both_ways"
+ORACLE["window_sum_blocks"] = windows("sales", f"{SALES}, {SIZE}, {PLACE}", 9, 33, "SUM") + ", v FROM both_ways"
+TURNED = "turned AS (SELECT j AS i, i AS j, v FROM parts)"
+ORACLE["window_max_blocks"] = (
+    windows("turned", f"{PARTS}, {TURNED}, {place('(SELECT MAX(i) + 1 FROM turned)', '(SELECT MAX(j) + 1 FROM turned)')}", 3, 40, "MAX")
+    + ", v FROM both_ways"
+)
+ORACLE["netcdf_year_zones"] = f"SELECT * FROM ({ORACLE['netcdf_period_stats']}) WHERE year BETWEEN 1996 AND 1997"

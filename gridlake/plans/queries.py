@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,11 @@ from gridlake.functions.calendar import (
     register_calendar_functions,
     resolve_calendar,
     year_between,
+    year_bounds,
     year_of,
 )
 from gridlake.functions.layout import grid_partition_id, partition_grid, partition_layout
-from gridlake.grid import BlockGrid, num_blocks
+from gridlake.grid import BlockGrid, Grid, int_div, num_blocks
 from gridlake.operators.blocks import densify, to_blocks, to_cells
 from gridlake.operators.combine import add, combine, diff, subtract
 from gridlake.operators.elementwise import map_cells, map_values, scalar_add, scalar_multiply, transpose
@@ -38,6 +40,7 @@ from gridlake.operators.stencil import (
     identity_mapper,
     map_stencil,
 )
+from gridlake.operators.windows import Box, window
 from gridlake.plans.inputs import (
     part_lines,
     quantities,
@@ -49,6 +52,7 @@ from gridlake.plans.inputs import (
     vectors,
 )
 from gridlake.sources.dataset import load_dataset, save_dataset
+from gridlake.sources.layout import save_grid
 from gridlake.sources.metadata import (
     Metadata,
     Variable,
@@ -57,6 +61,7 @@ from gridlake.sources.metadata import (
     variable_info,
 )
 from gridlake.sources.netcdf import netcdf_metadata, read_netcdf, select_variable, write_netcdf
+from gridlake.sources.zones import read_netcdf_between, zone_map
 
 Query = Callable[[SparkSession, str], DataFrame]
 TILE = (16, 64)  # rows and columns of a tile in these queries
@@ -216,6 +221,24 @@ def multiply_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiply(grid, transpose(grid)).df
 
 
+def _stored(spark: SparkSession, grid: Grid) -> Grid:
+    """The grid from a table that is bucketed by position, in the shared folder."""
+    name = f"grid_{uuid4().hex}"
+    return save_grid(grid, name, spark.sparkContext.defaultParallelism, scratch_path(spark, name))
+
+
+@query
+def add_stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``add_cells``, of stored grids: their rows are not shuffled again."""
+    return add(_stored(spark, sales(spark, sf_dir, "A")), _stored(spark, sales(spark, sf_dir, "rest"))).df
+
+
+@query
+def add_stored_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (_stored(spark, _tiles(spark, sf_dir, flag)) for flag in ("A", "rest"))
+    return to_cells(add(a, b)).df
+
+
 # --- blocks ----------------------------------------------------------------------------------
 
 
@@ -242,7 +265,11 @@ def to_blocks_to_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def to_cells_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_cells(_tiles(spark, sf_dir, "A"), dense=True).df
+    """All sales, with every second row of tiles left empty between them."""
+    grid = sales(spark, sf_dir)
+    apart = F.col("i") + int_div(F.col("i"), TILE[0]) * TILE[0]
+    moved = grid.with_df(grid.df.withColumn("i", apart), nrows=None)
+    return to_cells(to_blocks(moved, *TILE), dense=True).df
 
 
 @query
@@ -275,13 +302,13 @@ def combine_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multiply_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = to_blocks(sales(spark, sf_dir), 64, 256)
     right = to_blocks(part_lines(spark, sf_dir), 256, 8)
-    return to_cells(multiply(left, right)).df.where("v != 0")
+    return to_cells(multiply(left, right)).df
 
 
 @query
 def multiply_blocks_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = to_blocks(sales(spark, sf_dir), 64, 256)
-    return to_cells(multiply(blocks, transpose(blocks))).df.where("v != 0")
+    return to_cells(multiply(blocks, transpose(blocks))).df
 
 
 def _two_flags(spark: SparkSession, sf_dir: str) -> BlockGrid:
@@ -370,6 +397,51 @@ def stencil_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).df
 
 
+@query
+def stencil_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``stencil_square_sum``, of tiles that exchange their edges."""
+    grid = to_blocks(vectors(spark, sf_dir), 48, 24)
+    return to_cells(
+        map_stencil(
+            grid,
+            Square(lambda here: -here),
+            (grid.nrows, grid.ncols),
+            identity_aligner,
+            lambda w: w.here + w.next_row * 2 + w.next_col * 4 + w.diag * 8,
+        )
+    ).df
+
+
+@query
+def stencil_blocks_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest of each 2 x 2 window of tiles of sales; absent cells count as zeros."""
+    grid = _tiles(spark, sf_dir)
+    largest = lambda w: F.greatest(w.here, w.next_row, w.next_col, w.diag)
+    return to_cells(map_stencil(grid, Square(), (grid.nrows, grid.ncols), identity_aligner, largest)).df
+
+
+@query
+def window_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window(part_lines(spark, sf_dir), Box(40, 3), "mean").df
+
+
+@query
+def window_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window(part_lines(spark, sf_dir), Box(25, 2), "max").df
+
+
+@query
+def window_sum_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_cells(window(_tiles(spark, sf_dir), Box(9, 33), "sum")).df
+
+
+@query
+def window_max_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows larger than the tiles, of one row of tiles for each line number."""
+    grid = to_blocks(transpose(part_lines(spark, sf_dir)), 2, 16)
+    return to_cells(window(grid, Box(3, 40), "max")).df
+
+
 @query
 def regrid_finer(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = vectors(spark, sf_dir)
@@ -466,6 +538,20 @@ def netcdf_period_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_stats(cells, resolve_calendar(netcdf_metadata(spark, path), "time"), "time", "l_quantity")
 
 
+@query
+def netcdf_year_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly statistics of two years of array files, of which a zone map says which ranges to read."""
+    path = scratch_path(spark, "axis")
+    times = shipping_times(spark, sf_dir).select(F.col("t").alias("time"), "l_quantity")
+    write_netcdf(times.repartitionByRange(8, "time").sortWithinPartitions("time"), path, dim="time", attributes={"time": {"units": EPOCH, "calendar": "noleap"}})
+    zones = zone_map(spark, path, "time", step=4096)
+    stored = scratch_path(spark, "zones")
+    zones.write.parquet(stored)
+    unit = resolve_calendar(netcdf_metadata(spark, path), "time")
+    cells = read_netcdf_between(spark, path, spark.read.parquet(stored), "time", *year_bounds(unit, 1996, 1997), ["l_quantity"])
+    return period_stats(cells.where(year_between("time", unit, 1996, 1997)), unit, "time", "l_quantity")
+
+
 @query
 def dataset_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily totals saved with their calendar, loaded again and summed by month."""

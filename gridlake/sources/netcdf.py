@@ -9,6 +9,7 @@ the time coordinates of the others, which are converted to them.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Iterator, Mapping, Sequence
@@ -337,6 +338,7 @@ class NetcdfSource(DataSource):
             self._is("decode"),
             self._is("coordinates"),
             {v.name: _axis(header, v) for v in header.variables.values()},
+            json.loads(self.options["ranges"]) if "ranges" in self.options else None,
         )
 
 
@@ -351,20 +353,27 @@ class NetcdfReader(DataSourceReader):
         decode: bool,
         coordinates: bool,
         axes: dict[str, Axis | None],
+        ranges: list[tuple[str, int, int, int, int]] | None = None,
     ) -> None:
         self.path, self.variables, self.split_bytes = path, variables, split_bytes
         self.leading, self.schema = leading, schema
         self.decode, self.coordinates, self.axes = decode, coordinates, axes
+        self.ranges = ranges
 
     def partitions(self) -> list[InputPartition]:
         splits = []
+        if self.ranges is not None:
+            for path, size, records, first, end in self.ranges:
+                parts = max(1, ceil(size * (end - first) / max(records, 1) / self.split_bytes))
+                splits += [InputPartition((path, size, part, parts, (first, end))) for part in range(parts)]
+            return splits or [InputPartition((*list_files(self.path)[0], 0, 1, (0, 0)))]
         for path, size in list_files(self.path):
             parts = max(1, ceil(size / self.split_bytes))
             splits += [InputPartition((path, size, part, parts)) for part in range(parts)]
         return splits
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        path, size, part, parts = partition.value
+        path, size, part, parts, *own = partition.value
         with _open(path) as file:
             header = read_header(file, size)
             chosen = _choose(header, self.variables)
@@ -381,7 +390,10 @@ class NetcdfReader(DataSourceReader):
 
             first, end = self.leading or (0, shape[0])
             below = prod(shape[1:])
-            first, end = max(first, 0) * below, min(end, shape[0]) * below
+            first, end = max(first, 0), min(end, shape[0])
+            for low, high in own:
+                first, end = max(first, low), min(end, high)
+            first, end = first * below, end * below
             wanted = max(end - first, 0)
             lo, hi = (first + wanted * n // parts for n in (part, part + 1))
             for start, stop in batches(header, chosen, lo, hi):
@@ -464,6 +476,7 @@ def read_netcdf(
     split_bytes: int = SPLIT_BYTES,
     decode: bool = False,
     coordinates: bool = False,
+    ranges: Sequence[tuple[str, int, int, int, int]] | None = None,
 ) -> DataFrame:
     """Rows ``file``, one index per dimension, one column per variable.
 
@@ -482,7 +495,8 @@ def read_netcdf(
     Spark's default filesystem. Variables left out are not read, but for short gaps between records. ``leading`` limits the reading to a half-open range of the first
     dimension, such as some time steps. It is an argument, not a pushed filter, because Spark
     4.1 keeps filters that were pushed into a Python source for later queries on the same
-    DataFrame.
+    DataFrame. ``ranges``, such as a zone map gives, limits it to some files and to half-open ranges in
+    them: ``(file, size, records of the file, first, end)``.
     """
     spark.dataSource.register(NetcdfSource)
     reader = (
@@ -494,6 +508,8 @@ def read_netcdf(
     )
     if leading is not None:
         reader = reader.option("leading", "{}:{}".format(*leading))
+    if ranges is not None:
+        reader = reader.option("ranges", json.dumps([list(r) for r in ranges]))
     return reader.load(qualified(spark, path))
 
 
