@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,35 @@ _TYPES = {
 }
 
 
+# The keywords of a schema that are understood, and those that say nothing of a value.
+KEYWORDS = frozenset(
+    "type enum required properties additionalProperties items minimum maximum minLength maxLength pattern".split()
+)
+NOTES = frozenset("title description default examples $schema $id $comment".split())
+
+
+def check_schema(schema: dict, at: str = "$") -> None:
+    """Raise if a schema has a keyword or a type that is not understood."""
+    for keyword in sorted(schema.keys() - KEYWORDS - NOTES):
+        raise ValueError(f"{at}: the keyword {keyword} is not understood")
+    kinds = schema.get("type", [])
+    for kind in [kinds] if isinstance(kinds, str) else kinds:
+        if kind not in _TYPES:
+            raise ValueError(f"{at}: the type {kind} is not understood")
+    if not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError(f"{at}: additionalProperties must be true or false")
+    if not isinstance(schema.get("items", {}), dict):
+        raise ValueError(f"{at}: items must be one schema")
+    for name, inner in schema.get("properties", {}).items():
+        check_schema(inner, f"{at}.{name}")
+    if "items" in schema:
+        check_schema(schema["items"], f"{at}[]")
+
+
+def _same(a: object, b: object) -> bool:
+    return isinstance(a, bool) == isinstance(b, bool) and a == b
+
+
 def canonical(value: object) -> str:
     """JSON with sorted keys, without spaces, and with every character as itself."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
@@ -40,7 +70,7 @@ def problems(value: object, schema: dict, at: str = "$") -> list[str]:
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(_TYPES[k](value) for k in kinds):
         return [f"{at}: not {' or '.join(kinds)}"]
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, one) for one in schema["enum"]):
         out.append(f"{at}: not one of the allowed values")
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -68,15 +98,24 @@ def problems(value: object, schema: dict, at: str = "$") -> list[str]:
 
 
 def check_call(arguments: str | None, schema: dict | None) -> tuple[str | None, list[str]]:
-    """Canonical JSON of the arguments, or ``None`` if they are not JSON, and what is wrong with them."""
+    """Canonical JSON of the arguments, or ``None`` if they are not JSON, and what is wrong with them.
+
+    JSON that Unicode cannot hold, for half of a surrogate pair, or that is nested too deeply, has no
+    canonical form either. A number of more than 4,300 digits is not JSON here.
+    """
     try:
         value = json.loads(arguments or "")
         text = canonical(value)
+        text.encode()
+        if schema is None:
+            return text, ["$: unknown tool"]
+        return text, problems(value, schema)
+    except UnicodeEncodeError:
+        return None, ["$: not Unicode"]
     except ValueError:
         return None, ["$: not JSON"]
-    if schema is None:
-        return text, ["$: unknown tool"]
-    return text, problems(value, schema)
+    except RecursionError:
+        return None, ["$: nested too deeply"]
 
 
 def _check(batches: Iterable[pa.RecordBatch], schemas: dict[str, dict]) -> Iterator[pa.RecordBatch]:
@@ -93,32 +132,72 @@ def _check(batches: Iterable[pa.RecordBatch], schemas: dict[str, dict]) -> Itera
         )
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _chains(start: DataFrame) -> DataFrame:
+    """``conv_id, call_id, anchor, steps``: the end of the chain before each call, and how far it is.
+
+    ``start`` has ``conv_id, call_id, n, on``: the number of predecessors, and one of them. A chain leads
+    from a call with one predecessor to that, and ends at a call with none or several. In each round every
+    call that is not there yet jumps as far again as it has come, so a chain takes rounds by the logarithm
+    of its length. Calls whose chain is a cycle, or comes from one, are left out.
+    """
+    key = ["conv_id", "call_id"]
+    ends = start.where("n <> 1").select(*key, F.col("call_id").alias("anchor"), F.lit(0).alias("steps"))
+    done = [ends]
+    waiting = start.where("n = 1").select(*key, "on", F.lit(1).alias("steps"))
+    count = waiting.count()
+    while count:
+        known = _union(done).select("conv_id", F.col("call_id").alias("on"), "anchor", F.col("steps").alias("rest"))
+        further = waiting.select("conv_id", F.col("call_id").alias("on"), F.col("on").alias("to"), F.col("steps").alias("more"))
+        moved = waiting.join(known, ["conv_id", "on"], "left").join(further, ["conv_id", "on"], "left")
+        steps = F.col("steps") + F.coalesce("rest", "more")
+        moved = stored(moved.select(*key, "anchor", "to", steps.cast("int").alias("steps")), "call-chains")
+        done.append(moved.where("anchor IS NOT NULL").select(*key, "anchor", "steps"))
+        waiting = moved.where("anchor IS NULL").select(*key, F.col("to").alias("on"), "steps")
+        left = waiting.count()
+        if left == count:
+            break
+        count = left
+    return stored(_union(done), "call-anchors")
+
+
 def depths(calls: DataFrame) -> DataFrame:
     """``conv_id, call_id, depth``: the number of calls in the longest chain of ``after`` before a call.
 
-    Calls that wait for a call that isn't there don't wait. Each round settles the calls whose
-    predecessors are all settled; calls in a cycle, and those behind one, never are, and get a null depth.
+    Calls that wait for a call that isn't there don't wait. Calls in a cycle, and those behind one, get a
+    null depth. Chains are contracted first; what remains are the calls with several predecessors. Each
+    further round settles those of them whose predecessors are all settled, and carries on the others.
     """
-    known = calls.select("conv_id", "call_id").distinct()
-    edges = calls.select("conv_id", "call_id", F.explode("after").alias("on")).distinct()
-    edges = edges.join(known.withColumnRenamed("call_id", "on"), ["conv_id", "on"])
-    edges = stored(edges, "call-edges")
-    settled = known.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-    settled = stored(settled.withColumn("depth", F.lit(0)), "call-depths")
-    count = settled.count()
-    while True:
-        on = settled.select("conv_id", F.col("call_id").alias("on"), F.col("depth").alias("d"))
-        ready = edges.join(on, ["conv_id", "on"], "left").groupBy("conv_id", "call_id").agg(
-            F.max("d").alias("d"), F.count_if(F.col("d").isNull()).alias("open")
-        )
-        first = known.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-        ready = ready.where("open = 0").select("conv_id", "call_id", (F.col("d") + 1).cast("int").alias("depth"))
-        settled = stored(first.withColumn("depth", F.lit(0)).union(ready), "call-depths")
-        more = settled.count()
-        if more == count:
+    key = ["conv_id", "call_id"]
+    known = calls.select(*key).distinct()
+    edges = calls.select(*key, F.explode("after").alias("on")).distinct()
+    edges = stored(edges.join(known.withColumnRenamed("call_id", "on"), ["conv_id", "on"]), "call-edges")
+    before = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("on").alias("on"))
+    start = stored(known.join(before, key, "left").withColumn("n", F.coalesce("n", F.lit(0))), "call-starts")
+    chains = _chains(start)
+    settled = [start.where("n = 0").select("conv_id", F.col("call_id").alias("anchor"), F.lit(0).alias("base"))]
+    # Edges of calls with several predecessors, to the ends of the chains of these.
+    several = start.where("n > 1").select(*key)
+    by_anchor = edges.join(several, key, "left_semi").join(
+        chains.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left"
+    )
+    waiting = stored(by_anchor.select(*key, "anchor", "steps"), "call-waiting")
+    count = waiting.count()
+    while count:
+        got = waiting.join(_union(settled), ["conv_id", "anchor"], "left")
+        ready = got.groupBy(*key).agg(F.max(F.col("base") + F.col("steps") + 1).alias("base"), F.count_if(F.col("base").isNull()).alias("open"))
+        ready = stored(ready.where("open = 0").select("conv_id", F.col("call_id").alias("anchor"), F.col("base").cast("int").alias("base")), "call-depths")
+        settled.append(ready)
+        waiting = stored(waiting.join(ready.select("conv_id", F.col("anchor").alias("call_id")), key, "left_anti"), "call-waiting")
+        left = waiting.count()
+        if left == count:
             break
-        count = more
-    return known.join(settled, ["conv_id", "call_id"], "left")
+        count = left
+    found = chains.join(_union(settled), ["conv_id", "anchor"]).select(*key, (F.col("base") + F.col("steps")).cast("int").alias("depth"))
+    return stored(known.join(found, key, "left"), "call-depths")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -134,8 +213,11 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
 
     Calls without both ids are dropped, and of repeated ids the call of the earliest turn, and then of the smallest
     tool and arguments, stays. Null arguments are not JSON; a null list has no members; results without a call
-    are ignored. A conversation with very many calls is sorted by one task, on ids and turns only.
+    are ignored. A conversation with very many calls is sorted by one task, on ids and turns only. A schema
+    with a keyword or a type that is not understood raises.
     """
+    for schema in schemas.values():
+        check_schema(schema)
     order = F.struct(F.col("turn").isNull(), "turn", "tool", "arguments", "after")
     named = calls.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
     named = named.groupBy("conv_id", "call_id").agg(F.min(order).alias("x"))

@@ -1,7 +1,12 @@
 import json
+import random
+
+import pytest
 
 from pyspark.sql import functions as F
 
+from gridlake.llm import tool_calls
+from gridlake.llm.common import stored
 from gridlake.llm.tool_calls import canonical, check_call, depths, link_calls
 
 SCHEMAS = {
@@ -66,6 +71,54 @@ def test_links(spark):
         assert r["call_json"] == canonical(value)
 
 
+def brute_depths(calls):
+    after = {c: [x for x in on if x in {k for k, _ in calls}] for c, on in calls}
+    depth = {}
+    while True:
+        ready = {c: max([depth[x] + 1 for x in on], default=0) for c, on in after.items() if c not in depth and all(x in depth for x in on)}
+        if not ready:
+            return {c: depth.get(c) for c in after}
+        depth |= ready
+
+
+def test_depths_of_graphs(spark):
+    rng = random.Random(7)
+    graphs = {}
+    for conv in range(12):
+        n = rng.randint(1, 40)
+        calls = [(f"c{k}", [f"c{rng.randrange(k)}" for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))] if k else []) for k in range(n)]
+        if conv % 3 == 0:  # cycles, and calls behind them
+            calls += [("x", ["y"]), ("y", ["x"]), ("z", ["y", "c0"]), ("s", ["s"]), ("t", ["z"])]
+        graphs[conv] = calls
+    graphs[99] = [(f"c{k}", [f"c{k - 1}"]) for k in range(400)]
+    rows = [(conv, c, k, "sum", "{}", on) for conv, calls in graphs.items() for k, (c, on) in enumerate(calls)]
+    got = {(r["conv_id"], r["call_id"]): r["depth"] for r in depths(spark.createDataFrame(rows, CALLS)).collect()}
+    assert got == {(conv, c): d for conv, calls in graphs.items() for c, d in brute_depths(calls).items()}
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(tool_calls, "stored", lambda df, name: rounds.append(name) or stored(df, name))
+    calls = [(1, f"c{k}", k, "sum", "{}", [f"c{k - 1}"]) for k in range(400)]
+    got = depths(spark.createDataFrame(calls, CALLS)).collect()
+    assert {r["call_id"]: r["depth"] for r in got} == {f"c{k}": k for k in range(400)}
+    assert rounds.count("call-chains") <= 10 and rounds.count("call-depths") == 1
+
+
+def test_odd_json():
+    assert check_call('"\\ud800"', {}) == (None, ["$: not Unicode"])
+    assert check_call("[" * 100_000 + "]" * 100_000, {})[0] is None
+    assert check_call("true", {"enum": [1]})[1] == ["$: not one of the allowed values"]
+    assert check_call("1.0", {"enum": [1]})[1] == []
+    assert len(check_call(json.dumps("x" * 2_000_000), {"type": "string"})[0]) == 2_000_002
+
+
+@pytest.mark.parametrize("schema", [{"anyOf": []}, {"type": "text"}, {"properties": {"a": {"const": 1}}}, {"items": {"minItems": 2}}, {"additionalProperties": {}}])
+def test_schemas_that_are_not_understood_raise(spark, schema):
+    with pytest.raises(ValueError, match="understood|must be"):
+        link_calls(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), {"sum": schema})
+
+
 def test_long_chain_and_nothing(spark):
     calls = [(1, f"c{k}", k, "sum", "{}", [f"c{k - 1}"]) for k in range(12)]
     got = depths(spark.createDataFrame(calls, CALLS)).collect()
