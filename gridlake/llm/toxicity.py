@@ -84,7 +84,7 @@ class Model:
 
     def score(self, numbers: list[int]) -> float:
         z = self.bias + float(self.weights[numbers].sum())
-        return float(1.0 / (1.0 + np.exp(-z)))
+        return 0.0 if z == -np.inf else float(1.0 / (1.0 + np.exp(-z)))
 
 
 def _loss(z: np.ndarray) -> float:
@@ -185,14 +185,15 @@ def train(
     labels. Features are the words and beginnings of words, ``max_features`` at most, that tell confirmed
     and other documents apart.
 
-    Null labels and ids are left out; an id with several labels is positive if one of them is. Without
+    Null labels and ids are left out; an id with several labels is positive if one of them is. Of rows of
+    equal ids the text of the least hash is used. Without
     a confirmed or without an unlabelled example the model knows only the prior (0 without labels).
     """
     labelled = labels.where(may_learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     labelled = labelled.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, ones = labelled.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("int"))).first()
     if not ones:
-        return Model(-700.0, [], np.zeros(0))
+        return Model(-np.inf, [], np.zeros(0))
     prior = min(max(ones / n, 1e-4), 1 - 1e-4)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = labelled.where("toxic = 1").select("doc_id").orderBy(*order).limit(max_positive)
@@ -203,7 +204,8 @@ def train(
     )
     kinds = sample.groupBy("doc_id").agg(F.max("positive").alias("positive"), (~F.min("positive")).alias("unlabelled"))
     # At most max_positive + max_unlabelled ids.
-    texts = docs.select("doc_id", "text").join(F.broadcast(kinds), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(kinds), "doc_id").groupBy("doc_id", "positive", "unlabelled")
+    texts = texts.agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
     texts = stored(texts.select("text", "positive", "unlabelled"), "toxicity-sample")
     n_p, n_u = texts.agg(F.count_if("positive"), F.count_if("unlabelled")).first()
     if not n_p or not n_u:
