@@ -24,9 +24,10 @@ MAX_BROADCAST_PARTS = 100_000
 # Letters that every version of Unicode knows as lower-case letters without a composition: a-z, and
 # those of Latin-1.
 LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
-# The same, and ASCII signs other than letters, digits, white space and the apostrophe.
-TAILED = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]+)")
 NOTHING = re.compile("(?!)")
+# ASCII signs other than letters, digits, white space, control characters and the apostrophe.
+SIGNS = np.zeros(256, bool)
+SIGNS[[k for k in range(33, 127) if not chr(k).isalnum() and k != ord("'")]] = True
 
 # The layout: integers are run-length encoded by the format; each stripe has an index of rows and
 # Bloom filters on the ids of documents.
@@ -40,12 +41,19 @@ LAYOUT = {
 }
 
 
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of bytes that end with white space begin and end."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    edges = np.flatnonzero(np.diff(np.concatenate(([1], space.view(np.int8)))))
+    return edges[::2], edges[1::2]
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space.
 
     For such a tokenizer the ids of a text are those of its words, in order, so each word is encoded
-    once and looked up afterwards. Where it also lower-cases, and ends a token between a letter and a
-    full stop or comma, "Word," is looked up as "word" and ",".
+    once and looked up afterwards. Where it also lower-cases, and ends a token between a letter and
+    signs after it, "Word," is looked up as "word" and ",", and "word!?" as "word" and "!?".
     """
 
     def __init__(self, path: str, end_id: int):
@@ -70,14 +78,15 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         probe = ["a", "über", "s", "strasse", "élèves", "nn"]
-        alike = all(self._ids(w) == self._plain_ids([w]).tolist() for w in probe)
+        alike = all(self._ids(w) == self._plain_ids([w.encode()]).tolist() for w in probe)
         usable = suffix and self.folds and alike
         usable = usable and self._ids("ab$$.") == self._ids("ab") + self._ids("$$.")
-        self.letters, self.tailed = (LETTERS, TAILED) if usable else (NOTHING, NOTHING)
+        self.letters = LETTERS if usable else NOTHING
         self._forget()
 
-    def _plain_ids(self, words: list[str]) -> np.ndarray:
-        return np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+    def _plain_ids(self, words: list[bytes]) -> np.ndarray:
+        text = b" ".join(words).decode()
+        return np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -86,18 +95,18 @@ class WordEncoder:
         # The first three entries are what may follow a word: nothing, a comma, a full stop.
         tails = [[], self._ids(","), self._ids(".")]
         self.index: dict[bytes, int] = {}
-        self.signs: dict[str, None] = {}
         self.lengths = np.array([len(t) for t in tails], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.ids = np.array([i for t in tails for i in t], np.int32)
 
-    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of lower-case letters, and how many each has."""
         ids = self._plain_ids(words)
         return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
 
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_words(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of any words, and how many each has. Special tokens keep words apart in one call."""
+        words = [w.decode() for w in raw]
         if not self.special or any(s in w for w in words for s in self.special):
             ids = [self._ids(w) for w in words]
             return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
@@ -107,36 +116,21 @@ class WordEncoder:
         marks = np.flatnonzero(ids == number)
         return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Add words to the index. Letters with other signs after them are put together from both."""
-        plain, other, tailed = {}, [], []
+    def _learn(self, words: Iterable[bytes]) -> None:
+        """Add words to the index."""
+        usable = self.letters is LETTERS
+        plain, other = [], []
         for word in words:
-            text = word.decode()
-            if self.letters.fullmatch(text):
-                plain[text] = None
-            elif (found := self.tailed.fullmatch(text)) is not None:
-                tailed.append(found)
-                if found[1].encode() not in self.index:
-                    plain[found[1]] = None
-                if found[2] not in self.signs:
-                    self.signs[found[2]] = None
-                    other.append(found[2])
-            else:
-                other.append(text)
-        other = [*dict.fromkeys(other)]
-        new = []
-        for encode, some in ((self._encode_letters, [*plain]), (self._encode_words, other)):
-            new += [encode(some[k : k + 1000]) for k in range(0, len(some), 1000)]
-        if new:
-            self._add([*plain, *other], np.concatenate([x for x, _ in new]), np.concatenate([x for _, x in new]))
-        if tailed:
-            entries = np.array([[self.index[m[1].encode()], self.index[m[2].encode()]] for m in tailed]).ravel()
-            lengths = self.lengths[entries]
-            self._add([m[0] for m in tailed], self._gather(entries), lengths.reshape(-1, 2).sum(axis=1))
-
-    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+            simple = usable and ((word.isalpha() and word.islower()) or LETTERS.fullmatch(word.decode()))
+            (plain if simple else other).append(word)
+        for encode, some in ((self._encode_letters, plain), (self._encode_words, other)):
+            new = [encode(some[k : k + 1000]) for k in range(0, len(some), 1000)]
+            if new:
+                self._add(some, np.concatenate([x for x, _ in new]), np.concatenate([x for _, x in new]))
+
+    def _add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
         first = len(self.lengths)
-        self.index.update(zip((w.encode() for w in words), range(first, first + len(words))))
+        self.index.update(zip(words, range(first, first + len(words))))
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
         self.ids = np.concatenate((self.ids, ids))
@@ -154,12 +148,21 @@ class WordEncoder:
         # One more byte of white space after each text.
         data = np.insert(data, at[1:], 32)
         ends_of_texts = at[1:] + np.arange(1, len(at))
-        space = (data == 32) | ((data >= 9) & (data <= 13))
-        edges = np.flatnonzero(np.diff(np.concatenate(([1], space.view(np.int8)))))
-        starts, ends = edges[::2], edges[1::2]
-        tails = np.zeros(len(ends), np.int64)
         if fold:
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+        starts, ends = _words(data)
+        if fold and self.letters is LETTERS:
+            # And one between a letter and two or more signs that end a word.
+            signs = SIGNS[data]
+            double = ends[(ends - starts > 2) & signs[ends - 1] & signs[np.maximum(ends - 2, 0)]]
+            others = np.flatnonzero(~signs)
+            last = others[np.searchsorted(others, double) - 1]
+            cuts = last[(data[last] >= 97) & (data[last] <= 122)] + 1
+            data = np.insert(data, cuts, 32)
+            ends_of_texts = ends_of_texts + np.searchsorted(cuts, ends_of_texts)
+            starts, ends = _words(data)
+        tails = np.zeros(len(ends), np.int64)
+        if fold:
             last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
             core = (ends - starts > 1) & (before >= 97) & (before <= 122)
             tails = np.where(core & (last == ord(",")), 1, np.where(core & (last == ord(".")), 2, 0))
@@ -171,7 +174,7 @@ class WordEncoder:
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new = [words[k] for k in missing.tolist()]
-            self._learn(list(dict.fromkeys(new)))
+            self._learn(dict.fromkeys(new))
             found[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
         entries = np.stack((found, tails), axis=1).ravel()
         ids, upto = self._gather(entries), np.cumsum(self.lengths[entries])

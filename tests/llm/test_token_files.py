@@ -34,6 +34,16 @@ def test_encoder_is_the_tokenizer():
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [ids_of(t) for t in texts]
 
 
+def test_encoder_is_the_tokenizer_on_words_with_signs():
+    rng = np.random.default_rng(5)
+    letters = [*"abzABZ019'", "é", "ß", "İ", "\x00", "\x85", "中", *" \t\n  ", *".,.,!?$*&#<|>_-()\"", "!!", "..."]
+    encoder = WordEncoder(PATH, 2)
+    for _ in range(400):
+        texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(20)]
+        ids, counts = encoder.encode(*flat(pa.array(texts, pa.string())))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [ids_of(t) for t in texts]
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr("gridlake.llm.token_files.MAX_WORDS", 50)
     encoder = WordEncoder(PATH, 2)
