@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 RESERVED = frozenset(
     "i j v bi bj nr nc vals a b k x y at end segment cells copies block repeated part step here "
     "next_row next_col diag si sj oi oj rule detail found fits nr_min nr_max nc_min nc_max present salt side strip "
-    "south east corner sent out_nr out_nc begin rest to".split()
+    "south east corner sent out_nr out_nc begin rest to asked".split()
 )
 
 BLOCK_SCHEMA = "bi INT, bj INT, nr INT, nc INT, vals ARRAY<DOUBLE>"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import singledispatch
 from math import ceil
 
@@ -195,11 +196,16 @@ def _every_place(grid: Grid, count: int, name: str) -> DataFrame:
 
 @densify.register
 def _(grid: CellGrid) -> CellGrid:
-    """One shuffle of the cells present, never of the zeros.
+    return fill_absent(grid, lambda i, j: F.lit(0.0))
 
-    The grid, read in row-major order, is cut into segments of ``SEGMENT`` cells, and each
-    segment gets one marker row. After a shuffle on the segment, every row also emits the zeros
-    up to the next row of its segment, so a task works through bounded segments in order.
+
+def fill_absent(grid: CellGrid, fill: Callable[[Column, Column], Column]) -> CellGrid:
+    """Every cell of the claimed size, with ``fill(i, j)`` where none is present.
+
+    One shuffle of the cells present, never of those filled in. The grid, read in row-major order, is
+    cut into segments of ``SEGMENT`` cells, and each segment gets one marker row. After a shuffle on
+    the segment, every row also emits the cells up to the next row of its segment, so a task works
+    through bounded segments in order.
     """
     if grid.dense:
         return grid
@@ -246,9 +252,11 @@ def _(grid: CellGrid) -> CellGrid:
         *grid.keys,
         int_div(place, grid.ncols).alias("i"),
         F.pmod(place, F.lit(grid.ncols)).cast("bigint").alias("j"),
-        F.when(F.col("at") == F.col("k"), F.col("v")).otherwise(F.lit(0.0)).alias("v"),
+        (F.col("at") == F.col("k")).alias("present"),
+        "v",
     )
-    return grid.with_df(df, dense=True)
+    v = F.when(F.col("present"), F.col("v")).otherwise(fill(F.col("i"), F.col("j")))
+    return grid.with_df(df.select(*grid.position, v.alias("v")), dense=True)
 
 
 def block_counts(grid: BlockGrid) -> tuple[int, int]:

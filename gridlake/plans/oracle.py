@@ -337,3 +337,15 @@ ORACLE["window_max_blocks"] = (
     + ", v FROM both_ways"
 )
 ORACLE["netcdf_year_zones"] = f"SELECT * FROM ({ORACLE['netcdf_period_stats']}) WHERE year BETWEEN 1996 AND 1997"
+ORACLE["stencil_pooling_sparse"] = f"WITH {SALES} SELECT i // 2 AS i, j // 2 AS j, MAX(v) AS v FROM sales GROUP BY 1, 2"
+ORACLE["stencil_repeated_yearly"] = f"""WITH {YEARLY}, years AS (SELECT DISTINCT year FROM yearly),
+{place('(SELECT 3 * m FROM size)', '(SELECT 3 * n // 2 FROM size)')}
+SELECT years.year, p.i, p.j, 2 * COALESCE(y.v, 0) + p.i AS v
+FROM place p CROSS JOIN years LEFT JOIN yearly y ON y.year = years.year AND y.i = p.i // 3 AND y.j = 2 * p.j // 3"""
+ORACLE["stencil_mirrored"] = f"""WITH {PARTS}, {LINE_PLACE}, last AS (SELECT MAX(i) AS m FROM parts)
+SELECT p.i, p.j, COALESCE(a.v, 0) - COALESCE(b.v, 0) AS v FROM place p CROSS JOIN last
+LEFT JOIN parts a ON a.i = m - p.i AND a.j = p.j LEFT JOIN parts b ON b.i = m - p.i + 1 AND b.j = p.j"""
+ORACLE["lookup_cells"] = f"""WITH {SALES}, {SIZE}, asked AS (
+  SELECT l_orderkey, l_linenumber, l_suppkey AS i, (l_partkey + l_linenumber % 2) % n AS j FROM lineitem, size)
+SELECT l_orderkey, l_linenumber, i, j, COALESCE(v, 0) AS v FROM asked LEFT JOIN sales USING (i, j)"""
+ORACLE["lookup_blocks"] = ORACLE["lookup_cells"]

@@ -23,6 +23,7 @@ from gridlake.grid import BlockGrid, Grid, int_div, num_blocks
 from gridlake.operators.blocks import densify, to_blocks, to_cells
 from gridlake.operators.combine import add, combine, diff, subtract
 from gridlake.operators.elementwise import map_cells, map_values, scalar_add, scalar_multiply, transpose
+from gridlake.operators.lookup import lookup
 from gridlake.operators.product import multiply, sum_blocks
 from gridlake.operators.regrid import interpolate, regrid_bilinear
 from gridlake.operators.shape import (
@@ -34,6 +35,7 @@ from gridlake.operators.shape import (
 )
 from gridlake.operators.stats import checksum, count_zeros, period_stats, total_checksum
 from gridlake.operators.stencil import (
+    Affine,
     Scalar,
     Square,
     identity_aligner,
@@ -392,11 +394,67 @@ def stencil_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
         grid,
         Square(),
         (num_blocks(grid.nrows, 2), num_blocks(grid.ncols, 2)),
-        lambda i, j: (i * 2, j * 2),
+        Affine((2, 0, 1), (2, 0, 1)),
         lambda w: F.greatest(w.here, w.next_row, w.next_col, w.diag),
     ).df
 
 
+@query
+def stencil_pooling_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``stencil_pooling``, without the windows that have no sales."""
+    grid = sales(spark, sf_dir)
+    return map_stencil(
+        grid,
+        Square(),
+        (num_blocks(grid.nrows, 2), num_blocks(grid.ncols, 2)),
+        Affine((2, 0, 1), (2, 0, 1)),
+        lambda w: F.greatest(w.here, w.next_row, w.next_col, w.diag),
+        dense=False,
+    ).df
+
+
+@query
+def stencil_repeated_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row three times and every two of three columns' places twice, for each year."""
+    grid = supplier_lines(spark, sf_dir, yearly=True)
+    size = (3 * grid.nrows, 3 * grid.ncols // 2)
+    return map_stencil(grid, Scalar(), size, Affine((1, 0, 3), (2, 0, 3)), lambda w: w.here * 2 + w.i).df
+
+
+@query
+def stencil_mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in reverse, by an aligner that is any function of the output position."""
+    grid = part_lines(spark, sf_dir)
+    size = (grid.nrows, grid.ncols)
+    return map_stencil(
+        grid, Square(lambda here: here * 0), size, lambda i, j: (size[0] - 1 - i, j), lambda w: w.here - w.next_row
+    ).df
+
+
+def _asked(spark: SparkSession, sf_dir: str, grid: Grid) -> DataFrame:
+    """A position for each line item, by which sale or its neighbour is looked up."""
+    items = table(spark, sf_dir, "lineitem")
+    return items.select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("l_suppkey").cast("bigint").alias("i"),
+        F.pmod(F.col("l_partkey") + F.col("l_linenumber") % 2, F.lit(grid.ncols)).cast("bigint").alias("j"),
+    )
+
+
+@query
+def lookup_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = sales(spark, sf_dir)
+    return lookup(grid, _asked(spark, sf_dir, grid))
+
+
+@query
+def lookup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``lookup_cells``, from tiles of a stored layout."""
+    grid = _stored(spark, _tiles(spark, sf_dir))
+    return lookup(grid, _asked(spark, sf_dir, grid))
+
+
 @query
 def stencil_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``stencil_square_sum``, of tiles that exchange their edges."""

@@ -1,0 +1,112 @@
+"""Aligners that can be inverted, against the definition."""
+
+import numpy as np
+import pytest
+from grids import blocks, sparse_cells
+from pyspark.sql import functions as F
+
+from gridlake.grid import CellGrid
+from gridlake.operators.blocks import cells_from_rows
+from gridlake.operators.local import to_local
+from gridlake.operators.stencil import Affine, Scalar, Square, identity_aligner, map_stencil
+
+RNG = np.random.default_rng(4)
+ARRAY = np.where(RNG.random((7, 9)) < 0.3, RNG.integers(1, 50, (7, 9)), 0).astype(float)
+CODE = lambda w: w.here + w.next_row * 100 + w.next_col * 10_000 + w.diag * 1_000_000 + w.i * 0.25 + w.j * 0.5 + 1
+
+
+def defined(array, aligner, size, extend):
+    """The definition, position by position."""
+    (a, b, k), (c, d, e) = aligner.rows, aligner.cols
+    n, m = array.shape
+    out = np.zeros(size)
+    for i in range(size[0]):
+        for j in range(size[1]):
+            x, y = (a * i + b) // k, (c * j + d) // e
+            at = lambda p, q: array[p, q] if p < n and q < m else extend * array[x, y]  # noqa: E731,B023
+            out[i, j] = at(x, y) + at(x + 1, y) * 100 + at(x, y + 1) * 10_000 + at(x + 1, y + 1) * 1_000_000
+            out[i, j] += i * 0.25 + j * 0.5 + 1
+    return out
+
+
+CASES = [
+    (Affine((2, 0, 1), (2, 0, 1)), (4, 5)),
+    (Affine((1, 0, 3), (1, 2, 2)), (21, 16)),
+    (Affine((3, 1, 2), (2, 5, 3)), (4, 10)),
+    (Affine((1, 3, 1), (1, 0, 1)), (2, 9)),
+    (Affine((1, 0, 4), (5, 3, 1)), (5, 2)),
+    (Affine(), (7, 9)),
+]
+
+
+@pytest.mark.parametrize("aligner, size", CASES)
+def test_every_output(spark, aligner, size):
+    for grid in (sparse_cells(spark, ARRAY), cells_from_rows(spark, ARRAY)):
+        out = map_stencil(grid, Square(lambda here: here * -1), size, aligner, CODE)
+        assert out.dense and (out.nrows, out.ncols) == size
+        assert np.array_equal(to_local(out), defined(ARRAY, aligner, size, -1))
+
+
+@pytest.mark.parametrize("aligner, size", CASES)
+def test_as_by_a_function(spark, aligner, size):
+    """The same as by a plain function, whose outputs are joined to their windows."""
+    grid = sparse_cells(spark, ARRAY)
+    for stencil, mapper in ((Square(), CODE), (Scalar(), lambda w: w.here * 2 + w.i)):
+        got, want = (to_local(map_stencil(grid, stencil, size, f, mapper)) for f in (aligner, lambda i, j: aligner(i, j)))
+        assert np.array_equal(got, want)
+
+
+def test_only_windows_with_cells(spark):
+    grid = sparse_cells(spark, ARRAY)
+    aligner, largest = Affine((2, 0, 1), (2, 0, 1)), lambda w: F.greatest(w.here, w.next_row, w.next_col, w.diag)
+    out = map_stencil(grid, Square(), (4, 5), aligner, largest, dense=False)
+    found = {(r["i"], r["j"]): r["v"] for r in out.df.collect()}
+    padded = np.pad(ARRAY, ((0, 1), (0, 1)))
+    want = {(i, j): padded[2 * i : 2 * i + 2, 2 * j : 2 * j + 2].max() for i in range(4) for j in range(5)}
+    assert found == {k: v for k, v in want.items() if v}
+    assert not out.dense
+    plan = out.df._jdf.queryExecution().toString()
+    assert "Range" not in plan and "Join" not in plan
+
+
+def test_work_does_not_grow_with_the_grid(spark):
+    """Three cells of a grid of 10^12 cells."""
+    cells = spark.createDataFrame([(0, 0, 1.0), (999_999, 999_999, 2.0), (500_001, 7, 3.0)], "i bigint, j bigint, v double")
+    grid = CellGrid(cells, 10**6, 10**6)
+    out = map_stencil(grid, Scalar(), (5 * 10**5, 10**6), Affine((2, 1, 1), (1, 0, 1)), lambda w: w.here, dense=False)
+    assert sorted(map(tuple, out.df.collect())) == [(250_000, 7, 3.0), (499_999, 999_999, 2.0)]
+
+
+def test_batches_have_every_output(spark):
+    rows = [(1, 0, 0, 5.0), (2, 3, 3, 7.0), (3, 1, 1, 9.0)]
+    cells = spark.createDataFrame(rows, "year int, i bigint, j bigint, v double")
+    grid = CellGrid(cells, 4, 4, keys=("year",))
+    out = map_stencil(grid, Scalar(), (2, 2), Affine((3, 0, 1), (3, 0, 1)), lambda w: w.here + 1)
+    found = {(r["year"], r["i"], r["j"]): r["v"] for r in out.df.collect()}
+    assert len(found) == 12 and out.dense
+    assert {k: v for k, v in found.items() if v != 1} == {(1, 0, 0): 6.0, (2, 1, 1): 8.0}
+
+
+def test_blocks(spark):
+    grid = blocks(spark, ARRAY, 3, 4)
+    aligner = Affine((2, 0, 1), (2, 0, 1))
+    out = map_stencil(grid, Square(lambda here: here * -1), (4, 5), aligner, CODE)
+    assert np.array_equal(to_local(out), defined(ARRAY, aligner, (4, 5), -1))
+
+
+def test_empty(spark):
+    none = CellGrid(spark.createDataFrame([], "i bigint, j bigint, v double"), 4, 4)
+    assert to_local(map_stencil(none, Square(), (2, 2), Affine((2, 0, 1), (2, 0, 1)), lambda w: w.here + 1)).tolist() == [[1, 1], [1, 1]]
+    assert map_stencil(none, Square(), (2, 2), Affine(), lambda w: w.here, dense=False).df.count() == 0
+    assert map_stencil(none, Square(), (0, 4), Affine(), lambda w: w.here).df.count() == 0
+
+
+def test_refused(spark):
+    grid = sparse_cells(spark, ARRAY)
+    with pytest.raises(ValueError, match="of 7 x 9"):
+        map_stencil(grid, Scalar(), (5, 5), Affine((2, 0, 1), (2, 0, 1)), lambda w: w.here)
+    for axis in ((0, 0, 1), (1, -1, 1), (1, 0, 0)):
+        with pytest.raises(ValueError):
+            Affine(axis)
+    with pytest.raises(ValueError, match="Affine"):
+        map_stencil(grid, Scalar(), (7, 9), identity_aligner, lambda w: w.here, dense=False)
