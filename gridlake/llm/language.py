@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from gridlake.llm.common import flat, pieces, widened, with_columns
 
-# Bounds of the training sample: languages, documents of all and of one language.
-MAX_LANGUAGES = 256
+# Bounds of the training sample: documents of all and of one language. Every language has one at least.
 MAX_DOCUMENTS = 8_000
 MAX_PER_LANGUAGE = 400
 
 # n-grams of 1 to 3 bytes are counted by a hash of this many bits.
 HASH_BITS = 13
+# Parts of each language that are looked through apart for the sample.
+SALTS = 64
 # Texts whose histograms are made at once.
 _GROUP = 64
 
@@ -32,7 +33,8 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     bits = 1 if n < 3 else max(15, int(np.ceil(10 * np.log2(n))))
     rng = np.random.default_rng(seed)
     best, distance = None, -1
-    for _ in range(200):
+    # The distances of many languages take long, and random codewords are far apart for these.
+    for _ in range(max(1, min(200, 200 * 256**2 // (n * n)))):
         code = np.where(rng.random((n, bits)) < 0.5, -1, 1)
         if n > 1:
             for k in np.flatnonzero(np.abs(code.sum(axis=0)) == n):
@@ -88,8 +90,9 @@ class Model:
 
     def losses(self, rows: np.ndarray) -> np.ndarray:
         """Weighted logistic loss of every codeword for each row of features."""
-        margins = (rows @ self.weights + self.bias)[:, None, :] * self.code[None, :, :]
-        return (np.logaddexp(0, -margins) * self.trust).sum(axis=2)
+        outputs = rows @ self.weights + self.bias
+        ones, zeros = self.trust * (self.code > 0), self.trust * (self.code < 0)
+        return np.logaddexp(0, -outputs) @ ones.T + np.logaddexp(0, outputs) @ zeros.T
 
     def chances(self, rows: np.ndarray) -> np.ndarray:
         losses = -self.sharpness * self.losses(rows)
@@ -141,30 +144,33 @@ def _sample_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(
     docs: DataFrame,
     may_learn: Column,
-    max_languages: int = MAX_LANGUAGES,
     max_documents: int = MAX_DOCUMENTS,
     max_per_language: int = MAX_PER_LANGUAGE,
 ) -> Model | None:
     """Learn ``lang`` from ``text`` of the rows of ``docs`` (``doc_id, text, lang``) that meet ``may_learn``.
 
-    The ``max_languages`` most frequent languages are learned, each from a sample of at most
-    ``max_per_language`` documents, and ``max_documents`` in all, chosen by a hash of the id; whole
+    Every language is learned, from a sample of at most ``max_per_language`` documents, and at most
+    ``max_documents`` in all or one of each language, whichever is more, chosen by a hash of the id; whole
     texts are used, and the driver gets their histograms. Null languages and ids, and texts that are null
-    or empty, teach nothing. Returns ``None`` if there is nothing to learn from.
+    or empty, teach nothing. Of rows of equal id and language the text of the least hash is used. Returns
+    ``None`` if there is nothing to learn from.
     """
     known = docs.where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     known = known.where(F.length("text") > 0)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    languages = sorted(r["lang"] for r in counts)
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not languages:
         return None
     each = max(1, min(max_per_language, max_documents // len(languages)))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.where(F.col("lang").isin(languages)).select("doc_id", "lang")
-    ids = ids.withColumn("turn", turn).where(F.col("turn") <= each).select("doc_id", "lang").distinct()
-    # At most max_documents ids.
-    texts = known.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"])
-    texts = texts.dropDuplicates(["doc_id", "lang"]).select("text", "lang")
+    hashed = F.xxhash64("doc_id")
+    ids = known.select("doc_id", "lang", F.pmod(hashed, F.lit(SALTS)).alias("salt")).distinct()
+    # The first of each part and then the first of these, so that no task gets all of one language.
+    for part in (["lang", "salt"], ["lang"]):
+        turn = F.row_number().over(Window.partitionBy(*part).orderBy(hashed, "doc_id"))
+        ids = ids.withColumn("turn", turn).where(F.col("turn") <= each).drop("turn")
+    # At most max_documents ids, or one of each language.
+    texts = known.select("doc_id", "text", "lang").join(F.broadcast(ids.drop("salt")), ["doc_id", "lang"])
+    texts = texts.groupBy("doc_id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
+    texts = texts.select("text", "lang")
     found = texts.mapInArrow(_sample_rows, "lang string, cells array<int>, shares array<float>").toArrow()
     cells, shares = found["cells"].combine_chunks(), found["shares"].combine_chunks()
     rows = np.zeros((len(cells), 1 << HASH_BITS), np.float32)

@@ -61,6 +61,59 @@ def test_codewords():
         assert n == 1 or all(len(set(column)) == 2 for column in code.T)
 
 
+def brute_prediction(model, text):
+    """Loss-weighted decoding, one language and one bit at a time."""
+    if not any(map(str.isalpha, text or "")):
+        return "und", 0.0, 0.0
+    raw = (text or "").encode()
+    row = language.histograms(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].astype(float)
+    losses = []
+    for k in range(len(model.languages)):
+        loss = 0.0
+        for bit in range(model.code.shape[1]):
+            margin = (row @ model.weights[:, bit] + model.bias[bit]) * model.code[k, bit]
+            loss += model.trust[k, bit] * np.log1p(np.exp(-margin))
+        losses.append(loss)
+    odds = np.exp(-model.sharpness * np.array(losses))
+    shares = odds / odds.sum()
+    first, second = np.sort(shares)[::-1][:2] if len(shares) > 1 else (shares[0], 0.0)
+    return model.languages[int(shares.argmax())], first, first - second
+
+
+def test_predictions_by_brute_force(spark):
+    docs = read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    model = language.train(docs, fold_of("doc_id", 3) != 1)
+    extra = spark.createDataFrame([(-1, None, None), (-2, "", None), (-3, "12 - 3", None), (-4, "é", None)], docs.schema)
+    docs = docs.unionByName(extra)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = language.predict(docs, model).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        name, score, ahead = brute_prediction(model, texts[r["doc_id"]])
+        assert r["lang_pred"] == name and abs(r["score"] - score) < 1e-4
+        assert r["ambiguous"] == (ahead < 0.2) or abs(ahead - 0.2) < 1e-3
+
+
+def test_more_than_256_languages_are_learned(spark):
+    rng = np.random.default_rng(6)
+    rows, word = [], lambda: "".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz"], 7))
+    for k in range(300):
+        own = [word() for _ in range(4)]
+        rows += [(4 * k + n, " ".join(rng.permutation(own * 6)), f"l{k:03}") for n in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(docs, F.col("doc_id") % 4 != 3)
+    assert len(model.languages) == 300
+    found = language.predict(docs.where("doc_id % 4 = 3"), model).collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in found]) > 0.9
+
+
+def test_language_learns_the_same_of_equal_ids(spark):
+    rows = [(k % 10, f"{'abc' if k % 2 else 'xyz'} text {k}", "a" if k % 2 else "b") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    first, second = (language.train(df, F.lit(True)) for df in (docs, docs.orderBy(F.desc("text")).repartition(7)))
+    assert np.array_equal(first.weights, second.weights)
+
+
 def test_histograms_stay_within_texts():
     parts = [b"", b"a", b"ab", "Größe ABC".encode(), b"xyz" * 100]
     at = np.cumsum([0, *map(len, parts)])
