@@ -8,16 +8,17 @@ from dataclasses import replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridlake.grid import CellGrid, int_div
+from gridlake.grid import BlockGrid, CellGrid, Grid, int_div
 from gridlake.operators.blocks import tasks_for
 from gridlake.operators.elementwise import transpose
+from gridlake.operators.regrid_tiles import resample_tiles
 from gridlake.operators.shape import sum_duplicates, unique_positions, with_dims, within_size
 from gridlake.operators.stencil import Square, neighbourhoods, window_values
 
 log = logging.getLogger(__name__)
 
 
-def regrid_bilinear(grid: CellGrid, target: tuple[int, int]) -> CellGrid:
+def regrid_bilinear(grid: Grid, target: tuple[int, int]) -> Grid:
     """Resample to ``target`` rows and columns; the corner cells of both grids coincide.
 
     Output position ``o`` of ``t`` lies at ``o * (n - 1) / (t - 1)`` among ``n`` source
@@ -31,6 +32,8 @@ def regrid_bilinear(grid: CellGrid, target: tuple[int, int]) -> CellGrid:
     A finer target collects windows first, shuffles about one row per source cell, and is dealt out by
     the number of outputs before they are made. A coarser one drops the cells between outputs first and
     shuffles at most four rows per output.
+
+    Tiles are resampled as they are, to tiles of the same size: see ``resample_tiles``.
     """
     rows, cols = target
     if rows < 2 or cols < 2:
@@ -38,14 +41,16 @@ def regrid_bilinear(grid: CellGrid, target: tuple[int, int]) -> CellGrid:
     grid = with_dims(grid)
     if grid.nrows < 1 or grid.ncols < 1:
         raise ValueError("cannot resample an empty grid")
-    grid = within_size(grid)
     if grid.nrows > rows or grid.ncols > cols:
         log.warning("a target coarser than the grid leaves out cells between outputs")
+    if isinstance(grid, BlockGrid):
+        return resample_tiles(grid, rows, cols)
+    grid = within_size(grid)
     finer = rows * cols >= grid.nrows * grid.ncols
     return _from_windows(grid, rows, cols) if finer else _from_cells(grid, rows, cols)
 
 
-def interpolate(grid: CellGrid, target: tuple[int, int]) -> CellGrid:
+def interpolate(grid: Grid, target: tuple[int, int]) -> Grid:
     """Bilinear resampling of the transpose of a square grid."""
     grid = with_dims(grid)
     if grid.nrows != grid.ncols:

@@ -349,3 +349,8 @@ ORACLE["lookup_cells"] = f"""WITH {SALES}, {SIZE}, asked AS (
   SELECT l_orderkey, l_linenumber, l_suppkey AS i, (l_partkey + l_linenumber % 2) % n AS j FROM lineitem, size)
 SELECT l_orderkey, l_linenumber, i, j, COALESCE(v, 0) AS v FROM asked LEFT JOIN sales USING (i, j)"""
 ORACLE["lookup_blocks"] = ORACLE["lookup_cells"]
+ORACLE["regrid_blocks_finer"] = ORACLE["regrid_finer"]
+ORACLE["regrid_blocks_coarser"] = ORACLE["regrid_coarser"]
+ORACLE["grids_diff_narrowed"] = f"WITH {SALES} SELECT i, j, v AS a, v + 1 AS b FROM sales WHERE i % 50 = 7"
+ORACLE["ranges_that_differ"] = f"""WITH {SALES}
+SELECT DISTINCT CAST(i // {R} AS INTEGER) AS bi, CAST(j // {C} AS INTEGER) AS bj FROM sales WHERE i % 50 = 7"""

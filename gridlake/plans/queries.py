@@ -25,6 +25,7 @@ from gridlake.operators.combine import add, combine, diff, subtract
 from gridlake.operators.elementwise import map_cells, map_values, scalar_add, scalar_multiply, transpose
 from gridlake.operators.lookup import lookup
 from gridlake.operators.product import multiply, sum_blocks
+from gridlake.operators.ranges import differing_ranges
 from gridlake.operators.regrid import interpolate, regrid_bilinear
 from gridlake.operators.shape import (
     block_info,
@@ -211,6 +212,21 @@ def grids_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff(sales(spark, sf_dir, "A"), sales(spark, sf_dir, "rest"))
 
 
+def _corrected(spark: SparkSession, sf_dir: str) -> Grid:
+    """Sales, with one piece more of each part that every fiftieth supplier sold."""
+    return map_cells(sales(spark, sf_dir), lambda i, j, v: v + F.when(i % 50 == 7, 1.0).otherwise(0.0))
+
+
+@query
+def grids_diff_narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff(sales(spark, sf_dir), _corrected(spark, sf_dir), narrow=True)
+
+
+@query
+def ranges_that_differ(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return differing_ranges(sales(spark, sf_dir), _corrected(spark, sf_dir), *TILE)
+
+
 @query
 def multiply_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiply(sales(spark, sf_dir), part_lines(spark, sf_dir)).df
@@ -519,6 +535,22 @@ def regrid_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regrid_bilinear(grid, (2 * grid.nrows - 1, 2 * grid.ncols - 1)).df
 
 
+def _vector_tiles(spark: SparkSession, sf_dir: str) -> BlockGrid:
+    return to_blocks(vectors(spark, sf_dir), *TILE)
+
+
+@query
+def regrid_blocks_finer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = _vector_tiles(spark, sf_dir)
+    return to_cells(regrid_bilinear(grid, (2 * grid.nrows - 1, 2 * grid.ncols - 1))).df
+
+
+@query
+def regrid_blocks_coarser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = _vector_tiles(spark, sf_dir)
+    return to_cells(regrid_bilinear(grid, (grid.nrows, (grid.ncols - 1) * 2 // 3 + 1))).df
+
+
 @query
 def interpolate_square(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = supplier_lines(spark, sf_dir)

@@ -1,0 +1,116 @@
+"""Grids compared by hashes of ranges."""
+
+import numpy as np
+import pytest
+from grids import blocks, sparse_cells
+from pyspark.sql import functions as F
+
+from gridlake.grid import CellGrid
+from gridlake.operators import ranges
+from gridlake.operators.blocks import cells_from_rows, to_blocks
+from gridlake.operators.combine import diff, grids_equal
+from gridlake.operators.ranges import differing_ranges, narrowed
+
+RNG = np.random.default_rng(31)
+ARRAY = np.where(RNG.random((30, 40)) < 0.5, RNG.integers(1, 5, (30, 40)), 0).astype(float)
+
+
+def changed(*positions, by=1.0):
+    other = ARRAY.copy()
+    for i, j in positions:
+        other[i, j] += by
+    return other
+
+
+def found(a, b, rows, cols):
+    return sorted((r.bi, r.bj) for r in differing_ranges(a, b, rows, cols).collect())
+
+
+def test_ranges_that_differ(spark):
+    a = sparse_cells(spark, ARRAY)
+    assert found(a, cells_from_rows(spark, ARRAY), 7, 9) == []
+    assert found(a, sparse_cells(spark, changed((0, 0), (6, 8), (29, 39))), 7, 9) == [(0, 0), (4, 4)]
+    for sizes in ((1, 1), (4, 3), (30, 40)):
+        other = np.where(RNG.random(ARRAY.shape) < 0.05, ARRAY + 1, ARRAY)
+        want = {(i // sizes[0], j // sizes[1]) for i, j in np.argwhere(other != ARRAY)}
+        assert found(a, to_blocks(cells_from_rows(spark, other), 4, 7), *sizes) == sorted(want)
+
+
+def test_values_that_change_places_differ(spark):
+    rows = [[1.0, 2.0], [0.0, 0.0]]
+    a = cells_from_rows(spark, rows)
+    for other in ([[2.0, 1.0], [0, 0]], [[0, 0], [1.0, 2.0]], [[1.0, 0], [2.0, 0]], [[-1.0, -2.0], [0, 0]]):
+        assert found(a, cells_from_rows(spark, other), 2, 2) == [(0, 0)]
+        assert not grids_equal(a, cells_from_rows(spark, other))
+
+
+def test_zeros_nulls_and_nan(spark):
+    kind = "i bigint, j bigint, v double"
+
+    def grid(rows):
+        return CellGrid(spark.createDataFrame(rows, kind), 2, 2, unique=True)
+
+    empty = grid([])
+    assert grids_equal(empty, grid([(0, 0, -0.0), (1, 0, 0.0), (1, 1, None)]))
+    assert found(empty, empty, 1, 1) == []
+    nan = grid([(0, 1, float("nan"))])
+    assert found(nan, nan, 1, 1) == [(0, 1)]
+    assert not grids_equal(nan, nan)
+    assert diff(nan, nan, narrow=True).count() == 1
+    nowhere = CellGrid(spark.createDataFrame([], kind), 0, 0, unique=True)
+    assert grids_equal(nowhere, nowhere) and diff(nowhere, nowhere, narrow=True).count() == 0
+
+
+@pytest.mark.parametrize("least", [1, 1 << 14])
+def test_narrowed_diff_has_the_same_rows(spark, monkeypatch, least):
+    monkeypatch.setattr(ranges, "RANGES", 4)
+    monkeypatch.setattr(ranges, "SPLIT", 2)
+    monkeypatch.setattr(ranges, "LEAST_CELLS", least)
+    a = sparse_cells(spark, ARRAY)
+    for other in (ARRAY, changed((0, 0), (29, 39), (17, 2)), ARRAY + 1, changed((5, 5), by=1e-3)):
+        b = blocks(spark, other, 7, 6)
+        b = b.with_df(b.df, unique=True)
+        want = sorted(map(tuple, diff(a, b, 0.01).collect()))
+        assert sorted(map(tuple, diff(a, b, 0.01, narrow=True).collect())) == want
+        assert grids_equal(a, b) == np.array_equal(ARRAY, other)
+
+
+def test_only_what_differs_is_left(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "LEAST_CELLS", 1)
+    cells = spark.range(400 * 400).selectExpr("id div 400 i", "id % 400 j", "double(id) v")
+    a = CellGrid(cells, 400, 400, unique=True, dense=True)
+    b = a.with_df(cells.withColumn("v", F.expr("if(i = 123 and j = 321, -1, v)")))
+    x, y = narrowed(a, b)
+    assert x.df.collect() == [(123, 321, 123 * 400 + 321.0)] and y.df.collect() == [(123, 321, -1.0)]
+
+
+def test_each_batch(spark):
+    df = spark.createDataFrame([("a", 0, 0, 1.0), ("b", 0, 0, 2.0)], "t string, i bigint, j bigint, v double")
+    a = CellGrid(df, 3, 3, keys=("t",), unique=True)
+    b = a.with_df(df.withColumn("v", F.expr("if(t = 'b', 3, v)")))
+    assert [tuple(r) for r in differing_ranges(a, b, 2, 2).collect()] == [("b", 0, 0)]
+    assert [tuple(r) for r in diff(a, b, narrow=True).collect()] == [("b", 0, 0, 2.0, 3.0)]
+    swapped = a.with_df(df.withColumn("t", F.expr("if(t = 'b', 'a', 'b')")))
+    assert diff(a, swapped, narrow=True).count() == 2 and not grids_equal(a, swapped)
+
+
+def test_grids_that_cannot_be_hashed(spark):
+    a = sparse_cells(spark, ARRAY)
+    repeated = CellGrid(a.df.unionAll(a.df), 30, 40)
+    with pytest.raises(ValueError, match="no repeats"):
+        differing_ranges(a, repeated, 4, 4)
+    with pytest.raises(ValueError, match="no repeats"):
+        diff(repeated, a, narrow=True)
+    with pytest.raises(ValueError, match="rows and columns"):
+        differing_ranges(a, a, 0, 4)
+    with pytest.raises(ValueError, match="differ in size"):
+        differing_ranges(a, CellGrid(a.df, 31, 40, unique=True), 4, 4)
+
+
+def test_cells_are_not_shuffled(spark):
+    a = spark.range(90_000).selectExpr("id div 300 i", "id % 300 j", "double(id) v")
+    a = CellGrid(a, 300, 300, unique=True)
+    b = a.with_df(a.df.select("i", "j", (F.col("v") + 0.0).alias("v")))
+    plan = differing_ranges(a, b, 300, 300)._jdf.queryExecution().executedPlan().toString()
+    shuffle = plan.index("Exchange hashpartitioning(bi")
+    assert plan.count("Exchange ") == 1 and "partial_bit_xor" in plan[shuffle:]
