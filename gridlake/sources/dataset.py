@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridlake.sources.avro import first_record
 from gridlake.sources.metadata import (
     METADATA_SCHEMA,
     Metadata,
     first_metadata,
     metadata_frame,
+    metadata_from_record,
 )
 
 
@@ -17,11 +19,16 @@ def load_dataset(
 ) -> tuple[Metadata | None, DataFrame]:
     """The Parquet data at ``path`` and the first record of its sidecar ``path + ".meta"``.
 
-    An empty sidecar gives no metadata; a missing one is an error. Sidecars are JSON, or any
-    other ``sidecar_format`` the session can read, such as ``avro`` where spark-avro is
-    installed.
+    An empty sidecar gives no metadata; a missing one is an error. Sidecars are JSON, ``avro``
+    containers (a file, or a folder of which the first file with a record counts), or in any other
+    ``sidecar_format`` the session can read.
     """
     sidecar = path.rstrip("/") + ".meta"
+    if sidecar_format == "avro":
+        files = spark.read.format("binaryFile").load(sidecar).select("path", "content").orderBy("path")
+        found = (first_record(bytes(row.content)) for row in files.toLocalIterator())
+        record = next((r for r in found if r is not None), None)
+        return metadata_from_record(record), spark.read.parquet(path)
     if sidecar_format == "json":
         records = metadata_frame(spark, sidecar)
     else:

@@ -77,6 +77,25 @@ def first_metadata(metadata: DataFrame) -> Metadata | None:
     )
 
 
+def metadata_from_record(record: dict | None) -> Metadata | None:
+    """A record with the fields of ``METADATA_SCHEMA`` as an object; other fields are ignored."""
+    if record is None:
+        return None
+    if record.get("variables") is None:
+        raise ValueError("the metadata has no list of variables")
+    return Metadata(
+        tuple(
+            Variable(
+                v["name"],
+                v.get("units"),
+                tuple(v.get("dims") or ()),
+                {k: str(a) for k, a in (v.get("attributes") or {}).items() if a is not None},
+            )
+            for v in record["variables"]
+        )
+    )
+
+
 def read_metadata(spark: SparkSession, directory: str) -> Metadata | None:
     """The ``metadata.json`` of a directory of array files."""
     return first_metadata(metadata_frame(spark, f"{directory.rstrip('/')}/metadata.json"))
