@@ -112,7 +112,7 @@ def pieces(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[p
     """The same rows in batches of about ``size`` bytes of text, one row at least."""
     for batch in batches:
         column = batch.column("text")
-        _, at = flat(column)
+        at = flat(column)[1]
         start = 0
         while start < batch.num_rows:
             end = max(start + 1, int(np.searchsorted(at, at[start] + size, "right")) - 1)

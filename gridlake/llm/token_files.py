@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from gridlake.llm.common import flat, pieces, scratch
 
-# Words whose ids a task remembers; then it starts anew.
-MAX_WORDS = 350_000
+# Words whose ids a task remembers; then it starts anew. A dict of 349,526 would take twice the room.
+MAX_WORDS = 300_000
+# Bytes of text that are encoded at once: arrays on the way take some 50 times as much.
+PIECE = 256 << 10
 # With at most so many files, their totals (16 bytes each) are broadcast.
 MAX_BROADCAST_PARTS = 100_000
 
@@ -189,7 +191,7 @@ _encoders: dict[tuple[str, int], WordEncoder] = {}
 def _encode(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder = _encoders.get((path, end_id)) or _encoders.setdefault((path, end_id), WordEncoder(path, end_id))
     part, before = TaskContext.get().partitionId(), 0
-    for batch in pieces(batches, 2 << 20):
+    for batch in pieces(batches, PIECE):
         ids, counts = encoder.encode(*flat(batch["text"]))
         upto = np.cumsum(counts)
         offsets = np.concatenate(([0], upto)).astype(np.int32)

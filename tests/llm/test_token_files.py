@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -6,6 +7,7 @@ import pyarrow as pa
 from samples import ROWS, frame, table
 from tokenizers import Tokenizer
 
+from gridlake.llm import token_files
 from gridlake.llm.common import flat, scratch
 from gridlake.llm.token_files import WordEncoder, encode_documents, read_tokens, with_starts, write_tokens
 
@@ -52,6 +54,20 @@ def test_forgetting_changes_nothing(monkeypatch):
         assert ids.tolist() == ids_of(d["text"])
 
 
+def test_memory_of_a_batch(monkeypatch):
+    """A batch of 4 MB of short words takes less than ten times as much on the way."""
+    monkeypatch.setattr(token_files.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    texts = ["in it a to, be of. an " * 200] * 1000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], names=["doc_id", "text"])
+    next(token_files._encode([batch], PATH, 2))
+    tracemalloc.start()
+    made = [(out.num_rows, out["ids"][0].as_py()) for out in token_files._encode([batch], PATH, 2)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for n, _ in made) == 1000 and all(ids == ids_of(texts[0]) for _, ids in made)
+    assert peak < 40 << 20
+
+
 def test_index(spark):
     got = sorted((tuple(r) for r in encode_documents(frame(spark), PATH).collect()), key=lambda r: r[1])
     # Null ids first; rows of equal id in some order.
