@@ -17,6 +17,8 @@ BITS = 64
 _THIRDS = ((0, 21), (21, 42), (42, 64))
 # Hashes whose bits are counted at once.
 _COUNT = 1 << 16
+# A group with at most so many strays compares each of them with all its members.
+FEW_STRAYS = 16
 
 
 def _signed(value: int) -> int:
@@ -136,11 +138,13 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     ``fps`` has distinct ``fp``. Every fingerprint emits all variants within half the distance (for
     an odd one, within the half rounded up), and what meets in a variant is verified.
 
-    For distances up to 4 that is done in two steps. First over pairs of thirds, where fewer
+    For distances up to 4 that is done in three steps. First over pairs of thirds, where fewer
     variants do: within each group all are compared with its smallest. A group whose members are
-    all connected by then, or that has only two, is settled. Then the members of all other groups
-    emit their whole balls, over the bits on which their groups differ: two that link meet in such a
-    group, and so in a variant of those bits.
+    all connected by then, or that has only two, is settled. In all other groups the strays, which are
+    not of the group's most frequent component, are compared with all members: of two that link
+    and are not connected yet, one is a stray. Where a group has more than ``FEW_STRAYS``, its
+    members emit their whole balls instead, over the bits on which they differ: two that link
+    meet in such a group, and so in a variant of those bits.
     """
     if distance > 4:
         everything = F.lit(-1).cast("bigint")
@@ -151,16 +155,34 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     star = stored(star.select(F.col("smallest").alias("u"), F.col("fp").alias("v")).distinct(), "simhash-star")
     roots = components(star).withColumnRenamed("node", "fp")
     root = F.coalesce("root", "fp")
-    open_groups = (
-        met.join(roots, "fp", "left")
-        .groupBy("group")
-        .agg(F.min(root).alias("low"), F.max(root).alias("high"), F.count("*").alias("members"))
-        .where("low < high AND members > 2")
-        .select("group")
+    named = stored(met.join(roots, "fp", "left").select("group", "fp", "mask", root.alias("root")), "simhash-named")
+    per_root = named.groupBy("group", "root").agg(F.count("*").alias("n"))
+    open_groups = per_root.groupBy("group").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("members"))
+    open_groups = open_groups.where("members > most.n AND members > 2").select(
+        "group", F.col("most.root").alias("common"), (F.col("members") - F.col("most.n")).alias("strays")
     )
-    open_fps = met.join(open_groups, "group", "left_semi").groupBy("fp").agg(F.bit_or("mask").alias("mask"))
-    open_fps = stored(open_fps, "simhash-open")
-    return star.union(_tied(_ball(open_fps, -(-distance // 2)), distance))
+    open_groups = stored(open_groups, "simhash-groups")
+    few = F.col("strays") <= FEW_STRAYS
+    tied = _strays_tied(named, open_groups.where(few), distance)
+    many = named.join(open_groups.where(~few).select("group"), "group", "left_semi")
+    open_fps = stored(many.groupBy("fp").agg(F.bit_or("mask").alias("mask")), "simhash-open")
+    return star.union(tied).union(_tied(_ball(open_fps, -(-distance // 2)), distance))
+
+
+def _strays_tied(named: DataFrame, groups: DataFrame, distance: int) -> DataFrame:
+    """``u, v`` with ``u < v``: the links of strays with members of their groups.
+
+    ``named`` has ``group, fp, root``; ``groups`` has ``group, common`` of groups with few strays, and
+    ``common`` is the root of all other members.
+    """
+    strays = named.join(groups.select("group", "common"), "group").where("root <> common")
+    strays = strays.groupBy("group").agg(F.collect_set("fp").alias("strays"))
+    linked = F.filter(
+        "strays",
+        lambda s: (s != F.col("fp")) & (F.bit_count(s.bitwiseXOR(F.col("fp"))) <= distance),
+    )
+    pairs = named.join(strays, "group").select("fp", F.explode(linked).alias("stray"))
+    return pairs.select(F.least("fp", "stray").alias("u"), F.greatest("fp", "stray").alias("v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 from samples import ROWS, frame, table, words
 
+from gridlake.llm import simhash
 from gridlake.llm.simhash import _meetings, components, drop_near_duplicates, fingerprint, links, near_duplicates
 
 
@@ -115,6 +116,22 @@ def test_a_large_near_group(spark):
     assert {f: got.get(f, f) for f in fps} == want
 
 
+def test_groups_with_few_strays_need_no_balls(spark, monkeypatch):
+    """One is tied through a member that is not the smallest, another is tied to none."""
+    centre = xxhash.xxh64_intdigest("centre")
+    flipped = [*({a} for a in range(42, 64)), {42, 43, 44}, {*range(42, 48)}, {*range(50, 61)}]
+    fps = {centre} | {centre ^ sum(1 << b for b in bits) for bits in flipped}
+    fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    df = spark.createDataFrame([(f,) for f in fps], "fp bigint")
+    want = {i: first for i, _, first in brute_components([(f, f % (1 << 64)) for f in fps])}
+    sent, ball = [], simhash._ball
+    monkeypatch.setattr(simhash, "_ball", lambda open_fps, radius: sent.append(open_fps.count()) or ball(open_fps, radius))
+    for few, balls in ((simhash.FEW_STRAYS, 0), (1, len(fps))):
+        monkeypatch.setattr(simhash, "FEW_STRAYS", few)
+        got = {r["node"]: r["root"] for r in components(links(df)).collect()}
+        assert {f: got.get(f, f) for f in fps} == want and sent.pop() == balls
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(300, 350)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
