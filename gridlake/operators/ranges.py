@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.grid import BlockGrid, CellGrid, Grid, block_index, same_shape
-from gridlake.operators.blocks import to_cells
+from gridlake.operators.blocks import most_tasks, to_cells
 from gridlake.operators.shape import with_dims
 
 # The axes are cut into so many ranges at first: 64 x 64 hashes from a task, however large the grid.
@@ -17,6 +17,8 @@ RANGES = 64
 FEW = 64
 SPLIT = 8
 LEAST_CELLS = 1 << 14
+# Beyond so many ranges, a task does not keep a hash of each while its cells are made: these are shuffled.
+MANY_RANGES = 1 << 16
 
 
 def _cells(grid: Grid) -> CellGrid:
@@ -26,26 +28,29 @@ def _cells(grid: Grid) -> CellGrid:
     return grid
 
 
-def _hashes(grid: CellGrid, rows: int, cols: int, sign: int) -> DataFrame:
-    """Two hashes of each cell that is not zero, with its range. The value is part of them, -0.0 is 0."""
-
-    def mixed(salt: int) -> Column:
-        return F.xxhash64(F.lit(salt), *grid.position, F.lit(salt), "v")
-
-    return grid.df.where("v != 0").select(
-        *grid.keys,
+def _located(grid: CellGrid, by: list[str], rows: int, cols: int, sign: int, tasks: int | None) -> DataFrame:
+    """Each cell that is not zero, with its range."""
+    cells = grid.df.where("v != 0").select(
+        *grid.position,
+        "v",
         block_index("i", rows).alias("bi"),
         block_index("j", cols).alias("bj"),
-        mixed(1).alias("a"),
-        mixed(2).alias("b"),
         F.lit(sign).alias("side"),
-        F.isnan("v").alias("found"),
     )
+    return cells if tasks is None else cells.repartition(tasks, *by)
 
 
-def _differing(a: CellGrid, b: CellGrid, by: list[str], rows: int, cols: int) -> DataFrame:
-    # What both grids have cancels out. The hashes are combined before the shuffle.
-    both = _hashes(a, rows, cols, 1).unionByName(_hashes(b, rows, cols, -1))
+def _differing(a: CellGrid, b: CellGrid, by: list[str], rows: int, cols: int, tasks: int | None = None) -> DataFrame:
+    """The ranges that differ; with ``tasks``, cells go to so many by their ranges before they are hashed."""
+
+    def mixed(salt: int) -> Column:
+        return F.xxhash64(F.lit(salt), *a.position, F.lit(salt), "v")
+
+    # Each grid is shuffled by itself: a task of a union of grids may hold what makes the cells of both.
+    cells = _located(a, by, rows, cols, 1, tasks).unionByName(_located(b, by, rows, cols, -1, tasks))
+    # Two hashes of each cell. The value is part of them, -0.0 is 0. What both grids have cancels out.
+    # Without tasks the hashes are combined before the shuffle.
+    both = cells.select(*by, mixed(1).alias("a"), mixed(2).alias("b"), "side", F.isnan("v").alias("found"))
     summary = both.groupBy(*by).agg(
         F.bit_xor("a").alias("a"),
         F.bit_xor("b").alias("b"),
@@ -60,13 +65,16 @@ def differing_ranges(a: Grid, b: Grid, rows: int, cols: int) -> DataFrame:
 
     Both grids must be known to have no repeats. Absent cells, nulls and -0.0 are zeros, and NaN differs
     from everything. A task sends one row for each range: an order-free hash of 128 bits, so a range
-    that differs is missed with a chance of 2**-128.
+    that differs is missed with a chance of 2**-128. Of more than ``MANY_RANGES`` small ranges, cells are
+    shuffled to the tasks of their ranges instead, so that no task holds a large part of all hashes.
     """
     if rows <= 0 or cols <= 0:
         raise ValueError(f"ranges must have rows and columns: {rows} x {cols}")
     a, b = _cells(a), _cells(b)
     same_shape(a, b)
-    return _differing(a, b, [*a.keys, "bi", "bj"], rows, cols)
+    many = ceil((a.nrows or 1) / rows) * ceil((a.ncols or 1) / cols) > MANY_RANGES and rows * cols <= LEAST_CELLS
+    tasks = most_tasks(a.df.sparkSession) if many else None
+    return _differing(a, b, [*a.keys, "bi", "bj"], rows, cols, tasks)
 
 
 def _within(grid: CellGrid, found: list, rows: int, cols: int) -> CellGrid:

@@ -114,3 +114,16 @@ def test_cells_are_not_shuffled(spark):
     plan = differing_ranges(a, b, 300, 300)._jdf.queryExecution().executedPlan().toString()
     shuffle = plan.index("Exchange hashpartitioning(bi")
     assert plan.count("Exchange ") == 1 and "partial_bit_xor" in plan[shuffle:]
+
+
+def test_many_small_ranges_are_not_hashed_where_cells_are_made(spark, monkeypatch):
+    a, b = sparse_cells(spark, ARRAY), sparse_cells(spark, changed((0, 0), (6, 8), (29, 39), (29, 38)))
+    few = differing_ranges(a, b, 2, 3)
+    monkeypatch.setattr(ranges, "MANY_RANGES", 100)  # there are 15 x 14
+    many = differing_ranges(a, b, 2, 3)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (few, many)]
+    below = [plan[plan.rindex("hashpartitioning(bi") :] for plan in plans]
+    assert "bit_xor" in below[0] and "bit_xor" not in below[1] and plans[1].count("hashpartitioning(bi") == 2
+    monkeypatch.setattr(ranges, "LEAST_CELLS", 5)  # a large range would be work for one task
+    assert "bit_xor" in (plan := differing_ranges(a, b, 2, 3)._jdf.queryExecution().executedPlan().toString())[plan.rindex("hashpartitioning(bi") :]
+    assert sorted(few.collect()) == sorted(many.collect()) and many.count() == 4
