@@ -16,8 +16,18 @@ from pyspark.sql import functions as F
 
 from gridlake.llm.common import flat, pieces, scratch
 
-# Words whose ids a task remembers; then it starts anew. A dict of 349,526 would take twice the room.
-MAX_WORDS = 300_000
+# Words in a dict, which then starts anew. A dict of 174,763 would take twice the room.
+MAX_WORDS = 170_000
+# Words whose ids a task remembers, and 16 times as many ids; then all of it starts anew.
+MAX_ENTRIES = 700_000
+# Words of up to 15 bytes are looked up first in a table of 2 ** 19 places, each of which holds the last
+# word met of those that belong there: 16 bytes for the word and its length, and 4 for its entry.
+PLACES_BITS = 19
+MULTIPLIERS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+# What words of each length keep of their first 8 bytes and of the next 8, the last of which is the length.
+_FIRST = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(16)], np.uint64)
+_NEXT = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(16)], np.uint64)
+_LENGTH = np.arange(16, dtype=np.uint64) << np.uint64(56)
 # Bytes of text that are encoded at once: arrays on the way take some 50 times as much.
 PIECE = 256 << 10
 # With at most so many files, their totals (16 bytes each) are broadcast.
@@ -45,17 +55,58 @@ LAYOUT = {
 
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of bytes that end with white space begin and end."""
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edges = np.flatnonzero(np.diff(np.concatenate(([1], space.view(np.int8)))))
+    space = np.empty(len(data) + 1, bool)
+    space[0] = True
+    np.less(data - np.uint8(9), 5, out=space[1:])
+    space[1:] |= data == 32
+    edges = np.flatnonzero(space[1:] != space[:-1])
     return edges[::2], edges[1::2]
 
 
+def _before_signs(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The last byte before each of ``ends`` that is no sign; each has one before it."""
+    last = ends - 1
+    for _ in range(16):
+        signs = np.flatnonzero(SIGNS[data[last]])
+        if not len(signs):
+            return last
+        last[signs] -= 1
+    others = np.flatnonzero(~SIGNS[data])
+    return others[np.searchsorted(others, last, "right") - 1]
+
+
+def _short_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words have 15 bytes at most, these as two numbers each, equal for equal words only, and their places."""
+    padded = np.concatenate((data, np.zeros(16, np.uint8)))
+    at = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
+    short = lengths < 16
+    length = np.where(short, lengths, 0)
+    words = np.empty((len(starts), 2), np.uint64)
+    words[:, 0] = at[starts] & _FIRST[length]
+    words[:, 1] = (at[starts + 8] & _NEXT[length]) | _LENGTH[length]
+    mixed = words[:, 0] * MULTIPLIERS[0]
+    mixed ^= mixed >> np.uint64(32)
+    mixed = (mixed + words[:, 1]) * MULTIPLIERS[1]
+    return short, words, (mixed >> np.uint64(64 - PLACES_BITS)).astype(np.int64)
+
+
+def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The array, or a longer copy of it, with room for ``more`` numbers after those ``used``."""
+    if used + more <= len(array):
+        return array
+    out = np.empty(max(2 * len(array), used + more), array.dtype)
+    out[:used] = array[:used]
+    return out
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space.
 
     For such a tokenizer the ids of a text are those of its words, in order, so each word is encoded
     once and looked up afterwards. Where it also lower-cases, and ends a token between a letter and
     signs after it, "Word," is looked up as "word" and ",", and "word!?" as "word" and "!?".
+
+    Words are looked up together, as numbers in a table; those that are not there, one by one in a dict.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -73,13 +124,15 @@ class WordEncoder:
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        # Bytes of ASCII letters stand for themselves in such a model.
+        self.split_ascii = pre_tokenizers.WhitespaceSplit()
+        self.split = pre_tokenizers.Sequence(
+            [self.split_ascii, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if suffix and token.endswith(suffix)]] = True
-        probe = ["a", "über", "s", "strasse", "élèves", "nn"]
+        probe = ["a", "über", "s", "strasse", "élèves", "nn", "abcdefghijklmnopqrstuvwxyz"]
         alike = all(self._ids(w) == self._plain_ids([w.encode()]).tolist() for w in probe)
         usable = suffix and self.folds and alike
         usable = usable and self._ids("ab$$.") == self._ids("ab") + self._ids("$$.")
@@ -87,8 +140,9 @@ class WordEncoder:
         self._forget()
 
     def _plain_ids(self, words: list[bytes]) -> np.ndarray:
-        text = b" ".join(words).decode()
-        return np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        joined = b" ".join(words)
+        self.plain.pre_tokenizer = self.split_ascii if joined.isascii() else self.split
+        return np.array(self.plain.encode_batch_fast([joined.decode()], add_special_tokens=False)[0].ids, np.int32)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -97,9 +151,12 @@ class WordEncoder:
         # The first three entries are what may follow a word: nothing, a comma, a full stop.
         tails = [[], self._ids(","), self._ids(".")]
         self.index: dict[bytes, int] = {}
-        self.lengths = np.array([len(t) for t in tails], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.lengths = np.array([len(t) for t in tails], np.int32)
+        self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
         self.ids = np.array([i for t in tails for i in t], np.int32)
+        self.entries, self.n_ids = len(self.lengths), len(self.ids)
+        self.places = np.zeros((1 << PLACES_BITS, 2), np.uint64)
+        self.place_entries = np.zeros(1 << PLACES_BITS, np.int32)
 
     def _encode_letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of lower-case letters, and how many each has."""
@@ -121,28 +178,62 @@ class WordEncoder:
     def _learn(self, words: Iterable[bytes]) -> None:
         """Add words to the index."""
         usable = self.letters is LETTERS
-        plain, other = [], []
+        ascii_only, plain, other = [], [], []
         for word in words:
-            simple = usable and ((word.isalpha() and word.islower()) or LETTERS.fullmatch(word.decode()))
-            (plain if simple else other).append(word)
-        for encode, some in ((self._encode_letters, plain), (self._encode_words, other)):
-            new = [encode(some[k : k + 1000]) for k in range(0, len(some), 1000)]
-            if new:
-                self._add(some, np.concatenate([x for x, _ in new]), np.concatenate([x for _, x in new]))
-
-    def _add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
-        first = len(self.lengths)
-        self.index.update(zip(words, range(first, first + len(words))))
-        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
-        self.lengths = np.concatenate((self.lengths, lengths))
-        self.ids = np.concatenate((self.ids, ids))
-
-    def _gather(self, entries: np.ndarray) -> np.ndarray:
-        """Ids of entries, one after another."""
+            if usable and word.isalpha() and word.islower():
+                ascii_only.append(word)
+            else:
+                (plain if usable and LETTERS.fullmatch(word.decode()) else other).append(word)
+        for encode, some in ((self._encode_letters, ascii_only), (self._encode_letters, plain), (self._encode_words, other)):
+            for k in range(0, len(some), 1000):
+                part = some[k : k + 1000]
+                first = self._add(*encode(part))
+                self.index.update(zip(part, range(first, first + len(part))))
+
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> int:
+        """Keep the ids of words, and return the entry of the first one."""
+        first, last, upto = self.entries, self.entries + len(lengths), self.n_ids + len(ids)
+        self.starts = _room(self.starts, first, len(lengths))
+        self.lengths = _room(self.lengths, first, len(lengths))
+        self.ids = _room(self.ids, self.n_ids, len(ids))
+        self.starts[first:last] = self.n_ids + np.cumsum(lengths) - lengths
+        self.lengths[first:last] = lengths
+        self.ids[self.n_ids : upto] = ids
+        self.entries, self.n_ids = last, upto
+        return first
+
+    def _look_up(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The entries of words, which are learned if they are new."""
+        if self.entries > MAX_ENTRIES or self.n_ids > 16 * MAX_ENTRIES:
+            self._forget()
+        elif len(self.index) > MAX_WORDS:
+            self.index = {}
+        short, words, places = _short_words(data, starts, lengths)
+        hit = short & (self.places[places] == words).all(axis=1)
+        found = np.where(hit, self.place_entries[places], -1)
+        missing = np.flatnonzero(~hit)
+        if len(missing):
+            raw, begins = data.tobytes(), starts[missing]
+            some = [raw[a:b] for a, b in zip(begins.tolist(), (begins + lengths[missing]).tolist())]
+            entries = np.fromiter(map(self.index.get, some, repeat(-1)), np.int32, len(some))
+            unknown = np.flatnonzero(entries < 0)
+            if len(unknown):
+                new = [some[k] for k in unknown.tolist()]
+                self._learn(dict.fromkeys(new))
+                entries[unknown] = np.fromiter(map(self.index.__getitem__, new), np.int32, len(new))
+            found[missing] = entries
+            kept = missing[short[missing]]
+            # One word for each place, so that a place has the word and the entry of the same one.
+            at, which = np.unique(places[kept], return_index=True)
+            self.places[at], self.place_entries[at] = words[kept[which]], found[kept[which]]
+        return found
+
+    def _gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of entries, one after another, and how many there are up to each."""
         lengths = self.lengths[entries]
-        upto = np.cumsum(lengths)
+        upto = np.cumsum(lengths, dtype=np.int64)
         total = int(upto[-1]) if len(upto) else 0
-        return self.ids[np.repeat(self.starts[entries] - (upto - lengths), lengths) + np.arange(total)]
+        return self.ids[np.repeat(self.starts[entries] - (upto - lengths), lengths) + np.arange(total)], upto
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts in one array of bytes with the end id after each, and how many each text has."""
@@ -151,35 +242,24 @@ class WordEncoder:
         data = np.insert(data, at[1:], 32)
         ends_of_texts = at[1:] + np.arange(1, len(at))
         if fold:
-            data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+            data |= (data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5)
         starts, ends = _words(data)
         if fold and self.letters is LETTERS:
-            # And one between a letter and two or more signs that end a word.
-            signs = SIGNS[data]
-            double = ends[(ends - starts > 2) & signs[ends - 1] & signs[np.maximum(ends - 2, 0)]]
-            others = np.flatnonzero(~signs)
-            last = others[np.searchsorted(others, double) - 1]
-            cuts = last[(data[last] >= 97) & (data[last] <= 122)] + 1
-            data = np.insert(data, cuts, 32)
-            ends_of_texts = ends_of_texts + np.searchsorted(cuts, ends_of_texts)
-            starts, ends = _words(data)
+            # A word of its own for two or more signs that end a word after a letter.
+            double = np.flatnonzero((ends - starts > 2) & SIGNS[data[ends - 1]] & SIGNS[data[np.maximum(ends - 2, 0)]])
+            if len(double):
+                last = _before_signs(data, ends[double])
+                cut = (last >= starts[double]) & (data[last] >= 97) & (data[last] <= 122)
+                double, cuts = double[cut], last[cut] + 1
+                starts, ends = np.insert(starts, double + 1, cuts), np.insert(ends, double, cuts)
         tails = np.zeros(len(ends), np.int64)
         if fold:
             last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
             core = (ends - starts > 1) & (before >= 97) & (before <= 122)
             tails = np.where(core & (last == ord(",")), 1, np.where(core & (last == ord(".")), 2, 0))
-            data[ends[tails > 0] - 1] = 32
-        words = data.tobytes().split()
-        if len(self.index) > MAX_WORDS:
-            self._forget()
-        found = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            new = [words[k] for k in missing.tolist()]
-            self._learn(dict.fromkeys(new))
-            found[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+        found = self._look_up(data, starts, ends - starts - (tails > 0))
         entries = np.stack((found, tails), axis=1).ravel()
-        ids, upto = self._gather(entries), np.cumsum(self.lengths[entries])
+        ids, upto = self._gather(entries)
         words_upto = np.searchsorted(starts, ends_of_texts)
         tokens_upto = np.concatenate(([0], upto))[2 * words_upto]
         return np.insert(ids, tokens_upto, self.end_id), np.diff(tokens_upto, prepend=0) + 1

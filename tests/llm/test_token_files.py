@@ -54,6 +54,36 @@ def test_forgetting_changes_nothing(monkeypatch):
         assert ids.tolist() == ids_of(d["text"])
 
 
+def test_forgetting_all_or_sharing_places_changes_nothing(monkeypatch):
+    texts = [t + " a a\x00 a\x00\x00 \x00 abcdefghijklmno abcdefghijklmnop abcdefghijklmno\x00 abcdefgh abcdefgh\x00" for t in (*ODD, "zz")]
+    texts += [d["text"] for d in table("documents")[:40]]
+    for name, value in (("PLACES_BITS", 3), ("MAX_ENTRIES", 50)):
+        monkeypatch.setattr(token_files, name, value)
+        encoder = WordEncoder(PATH, 2)
+        for text in texts:
+            ids, _ = encoder.encode(*flat(pa.array([text])))
+            assert ids.tolist() == ids_of(text)
+
+
+def test_known_words_are_looked_up_together():
+    """Words met before take no step each, also when the dict has been emptied."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    encoder = WordEncoder(PATH, 2)
+    text = "in it a to, be of. an International; don't " * 200
+    first, _ = encoder.encode(*flat(pa.array([text])))
+    encoder.index = Counted()
+    again, _ = encoder.encode(*flat(pa.array([text])))
+    assert again.tolist() == first.tolist() == ids_of(text)
+    assert Counted.asked == 0 and not encoder.index
+
+
 def test_memory_of_a_batch(monkeypatch):
     """A batch of 4 MB of short words takes less than ten times as much on the way."""
     monkeypatch.setattr(token_files.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
