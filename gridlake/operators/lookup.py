@@ -25,7 +25,8 @@ def lookup(grid: Grid, positions: DataFrame) -> DataFrame:
 
     Of tiles, only the number that a position picks leaves its array, so rows stay small after the
     join. Where few tiles are asked for, one job lists them, at most ``MAX_NAMED``, and their range and
-    numbers limit the scan of a stored grid; a stored layout is not shuffled.
+    numbers limit the scan of a stored grid; a stored layout is not shuffled. Tiles that are at hand without
+    their zeros are joined so.
     """
     grid = unique_positions(with_dims(grid))
     missing = {*grid.keys, "i", "j"} - {*positions.columns}
@@ -43,23 +44,30 @@ def lookup(grid: Grid, positions: DataFrame) -> DataFrame:
         value = F.col("v")
     else:
         asked = asked.withColumns({"bi": block_index("i", grid.rows_per_block), "bj": block_index("j", grid.cols_per_block)})
-        tiles = _wanted(grid, asked).select(*grid.position, F.lit(True).alias("present"), "nr", "vals")
-        found = asked.join(tiles, grid.position, "left")
+        sparse = grid.sparse()
+        tiles = _wanted(grid, grid.df if sparse is None else sparse, asked)
+        stored = "vals" if sparse is None else "cells"
+        found = asked.join(tiles.select(*grid.position, F.lit(True).alias("present"), "nr", stored), grid.position, "left")
         row, col = offset_in_block("i", grid.rows_per_block), offset_in_block("j", grid.cols_per_block)
-        value = F.get("vals", (col * F.col("nr") + row).cast("int"))
+        k = (col * F.col("nr") + row).cast("int")
+        if sparse is None:
+            value = F.get("vals", k)
+        else:
+            at = F.array_position(F.col("cells")["k"], k).cast("int")
+            value = F.when(at > 0, F.get(F.col("cells")["v"], at - 1)).otherwise(F.lit(0.0))
     value = F.when(known, F.when(F.col("present"), value).otherwise(F.lit(0.0)))
     return found.select("asked.*", value.alias("v"))
 
 
-def _wanted(grid: BlockGrid, asked: DataFrame) -> DataFrame:
-    """The tiles, limited to those that are asked for if they are few."""
+def _wanted(grid: BlockGrid, tiles: DataFrame, asked: DataFrame) -> DataFrame:
+    """The tiles of a grid, limited to those that are asked for if they are few."""
     wanted = asked.select("bi", "bj").where("bi IS NOT NULL AND bj IS NOT NULL").distinct().limit(MAX_NAMED + 1).collect()
     if len(wanted) > MAX_NAMED:
-        return grid.df
+        return tiles
     limits = F.lit(True)
     for name in ("bi", "bj"):
         numbers = sorted({r[name] for r in wanted})
         limits = limits & F.col(name).isin(numbers)
         if numbers:
             limits = limits & F.col(name).between(numbers[0], numbers[-1])
-    return grid.df.where(limits)
+    return tiles.where(limits)
