@@ -20,9 +20,9 @@ from gridlake.llm.common import flat, pieces, scratch
 MAX_WORDS = 170_000
 # Words whose ids a task remembers, and 16 times as many ids; then all of it starts anew.
 MAX_ENTRIES = 700_000
-# Words of up to 15 bytes are looked up first in a table of 2 ** 19 places, each of which holds the last
-# word met of those that belong there: 16 bytes for the word and its length, and 4 for its entry.
-PLACES_BITS = 19
+# Words of up to 15 bytes are looked up first in a table of 2 ** 18 places, each of which holds the last
+# two put there: 16 bytes for a word and its length, and 4 for its entry.
+PLACES_BITS = 18
 MULTIPLIERS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # What words of each length keep of their first 8 bytes and of the next 8, the last of which is the length.
 _FIRST = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(16)], np.uint64)
@@ -75,19 +75,20 @@ def _before_signs(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return others[np.searchsorted(others, last, "right") - 1]
 
 
-def _short_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _short_words(
+    data: np.ndarray, starts: np.ndarray, lengths: np.ndarray
+) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
     """Which words have 15 bytes at most, these as two numbers each, equal for equal words only, and their places."""
     padded = np.concatenate((data, np.zeros(16, np.uint8)))
     at = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
     short = lengths < 16
     length = np.where(short, lengths, 0)
-    words = np.empty((len(starts), 2), np.uint64)
-    words[:, 0] = at[starts] & _FIRST[length]
-    words[:, 1] = (at[starts + 8] & _NEXT[length]) | _LENGTH[length]
-    mixed = words[:, 0] * MULTIPLIERS[0]
+    first = at[starts] & _FIRST.take(length)
+    after = (at[starts + 8] & _NEXT.take(length)) | _LENGTH.take(length)
+    mixed = first * MULTIPLIERS[0]
     mixed ^= mixed >> np.uint64(32)
-    mixed = (mixed + words[:, 1]) * MULTIPLIERS[1]
-    return short, words, (mixed >> np.uint64(64 - PLACES_BITS)).astype(np.int64)
+    mixed = (mixed + after) * MULTIPLIERS[1]
+    return short, (first, after), (mixed >> np.uint64(64 - PLACES_BITS)).astype(np.int64)
 
 
 def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
@@ -116,14 +117,14 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
         self.special = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.heads = {s[:2].encode() for s in self.special}
         self.folds = self._ids("Ab,") == self._ids("ab") + self._ids(",") and self._ids("Ab.") == self._ids(
             "ab"
         ) + self._ids(".")
         # Words of lower-case letters alone need no normalizer and no pattern: the model and the end of
         # word that it marks are enough.
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
+        self.plain = Tokenizer(self.tokenizer.model)
         # Bytes of ASCII letters stand for themselves in such a model.
         self.split_ascii = pre_tokenizers.WhitespaceSplit()
         self.split = pre_tokenizers.Sequence(
@@ -155,8 +156,8 @@ class WordEncoder:
         self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
         self.ids = np.array([i for t in tails for i in t], np.int32)
         self.entries, self.n_ids = len(self.lengths), len(self.ids)
-        self.places = np.zeros((1 << PLACES_BITS, 2), np.uint64)
-        self.place_entries = np.zeros(1 << PLACES_BITS, np.int32)
+        self.places = np.zeros((1 << PLACES_BITS, 4), np.uint64)
+        self.place_entries = np.zeros((1 << PLACES_BITS, 2), np.int32)
 
     def _encode_letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of lower-case letters, and how many each has."""
@@ -208,9 +209,11 @@ class WordEncoder:
             self._forget()
         elif len(self.index) > MAX_WORDS:
             self.index = {}
-        short, words, places = _short_words(data, starts, lengths)
-        hit = short & (self.places[places] == words).all(axis=1)
-        found = np.where(hit, self.place_entries[places], -1)
+        short, (first, after), places = _short_words(data, starts, lengths)
+        held = self.places.take(places, axis=0)
+        second = (held[:, 2] == first) & (held[:, 3] == after)
+        hit = short & (second | ((held[:, 0] == first) & (held[:, 1] == after)))
+        found = self.place_entries.take(2 * places + second)
         missing = np.flatnonzero(~hit)
         if len(missing):
             raw, begins = data.tobytes(), starts[missing]
@@ -225,19 +228,22 @@ class WordEncoder:
             kept = missing[short[missing]]
             # One word for each place, so that a place has the word and the entry of the same one.
             at, which = np.unique(places[kept], return_index=True)
-            self.places[at], self.place_entries[at] = words[kept[which]], found[kept[which]]
+            kept = kept[which]
+            self.places[at, 2:], self.place_entries[at, 1] = self.places[at, :2], self.place_entries[at, 0]
+            self.places[at, 0], self.places[at, 1], self.place_entries[at, 0] = first[kept], after[kept], found[kept]
         return found
 
-    def _gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of entries, one after another, and how many there are up to each."""
-        lengths = self.lengths[entries]
+    def _gather(self, entries: np.ndarray) -> np.ndarray:
+        """Ids of entries, one after another."""
+        lengths = self.lengths.take(entries)
         upto = np.cumsum(lengths, dtype=np.int64)
         total = int(upto[-1]) if len(upto) else 0
-        return self.ids[np.repeat(self.starts[entries] - (upto - lengths), lengths) + np.arange(total)], upto
+        return self.ids.take(np.repeat(self.starts.take(entries) - (upto - lengths), lengths) + np.arange(total))
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts in one array of bytes with the end id after each, and how many each text has."""
-        fold = self.folds and not any(s[:2].encode() in data.tobytes() for s in self.special)
+        raw = data.tobytes()
+        fold = self.folds and not any(head in raw for head in self.heads)
         # One more byte of white space after each text.
         data = np.insert(data, at[1:], 32)
         ends_of_texts = at[1:] + np.arange(1, len(at))
@@ -259,9 +265,9 @@ class WordEncoder:
             tails = np.where(core & (last == ord(",")), 1, np.where(core & (last == ord(".")), 2, 0))
         found = self._look_up(data, starts, ends - starts - (tails > 0))
         entries = np.stack((found, tails), axis=1).ravel()
-        ids, upto = self._gather(entries)
-        words_upto = np.searchsorted(starts, ends_of_texts)
-        tokens_upto = np.concatenate(([0], upto))[2 * words_upto]
+        ids = self._gather(entries[entries > 0])
+        upto = np.cumsum(self.lengths.take(found) + self.lengths.take(tails), dtype=np.int64)
+        tokens_upto = np.concatenate(([0], upto))[np.searchsorted(starts, ends_of_texts)]
         return np.insert(ids, tokens_upto, self.end_id), np.diff(tokens_upto, prepend=0) + 1
 
 
